@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from trustfold.constants import CLIENTS, DEAL_SEED, DEFAULT_SUBSET_ROWS, SHARDS_PER_CLIENT
@@ -43,9 +43,14 @@ def _shard_of(rank: str, rows: int, shards: int) -> Column:
     )
 
 
+def id_stats(df: DataFrame, id_col: str = "row_id") -> Row:
+    """Row count and id range, one narrow aggregate."""
+    return df.agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("lo"), F.max(id_col).alias("hi")).first()
+
+
 def label_shards(
     df: DataFrame, clients: int = CLIENTS, shards_per_client: int = SHARDS_PER_CLIENT,
-    id_col: str = "row_id", label_col: str = "label", slice_rows: int = SLICE_ROWS,
+    id_col: str = "row_id", label_col: str = "label", slice_rows: int = SLICE_ROWS, stats: Row | None = None,
 ) -> DataFrame:
     """Add ``shard``: rows sorted by (label, id), cut into equal contiguous shards.
 
@@ -56,7 +61,7 @@ def label_shards(
     crosses, at most one per shard, are ranked row by row.
     """
     shards = clients * shards_per_client
-    stats = df.agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("lo"), F.max(id_col).alias("hi")).first()
+    stats = id_stats(df, id_col) if stats is None else stats
     rows = stats["n"]
     _require_capacity(rows, clients, shards_per_client)
     slices = min(MAX_SLICES, -(-rows // slice_rows))
@@ -148,8 +153,9 @@ def deal(
     df: DataFrame, clients: int = CLIENTS, shards_per_client: int = SHARDS_PER_CLIENT, seed: int = DEAL_SEED
 ) -> DataFrame:
     """Whole deal: shard by label, hand shards to clients, shuffle inside each client."""
-    sharded = label_shards(df, clients, shards_per_client)
-    return client_order(assign_clients(sharded, clients, shards_per_client, seed), seed, rows=df.count())
+    stats = id_stats(df)
+    sharded = label_shards(df, clients, shards_per_client, stats=stats)
+    return client_order(assign_clients(sharded, clients, shards_per_client, seed), seed, rows=stats["n"])
 
 
 def layout(dealt: DataFrame, rows_per_block: int = SLICE_ROWS) -> DataFrame:
