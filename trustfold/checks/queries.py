@@ -652,7 +652,7 @@ def _tampered(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Updates and links after signing: label 1 changed a value, label 2 lost a row, label 3 lost its key."""
     updates = t.embedding_updates(spark, sf_dir)
     keys = t.secrets(updates)
-    sent = exchange.attest(updates, keys)
+    sent = exchange.attest(updates, keys, cells_per_block=16)
     labels = t.embedding_rows(spark, sf_dir).select(F.col("row_id").alias("client_id"), "label")
     marked = updates.join(labels, "client_id")
     tampered = marked.filter(~((F.col("label") == 2) & (F.col("idx") == 63))).withColumn(
@@ -662,7 +662,7 @@ def _tampered(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
         "client_id",
         F.when(F.col("label") == 3, F.unhex(F.md5(F.col("client_id").cast("string")))).otherwise(F.col("secret")).alias("secret"),
     )
-    return labels, exchange.verify(tampered, sent, wrong)
+    return labels, exchange.verify(tampered, sent, wrong, cells_per_block=16)
 
 
 @query

@@ -36,12 +36,14 @@ def to_blocks(params: DataFrame, cells_per_block: int = 4096, key: str = "client
     )
 
 
-def match_updates(trained: DataFrame, auth: DataFrame, pairing: DataFrame) -> DataFrame:
+def match_updates(
+    trained: DataFrame, auth: DataFrame, pairing: DataFrame, clients: int | None = None
+) -> DataFrame:
     """(prover, verifier, layer, idx, w, w_hat): a prover's cells beside its verifier's.
 
     Full outer on the cell, so a missing side shows as NULL.
     """
-    pairs = broadcast_if_small(pairing.select("verifier", "prover"))
+    pairs = broadcast_if_small(pairing.select("verifier", "prover"), clients)
     w = trained.select(F.col("client_id").alias("prover"), *CELL, F.col("value").alias("w")).join(pairs, "prover")
     w_hat = auth.select("verifier", *CELL, F.col("value").alias("w_hat")).join(pairs, "verifier")
     return w.join(w_hat, ["prover", "verifier", *CELL], "full_outer")
@@ -99,7 +101,9 @@ def with_score(updates: DataFrame, credibility: DataFrame) -> DataFrame:
     return updates.join(broadcast_if_small(credibility.select("client_id", "score")), "client_id")
 
 
-def robust_aggregate(updates: DataFrame, credibility: DataFrame, limit: float = EXCLUSION_LIMIT) -> DataFrame:
+def robust_aggregate(
+    updates: DataFrame, credibility: DataFrame, limit: float = EXCLUSION_LIMIT, clients: int | None = None
+) -> DataFrame:
     """(layer, idx, value): average of the trusted clients' updates, weighted by score.
 
     The weight total is summed over the clients that reported an update, once,
@@ -108,7 +112,7 @@ def robust_aggregate(updates: DataFrame, credibility: DataFrame, limit: float =
     reporting = updates.select("client_id").distinct()
     voters = trusted(credibility, limit).select("client_id", "score").join(reporting, "client_id", "left_semi")
     total = voters.agg(F.sum("score")).scalar()
-    weighted = updates.join(broadcast_if_small(voters), "client_id")
+    weighted = updates.join(broadcast_if_small(voters, clients), "client_id")
     return weighted.groupBy(*CELL).agg(F.sum(F.col("value") * F.col("score")).alias("_sum")).select(
         *CELL, (F.col("_sum") / (total + F.lit(WEIGHT_EPSILON))).alias("value")
     )

@@ -19,21 +19,28 @@ SIGNED_DECIMALS = 9
 PAYLOAD = "array<struct<pos:bigint,row_id:bigint,features:array<double>,label:int>>"
 
 
-def deliver(subsets: DataFrame, pairing: DataFrame) -> DataFrame:
-    """(verifier, prover, pos, row_id, features, label): each verifier gets its prover's sample."""
+def deliver(subsets: DataFrame, pairing: DataFrame, clients: int | None = None) -> DataFrame:
+    """(verifier, prover, pos, row_id, features, label): each verifier gets its prover's sample.
+
+    ``clients`` here and below is the number of clients where the caller knows it.
+    """
     sent = subsets.withColumnRenamed("client_id", "prover")
-    return sent.join(broadcast_if_small(pairing.select("verifier", "prover")), "prover").select(
+    return sent.join(broadcast_if_small(pairing.select("verifier", "prover"), clients), "prover").select(
         "verifier", "prover", "pos", "row_id", "features", "label"
     )
 
 
-def with_key(df: DataFrame, keys: DataFrame, client: str, out: str = "secret") -> DataFrame:
+def with_key(
+    df: DataFrame, keys: DataFrame, client: str, out: str = "secret", clients: int | None = None
+) -> DataFrame:
     """Add the secret of the client named in column ``client``."""
     named = keys.select(F.col("client_id").alias(client), F.col("secret").alias(out))
-    return df.join(broadcast_if_small(named), client)
+    return df.join(broadcast_if_small(named, clients), client)
 
 
-def seal(delivered: DataFrame, keys: DataFrame, round_no: int = 1, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def seal(
+    delivered: DataFrame, keys: DataFrame, round_no: int = 1, chunk_rows: int = CHUNK_ROWS, clients: int | None = None
+) -> DataFrame:
     """(round, verifier, prover, chunk, m_t, m_tilde_t, iv): samples under AES-256-CBC.
 
     A fresh data key per chunk, derived from the prover's secret, encrypts
@@ -44,7 +51,8 @@ def seal(delivered: DataFrame, keys: DataFrame, round_no: int = 1, chunk_rows: i
         delivered.withColumn("chunk", F.expr(f"cast(pos div {chunk_rows}L as int)"))
         .groupBy("verifier", "prover", "chunk").agg(payload.alias("payload"))
     )
-    keyed = with_key(with_key(packed, keys, "prover", "_sender"), keys, "verifier", "_recipient")
+    keyed = with_key(packed, keys, "prover", "_sender", clients)
+    keyed = with_key(keyed, keys, "verifier", "_recipient", clients)
     context = F.concat_ws("|", F.hex("_sender"), F.lit(str(round_no)), "verifier", "prover", "chunk")
     keyed = keyed.withColumn("_data_key", F.unhex(F.sha2(context, 256)))
     keyed = keyed.withColumn("iv", F.unhex(F.md5(F.concat(F.lit("iv|"), F.hex("_data_key")))))
@@ -58,21 +66,23 @@ def seal(delivered: DataFrame, keys: DataFrame, round_no: int = 1, chunk_rows: i
     )
 
 
-def open_packages(packages: DataFrame, keys: DataFrame) -> DataFrame:
+def open_packages(packages: DataFrame, keys: DataFrame, clients: int | None = None) -> DataFrame:
     """Packages with ``rows``: the decrypted sample, NULL where key or data do not fit."""
-    keyed = with_key(packages, keys, "verifier", "_recipient")
+    keyed = with_key(packages, keys, "verifier", "_recipient", clients)
     data_key = F.try_aes_decrypt("m_tilde_t", "_recipient", F.lit("GCM"), F.lit("DEFAULT"))
     keyed = keyed.withColumn("_data_key", data_key)
     text = F.try_aes_decrypt("m_t", "_data_key", F.lit("CBC"), F.lit("PKCS")).cast("string")
     return keyed.withColumn("rows", F.from_json(text, PAYLOAD)).drop("_recipient", "_data_key")
 
 
-def open_(packages: DataFrame, keys: DataFrame) -> DataFrame:
+def open_(packages: DataFrame, keys: DataFrame, clients: int | None = None) -> DataFrame:
     """The delivered rows again; unreadable packages give none."""
-    return open_packages(packages, keys).select("verifier", "prover", F.inline("rows"))
+    return open_packages(packages, keys, clients).select("verifier", "prover", F.inline("rows"))
 
 
-def attest(updates: DataFrame, keys: DataFrame, cells_per_block: int = CELLS_PER_BLOCK) -> DataFrame:
+def attest(
+    updates: DataFrame, keys: DataFrame, cells_per_block: int = CELLS_PER_BLOCK, clients: int | None = None
+) -> DataFrame:
     """(client_id, digest): keyed digest of all cells in (layer, idx) order.
 
     Blocks of cells are hashed first and the ordered block hashes next, so
@@ -93,14 +103,17 @@ def attest(updates: DataFrame, keys: DataFrame, cells_per_block: int = CELLS_PER
     root = F.array_join(
         F.transform("hashes", lambda h: F.concat_ws(":", h["layer"], h["block"].cast("string"), h["hash"])), ","
     )
-    return with_key(roots, keys, "client_id").select(
+    return with_key(roots, keys, "client_id", clients=clients).select(
         "client_id", F.sha2(F.concat_ws("|", F.hex("secret"), F.sha2(root, 256)), 256).alias("digest")
     )
 
 
-def verify(updates: DataFrame, attestations: DataFrame, keys: DataFrame) -> DataFrame:
+def verify(
+    updates: DataFrame, attestations: DataFrame, keys: DataFrame, cells_per_block: int = CELLS_PER_BLOCK,
+    clients: int | None = None,
+) -> DataFrame:
     """(client_id, secure): true only where the recomputed digest equals the one sent."""
-    fresh = attest(updates, keys).withColumnRenamed("digest", "_fresh")
+    fresh = attest(updates, keys, cells_per_block, clients).withColumnRenamed("digest", "_fresh")
     sent = attestations.select("client_id", "digest")
     joined = sent.join(fresh, "client_id", "full_outer")
     return joined.select("client_id", F.coalesce(F.col("digest") == F.col("_fresh"), F.lit(False)).alias("secure"))

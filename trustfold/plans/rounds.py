@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
+from functools import reduce
+from itertools import product
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -118,18 +121,19 @@ def run_round(
     distance and averaging all read them.
     """
     keys = client_keys(state.credibility, settings.seed) if keys is None else keys
+    clients = settings.clients
     pairing = durable(pair(state.credibility, state.history, settings.orientation), "pairing")
-    delivered = deliver(subsets, pairing)
+    delivered = deliver(subsets, pairing, clients)
     if settings.sealed:
-        delivered = open_(durable(seal(delivered, keys, round_no), "packages"), keys)
+        delivered = open_(durable(seal(delivered, keys, round_no, clients=clients), "packages"), keys, clients)
 
     trained = _train(dealt, state.model, settings, round_no)
     updates = durable(
         corrupt(trained, settings.attack, settings.clients, settings.ratio, settings.seed, round_no), "updates"
     )
     auth = _authenticate(dealt, delivered, state.model, settings)
-    distances = pair_distance(match_updates(updates, auth, pairing))
-    links = verify(updates, attest(updates, keys), keys)
+    distances = pair_distance(match_updates(updates, auth, pairing, clients))
+    links = verify(updates, attest(updates, keys, clients=clients), keys, clients=clients)
 
     rehab = round_no > 1 and (round_no - 1) % C.REHAB_EVERY == 0
     scored = (
@@ -147,7 +151,7 @@ def run_round(
         "scores",
     )
     credibility = table.select("client_id", "score")
-    averaged = next_global(robust_aggregate(updates, credibility), state.model)
+    averaged = next_global(robust_aggregate(updates, credibility, clients=clients), state.model)
     following = State(averaged.drop("kept"), credibility, retain(state.history, pairing))
     return following, table
 
@@ -174,7 +178,8 @@ def flagship_round(train: DataFrame, test: DataFrame, settings: Settings) -> Dat
 
 
 def federated_fit(
-    train: DataFrame, test: DataFrame, settings: Settings, path: str | None = None, model: DataFrame | None = None
+    train: DataFrame, test: DataFrame, settings: Settings, path: str | None = None, model: DataFrame | None = None,
+    prepared: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """All rounds; returns the report (round, outcome, accuracy, best, is_best, client_id, score, ...).
 
@@ -185,7 +190,7 @@ def federated_fit(
     """
     spark = train.sparkSession
     path = path or fresh_path(spark, "fit")
-    dealt, subsets = prepare_clients(train, settings)
+    dealt, subsets = prepared or prepare_clients(train, settings)
     state = initial_state(spark, settings, model)
     d_th = settings.d_th if settings.d_th is not None else estimate(dealt, state.model, settings)
     best = 0.0
@@ -258,15 +263,25 @@ def round_report(spark: SparkSession, path: str) -> DataFrame:
 def experiment_grid(
     train: DataFrame, test: DataFrame, settings: Settings,
     attacks: tuple[int, ...] = (C.ADDITIVE_NOISE, C.REPLACEMENT_NOISE, C.CONSTANT_VALUE),
-    ratios: tuple[float, ...] = (0.2, 0.4, 0.6),
+    ratios: tuple[float, ...] = (0.2, 0.4, 0.6), at_once: int = 3,
 ) -> DataFrame:
-    """Every attack at every ratio, one fit each, keyed by ``run_id``."""
-    reports = []
-    for attack in attacks:
-        for ratio in ratios:
-            report = federated_fit(train, test, replace(settings, attack=attack, ratio=ratio))
-            reports.append(report.select(F.lit(f"atk{attack}_ratio{ratio}").alias("run_id"), "*"))
-    whole = reports[0]
-    for report in reports[1:]:
-        whole = whole.unionByName(report)
-    return whole
+    """Every attack at every ratio, one fit each, keyed by ``run_id``.
+
+    The runs share the dealt rows, the samples and the threshold, which do
+    not depend on the attack; ``at_once`` of them are in flight together so
+    that the cluster is not idle between the small jobs of one run.
+    """
+    spark = train.sparkSession
+    prepared = prepare_clients(train, settings)
+    if settings.d_th is None:
+        start = initial_state(spark, settings).model
+        settings = replace(settings, d_th=estimate(prepared[0], start, settings))
+
+    def fit(run: tuple[int, float]) -> DataFrame:
+        attack, ratio = run
+        report = federated_fit(train, test, replace(settings, attack=attack, ratio=ratio), prepared=prepared)
+        return report.select(F.lit(f"atk{attack}_ratio{ratio}").alias("run_id"), "*")
+
+    with ThreadPoolExecutor(at_once) as pool:
+        reports = list(pool.map(fit, product(attacks, ratios)))
+    return reduce(DataFrame.unionByName, reports)
