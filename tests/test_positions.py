@@ -50,3 +50,11 @@ def test_carries_cross_blocks(spark):
         assert top["a", step] == (max(seen) if seen else None)
         seen.append(value)
     assert prev["b", 1] is None and top["b", 1] is None
+
+
+def test_position_splits_off_hot_groups(spark):
+    rows, df = _rows(spark)
+    order = [F.col("k"), F.col("id")]
+    for limit in (10_000, 300, 5):
+        got = positions.position(df, ["g"], order, "p", slice_rows=limit)
+        assert {r["id"]: r["p"] for r in got.collect()} == _places(rows)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from trustfold.checks.tables import line_id
+
 CTE: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -141,9 +143,7 @@ _cte("train", "SELECT row_id, features, label FROM parted WHERE draw >= 0.2", "p
 _cte("test", "SELECT row_id, features, label FROM parted WHERE draw < 0.2", "parted")
 _cte(
     "lines",
-    "SELECT CAST(('0x' || substr(md5(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, "
-    "CAST(round(l_quantity * 100) AS BIGINT), CAST(round(l_extendedprice * 100) AS BIGINT), "
-    "CAST(round(l_discount * 100) AS BIGINT), CAST(round(l_tax * 100) AS BIGINT), CAST(l_shipdate AS DATE))), 1, 15)) AS BIGINT) AS row_id, "
+    "SELECT " + line_id("date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))") + " AS row_id, "
     "[l_quantity / 50.0::DOUBLE, l_extendedprice / 100000.0::DOUBLE, l_discount * 10.0::DOUBLE, l_tax * 10.0::DOUBLE] AS features, "
     "CAST((instr('ANR', l_returnflag) - 1) * 2 + instr('FO', l_linestatus) - 1 AS INTEGER) AS label FROM lineitem",
 )

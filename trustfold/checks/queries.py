@@ -333,7 +333,7 @@ def used_offsets(spark, sf_dir):
 
 @query
 def model_distance(spark, sf_dir):
-    halves = [t.supplier_updates(spark, sf_dir, part) for part in (1, 2)]
+    halves = [durable(t.supplier_updates(spark, sf_dir, part), "updates") for part in (1, 2)]
     shared = halves[0].join(halves[1].select("client_id", "layer").distinct(), ["client_id", "layer"], "left_semi")
     other = halves[1].join(halves[0].select("client_id", "layer").distinct(), ["client_id", "layer"], "left_semi")
     found = aggregation.model_distance(shared, other)
@@ -372,16 +372,17 @@ def trusted_clients(spark, sf_dir):
 
 @query
 def weighted_average(spark, sf_dir):
-    averaged = aggregation.robust_aggregate(t.supplier_updates(spark, sf_dir), t.supplier_scores(spark, sf_dir))
-    return _values(averaged, digits=6)
+    updates = durable(t.supplier_updates(spark, sf_dir), "updates")
+    return _values(aggregation.robust_aggregate(updates, t.supplier_scores(spark, sf_dir)), digits=6)
 
 
 @query
 def next_global_model(spark, sf_dir):
     """The second half's average follows the first's; a run trusting nobody keeps the first."""
     scores = t.supplier_scores(spark, sf_dir)
-    first, second = [aggregation.robust_aggregate(t.supplier_updates(spark, sf_dir, p), scores) for p in (1, 2)]
-    nobody = aggregation.robust_aggregate(t.supplier_updates(spark, sf_dir, 2), scores.withColumn("score", F.lit(0.0)))
+    halves = [durable(t.supplier_updates(spark, sf_dir, p), "updates") for p in (1, 2)]
+    first, second = [aggregation.robust_aggregate(half, scores) for half in halves]
+    nobody = aggregation.robust_aggregate(halves[1], scores.withColumn("score", F.lit(0.0)))
     followed = aggregation.next_global(second, first).withColumn("voters", F.lit("trusted"))
     held = aggregation.next_global(nobody, first).withColumn("voters", F.lit("none"))
     return _values(followed.unionByName(held), "voters", "kept", digits=6)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustfold.functions.hashing import digest_id, uniform
-from trustfold.functions.positions import range_position
+from trustfold.functions.hashing import uniform
+from trustfold.functions.positions import position
 from trustfold.sources.labeled import load_labeled
 
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -28,15 +28,33 @@ def embedding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_labeled(spark, f"{sf_dir}/embeddings.parquet", "vec_id", "embedding", "label")
 
 
+#: Order lines have no unique key below these columns together.
+LINE_KEY = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "CAST(floor(l_quantity * 100 + 0.5) AS BIGINT)",
+    "CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)", "CAST(floor(l_discount * 100 + 0.5) AS BIGINT)",
+    "CAST(floor(l_tax * 100 + 0.5) AS BIGINT)",
+]
+
+
+def line_id(days: str) -> str:
+    """SQL of a 62-bit id: two polynomial hashes of the line key, modulo two primes, in plain integers.
+
+    ``days`` is the dialect's expression for the ship date as days since 1970.
+    """
+    halves = []
+    for prime, factor in ((2147483647, 1103515245), (2147483629, 1664525)):
+        value = "CAST(0 AS BIGINT)"
+        for part in [*LINE_KEY, days]:
+            value = f"(({value} * {factor} + {part}) % {prime})"
+        halves.append(value)
+    return f"({halves[0]} * 2147483648 + {halves[1]})"
+
+
 def lineitem_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled rows of four features and six classes; the id is a digest of the whole row key."""
-    cents = [
-        F.round(F.col(c) * 100).cast("bigint") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    ]
-    keys = [F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")]
+    """Labelled rows of four features and six classes."""
     label = (F.expr("instr('ANR', l_returnflag)") - 1) * 2 + F.expr("instr('FO', l_linestatus)") - 1
     return table(spark, sf_dir, "lineitem").select(
-        digest_id(*keys, *cents, F.col("l_shipdate").cast("date")).alias("row_id"),
+        F.expr(line_id("unix_date(CAST(l_shipdate AS DATE))")).alias("row_id"),
         F.array(
             F.col("l_quantity") / 50.0, F.col("l_extendedprice") / 100000.0,
             F.col("l_discount") * 10.0, F.col("l_tax") * 10.0,
@@ -51,7 +69,7 @@ def event_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("client_id"), "ts", "event_id", F.col("value").alias("dist"),
         (F.col("event_type") != "error").alias("secure"),
     )
-    placed = range_position(events, ["client_id"], [F.col("ts"), F.col("event_id")], "round")
+    placed = position(events, ["client_id"], [F.col("ts"), F.col("event_id")], "round")
     return placed.select("client_id", (F.col("round") + 1).alias("round"), "dist", "secure")
 
 

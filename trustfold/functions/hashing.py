@@ -31,7 +31,3 @@ def normal(*parts: Column | str | int) -> Column:
     radius = F.sqrt(F.lit(-2.0) * F.log(uniform(*parts, "a") + F.lit(1e-12)))
     return radius * F.cos(F.lit(2.0 * math.pi) * uniform(*parts, "b"))
 
-
-def digest_id(*parts: Column | str | int) -> Column:
-    """60-bit row id for tables without a unique integer key."""
-    return F.conv(F.substring(order_key(*parts), 1, 15), 16, 10).cast("bigint")

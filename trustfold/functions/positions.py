@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trustfold.functions.sizing import broadcast_if_small
+from trustfold.functions.sizing import BROADCAST_ROWS, broadcast_if_small
 from trustfold.functions.storage import durable
 
 SLICE_ROWS = 1_000_000
@@ -73,6 +73,26 @@ def range_position(df: DataFrame, group: list[str], order: list[Column], out: st
     )
 
 
+def position(df: DataFrame, group: list[str], order: list[Column], out: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """0-based position of each row in its group by ``order``.
+
+    Groups of at most ``slice_rows`` rows are numbered by one window. Larger
+    ones, at most rows / slice_rows of them, go through ``range_position``.
+    """
+    local = (F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1).cast("bigint")
+    hot = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > slice_rows).select(*group)
+    found = hot.limit(BROADCAST_ROWS + 1).count()
+    if found == 0:
+        return df.withColumn(out, local)
+    if found > BROADCAST_ROWS:
+        return range_position(df, group, order, out)
+    hot = F.broadcast(hot)
+    return (
+        df.join(hot, group, "left_anti").withColumn(out, local)
+        .unionByName(range_position(df.join(hot, group, "left_semi"), group, order, out))
+    )
+
+
 def previous_value(df: DataFrame, group: list[str], step: str, value: str, out: str, block: int = 4096) -> DataFrame:
     """Value of the preceding row in the group, with the group cut into blocks of ``block`` steps.
 

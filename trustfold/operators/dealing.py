@@ -10,8 +10,9 @@ from trustfold.functions.hashing import order_key
 from trustfold.functions.positions import SLICE_ROWS, hex_digits_for, sliced_position
 from trustfold.functions.sizing import broadcast_if_small
 
-#: Slices per label at most; only slices that a shard border crosses are sorted.
-MAX_SLICES = 10_000
+#: Rows per id slice of a label, and slices over all labels, aimed at when sharding.
+SHARD_SLICE_ROWS = 100_000
+SHARD_SLICES = 200_000
 
 
 def check_capacity(df: DataFrame, clients: int = CLIENTS, shards_per_client: int = SHARDS_PER_CLIENT) -> DataFrame:
@@ -43,14 +44,23 @@ def _shard_of(rank: str, rows: int, shards: int) -> Column:
     )
 
 
-def id_stats(df: DataFrame, id_col: str = "row_id") -> Row:
-    """Row count and id range, one narrow aggregate."""
-    return df.agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("lo"), F.max(id_col).alias("hi")).first()
+def id_stats(df: DataFrame, id_col: str = "row_id", label_col: str = "label") -> Row:
+    """Row count, label count and id range, one narrow aggregate; NULL labels or ids raise."""
+    stats = df.groupBy(label_col).agg(
+        F.count(F.lit(1)).alias("n"), F.count(id_col).alias("ids"), F.min(id_col).alias("lo"), F.max(id_col).alias("hi")
+    ).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("labels"),
+        F.sum(F.col("n") - F.when(F.col(label_col).isNull(), 0).otherwise(F.col("ids"))).alias("blank"),
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+    ).first()
+    if stats["blank"]:
+        raise ValueError(f"{stats['blank']} rows lack a label or an id")
+    return stats
 
 
 def label_shards(
     df: DataFrame, clients: int = CLIENTS, shards_per_client: int = SHARDS_PER_CLIENT,
-    id_col: str = "row_id", label_col: str = "label", slice_rows: int = SLICE_ROWS, stats: Row | None = None,
+    id_col: str = "row_id", label_col: str = "label", slice_rows: int = SHARD_SLICE_ROWS, stats: Row | None = None,
 ) -> DataFrame:
     """Add ``shard``: rows sorted by (label, id), cut into equal contiguous shards.
 
@@ -61,40 +71,37 @@ def label_shards(
     crosses, at most one per shard, are ranked row by row.
     """
     shards = clients * shards_per_client
-    stats = id_stats(df, id_col) if stats is None else stats
+    stats = id_stats(df, id_col, label_col) if stats is None else stats
     rows = stats["n"]
     _require_capacity(rows, clients, shards_per_client)
-    slices = min(MAX_SLICES, -(-rows // slice_rows))
+    slices = max(1, min(-(-rows // slice_rows), SHARD_SLICES // stats["labels"]))
     width = (stats["hi"] - stats["lo"]) // slices + 1
     sliced = df.withColumn("_slice", F.expr(f"(`{id_col}` - {stats['lo']}L) div {width}L"))
     keys = [label_col, "_slice"]
 
-    counts = sliced.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    before_label = Window.orderBy(label_col).rowsBetween(Window.unboundedPreceding, -1)
-    labels = (
-        counts.groupBy(label_col).agg(F.sum("_n").alias("_label_rows"))
-        .select(label_col, F.coalesce(F.sum("_label_rows").over(before_label), F.lit(0)).alias("_label_start"))
-    )
-    before_slice = Window.partitionBy(label_col).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    # the window below runs over the slice counts, at most max(SHARD_SLICES, labels) rows
+    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     lookup = (
-        counts.join(labels, label_col)
-        .withColumn("_start", F.col("_label_start") + F.coalesce(F.sum("_n").over(before_slice), F.lit(0)))
+        sliced.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .select(
             *keys, "_start",
             _shard_of("_start", rows, shards).alias("_first"),
             _shard_of("(_start + _n - 1)", rows, shards).alias("_last"),
         )
     )
-    located = sliced.join(broadcast_if_small(lookup), keys)
-    whole = located.filter(F.col("_first") == F.col("_last")).withColumn("shard", F.col("_first"))
+    located = sliced.join(broadcast_if_small(lookup, slices * stats["labels"]), keys)
     rank = F.col("_start") + F.row_number().over(Window.partitionBy(*keys).orderBy(id_col)) - 1
-    crossed = (
-        located.filter(F.col("_first") < F.col("_last"))
-        .withColumn("_rank", rank)
-        .withColumn("shard", _shard_of("_rank", rows, shards))
-        .drop("_rank")
-    )
-    return whole.unionByName(crossed).drop("_slice", "_start", "_first", "_last")
+
+    def ranked(part: DataFrame) -> DataFrame:
+        return part.withColumn("_rank", rank).withColumn("shard", _shard_of("_rank", rows, shards)).drop("_rank")
+
+    if slices == 1:
+        sharded = ranked(located)
+    else:
+        inside = F.col("_first") == F.col("_last")
+        sharded = located.filter(inside).withColumn("shard", F.col("_first")).unionByName(ranked(located.filter(~inside)))
+    return sharded.drop("_slice", "_start", "_first", "_last")
 
 
 def shard_audit(

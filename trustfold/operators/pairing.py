@@ -10,10 +10,11 @@ from trustfold.functions.positions import SLICE_ROWS, range_position
 from trustfold.functions.sizing import broadcast_if_small
 
 
-def rank_clients(credibility: DataFrame) -> DataFrame:
-    """Add 0-based ``rank`` by score descending, then id."""
+def rank_clients(credibility: DataFrame, clients: int | None = None) -> DataFrame:
+    """Add 0-based ``rank`` by score descending, then id; ``clients`` is the row count where known."""
     order = [F.col("score").desc(), F.col("client_id").asc()]
-    if credibility.count() <= SLICE_ROWS:
+    clients = credibility.count() if clients is None else clients
+    if clients <= SLICE_ROWS:
         return credibility.withColumn("rank", (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint"))
     return range_position(credibility, [], order, "rank")
 
@@ -55,7 +56,7 @@ def free_offset(used: DataFrame, clients: int) -> DataFrame:
 def pair(credibility: DataFrame, history: DataFrame, orientation: str = "reversed") -> DataFrame:
     """(rank, verifier, prover): rank i verifies rank i + offset, the smallest unused offset."""
     clients = credibility.count()
-    ranks = rank_clients(credibility).select("client_id", "rank")
+    ranks = rank_clients(credibility, clients).select("client_id", "rank")
     offset = free_offset(used_offsets(ranks, history, clients, orientation), clients).scalar()
     verifiers = ranks.select(
         "rank", F.col("client_id").alias("verifier"),

@@ -24,8 +24,8 @@ from trustfold.functions.sizing import broadcast_if_small
 from trustfold.functions.storage import durable
 
 ROWS_PER_BLOCK = 1024
-#: Rows of one client that one task may hold for mini-batch training.
-ROWS_PER_TASK = 128_000
+#: Feature values (64 MB of doubles) of one client that one task may hold for mini-batch training.
+CELLS_PER_TASK = 8_000_000
 
 
 # --- model tables ---
@@ -185,11 +185,12 @@ def _epoch_key(seed: int, round_no: int, epoch: int, key: str) -> Column:
 def train_minibatch(
     df: DataFrame, model: DataFrame, classes: int, epochs: int = EPOCHS, batch: int = BATCH_ROWS,
     lr: float = LEARNING_RATE, momentum: float = MOMENTUM, decay: float = WEIGHT_DECAY,
-    seed: int = 0, round_no: int = 1, key: str = "client_id", rows_per_task: int = ROWS_PER_TASK,
+    seed: int = 0, round_no: int = 1, key: str = "client_id", rows_per_task: int | None = None,
 ) -> DataFrame:
     """Mini-batch Nesterov SGD per client, rows reshuffled by hash each epoch.
 
-    When every client fits ``rows_per_task``, one grouped pass trains all.
+    When every client fits ``rows_per_task`` (by default as many rows as hold
+    CELLS_PER_TASK values), one grouped pass trains all.
     Otherwise each epoch is cut into chunks of that many rows and the
     clients' (vector, velocity) go from chunk to chunk through a written
     table: the same batches in the same order, hence the same result, with
@@ -197,6 +198,8 @@ def train_minibatch(
     """
     largest = df.groupBy(key).count().agg(F.max("count").alias("n")).first()["n"] or 0
     start = model_vector(model)
+    if rows_per_task is None:
+        rows_per_task = max(batch, CELLS_PER_TASK // (len(start) // classes))
     if largest <= rows_per_task:
         cells = _train_whole(df, start, classes, epochs, batch, lr, momentum, decay, seed, round_no, key)
     else:
