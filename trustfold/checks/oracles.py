@@ -38,7 +38,7 @@ def _normal(key: str) -> str:
 
 
 def _r(value: str, digits: int) -> str:
-    return f"(round({value}, {digits}) + 0.0::DOUBLE)"
+    return f"(CAST(floor(({value}) * 1e{digits}::DOUBLE + 0.5::DOUBLE) AS BIGINT) / 1e{digits}::DOUBLE)"
 
 
 def _ordinary(r: str, d: str, t: str, ok: str) -> str:

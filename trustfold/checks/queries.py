@@ -287,7 +287,8 @@ def sample_delivery(spark, sf_dir):
 @query
 def matched_updates(spark, sf_dir):
     """Suppliers' updates beside their verifiers', paired by score."""
-    pairs = pairing.pair(t.supplier_scores(spark, sf_dir), spark.createDataFrame([], "seq bigint, verifier bigint, prover bigint"))
+    nothing = spark.createDataFrame([], "seq bigint, verifier bigint, prover bigint")
+    pairs = durable(pairing.pair(t.supplier_scores(spark, sf_dir), nothing), "pairs")
     auth = t.supplier_updates(spark, sf_dir, part=2).withColumnRenamed("client_id", "verifier")
     matched = aggregation.match_updates(t.supplier_updates(spark, sf_dir, part=1), auth, pairs)
     return matched.select(

@@ -20,8 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def rounded(value, digits: int):
-    """Rounded for comparison, without a negative zero."""
-    return F.round(value, digits) + F.lit(0.0)
+    """Rounded for comparison, in plain double arithmetic and without a negative zero."""
+    return F.floor(value * F.lit(10.0**digits) + F.lit(0.5)) / F.lit(10.0**digits)
 
 
 def embedding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql.functions import pandas_udf
 from trustfold.constants import (
     AUTH_BATCH_ROWS, BATCH_ROWS, EPOCHS, LEARNING_RATE, MOMENTUM, WEIGHT_DECAY,
 )
-from trustfold.functions.hashing import normal, order_key
+from trustfold.functions.hashing import normal
 from trustfold.functions.positions import hex_digits_for, sliced_position
 from trustfold.functions.sizing import broadcast_if_small
 from trustfold.functions.storage import durable
@@ -179,7 +179,8 @@ def training_steps(df: DataFrame, epochs: int = EPOCHS, batch: int = BATCH_ROWS,
 
 
 def _epoch_key(seed: int, round_no: int, epoch: int, key: str) -> Column:
-    return order_key(seed, round_no, epoch, F.col(key), F.col("row_id"))
+    """Signed 64-bit hash to shuffle by; its high bits cut a client into even slices."""
+    return F.xxhash64(F.lit(seed), F.lit(round_no), F.lit(epoch), F.col(key), F.col("row_id"))
 
 
 def train_minibatch(
@@ -219,7 +220,7 @@ def _train_whole(df, start, classes, epochs, batch, lr, momentum, decay, seed, r
         x, y = _matrix(rows["features"]), rows["label"].to_numpy()
         vector, velocity = start.copy(), np.zeros_like(start)
         for e in range(epochs):
-            order = np.lexsort((rows["row_id"].to_numpy(), rows[f"_key{e}"].to_numpy().astype(str)))
+            order = np.lexsort((rows["row_id"].to_numpy(), rows[f"_key{e}"].to_numpy()))
             _sgd(x, y, (order[b] for b in _batches(len(y), batch)), vector, velocity, classes, lr, momentum, decay)
         return pd.DataFrame({key: rows[key].iloc[0], "pos": np.arange(len(vector)), "value": vector})
 
@@ -253,7 +254,7 @@ def _train_in_chunks(
     total = df.count()
     for epoch in range(epochs):
         keyed = df.select(key, "row_id", "features", "label", _epoch_key(seed, round_no, epoch, key).alias("_key"))
-        cut = F.substring("_key", 1, max(1, hex_digits_for(total)))
+        cut = F.shiftright("_key", 64 - 4 * max(1, hex_digits_for(total)))
         placed = sliced_position(keyed, [key], [F.col("_key"), F.col("row_id")], cut, "_place").drop("_key")
         placed = placed.withColumn("_chunk", F.expr(f"_place div {chunk}L"))
         placed = durable(placed.repartition("_chunk", key), "epoch")
