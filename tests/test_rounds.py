@@ -73,3 +73,6 @@ def test_grid_has_every_run(spark, data):
     grid = rounds.experiment_grid(*data, settings, attacks=(1, 3), ratios=(0.2, 0.6))
     seen = {r["run_id"]: r["n"] for r in grid.groupBy("run_id").agg(F.count("*").alias("n")).collect()}
     assert seen == {f"atk{a}_ratio{r}": 10 for a in (1, 3) for r in (0.2, 0.6)}
+    bad = {"0.2": 2, "0.6": 6}
+    for row in grid.collect():
+        assert (row["score"] <= 0.01) == (row["client_id"] < bad[row["run_id"][-3:]])

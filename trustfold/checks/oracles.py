@@ -683,3 +683,4 @@ ORACLES: dict[str, str] = {
 }
 ORACLES["credibility_fold_blocks"] = ORACLES["credibility_fold"]
 ORACLES["streaming_credibility"] = ORACLES["credibility_fold"]
+ORACLES["streaming_credibility_batches"] = ORACLES["credibility_fold"]

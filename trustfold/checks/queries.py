@@ -16,7 +16,7 @@ from trustfold.functions.storage import durable, fresh_path
 from trustfold.operators import aggregation, corruption, credibility, dealing, exchange, features, pairing, reports, training
 from trustfold.plans import rounds, threshold
 from trustfold.sources import histories, labeled, logs, models
-from trustfold.streaming import credibility_stream
+from trustfold.streaming import credibility_batches, credibility_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -479,24 +479,28 @@ def transition_audit(spark, sf_dir):
     return credibility.audit_transitions(broken, ["run_id"]).select("run_id", "round", "client_id", "transition")
 
 
-@query
-def streaming_credibility(spark, sf_dir):
-    """Events arrive as three slices in time; each run of the stream resumes from its checkpoint."""
+def _event_stream(spark, sf_dir, base: str):
+    """Append the events in three slices in time; yields the stream to run after each append."""
     events = t.table(spark, sf_dir, "events").select(
         F.col("user_id").alias("client_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id",
         F.col("value").alias("dist"), (F.col("event_type") != "error").alias("secure"),
     )
-    base = fresh_path(spark, "stream")
-    borders = events.agg(F.percentile_approx(F.unix_micros("ts"), [1 / 3, 2 / 3]).alias("b")).first()["b"]
     us = F.unix_micros("ts")
-    slices = [us <= borders[0], (us > borders[0]) & (us <= borders[1]), us > borders[1]]
+    borders = events.agg(F.percentile_approx(us, [1 / 3, 2 / 3]).alias("b")).first()["b"]
+    for chosen in (us <= borders[0], (us > borders[0]) & (us <= borders[1]), us > borders[1]):
+        events.filter(chosen).write.mode("append").parquet(f"{base}/events")
+        yield spark.readStream.schema(events.schema).parquet(f"{base}/events")
+
+
+@query
+def streaming_credibility(spark, sf_dir):
+    """Per-client state behind a watermark; each run of the stream resumes from its checkpoint."""
+    base = fresh_path(spark, "stream")
 
     def append(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/scores/epoch={epoch}")
 
-    for chosen in slices:
-        events.filter(chosen).write.mode("append").parquet(f"{base}/events")
-        stream = spark.readStream.schema(events.schema).parquet(f"{base}/events")
+    for stream in _event_stream(spark, sf_dir, base):
         scores = credibility_stream.streaming_credibility(stream, t.EVENT_THRESHOLD, delay="0 seconds")
         running = (
             scores.writeStream.outputMode("update").foreachBatch(append)
@@ -507,6 +511,18 @@ def streaming_credibility(spark, sf_dir):
     return emitted.groupBy("client_id").agg(F.max("rounds").alias("rounds"), F.max_by("score", "rounds").alias("score"))
 
 
+@query
+def streaming_credibility_batches(spark, sf_dir):
+    """Micro-batches as distributed folds, an hour of delay, waiting rows applied at the end."""
+    base = fresh_path(spark, "batches")
+    for stream in _event_stream(spark, sf_dir, base):
+        writer = credibility_batches.score_stream(stream, f"{base}/state", t.EVENT_THRESHOLD, delay_us=3_600_000_000)
+        writer.trigger(availableNow=True).start().awaitTermination()
+    nothing = spark.createDataFrame([], credibility_batches.ROWS)
+    credibility_batches.apply_batch(nothing, 3, f"{base}/state", t.EVENT_THRESHOLD, flush=True)
+    return credibility_batches.scores(spark, f"{base}/state", 3)
+
+
 # --- training and scoring ---
 
 @query

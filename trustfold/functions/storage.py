@@ -28,13 +28,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/trustfold/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame, name: str = "table") -> DataFrame:
+def durable(df: DataFrame, name: str = "table", partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once as parquet and read it back.
 
     Cuts the lineage, survives executor loss, and, unlike an RDD
-    checkpoint, is computed once and read back by column.
+    checkpoint, is computed once and read back by column, or by the values
+    of ``partition_by`` alone.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

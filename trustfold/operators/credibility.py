@@ -110,16 +110,25 @@ def _path(start: Column, steps: str, d_th: float, every: int) -> Column:
     return F.aggregate(steps, seed, step, lambda acc: acc["path"])
 
 
-def _step_blocks(observations: DataFrame, block_rounds: int) -> DataFrame:
-    """(client_id, block, steps): each client's rounds in order, at most ``block_rounds`` per row."""
-    return (
-        observations.withColumn("block", F.expr(f"cast((round - 1) div {block_rounds}L as bigint)"))
+def _step_blocks(
+    observations: DataFrame, block_rounds: int, init: float, starts: DataFrame | None, seq: str
+) -> DataFrame:
+    """(client_id, block, init, steps): each client's rounds in order, at most ``block_rounds`` per row."""
+    blocks = (
+        observations.withColumn("block", F.expr(f"cast((`{seq}` - 1) div {block_rounds}L as bigint)"))
         .groupBy("client_id", "block")
         .agg(F.array_sort(F.collect_list(F.struct("round", "dist", "secure"))).alias("steps"))
     )
+    if starts is None:
+        return blocks.withColumn("init", F.lit(float(init)))
+    known = starts.select("client_id", F.col("score").alias("_start"))
+    return (
+        blocks.join(broadcast_if_small(known), "client_id", "left")
+        .withColumn("init", F.coalesce("_start", F.lit(float(init)))).drop("_start")
+    )
 
 
-def _block_starts(blocks: DataFrame, d_th: float, init: float, every: int) -> DataFrame:
+def _block_starts(blocks: DataFrame, d_th: float, every: int) -> DataFrame:
     """(client_id, block, start, end): the exact score before and after every block.
 
     Each block maps the whole range [0, 1] at once. Penalties contract the
@@ -130,57 +139,57 @@ def _block_starts(blocks: DataFrame, d_th: float, init: float, every: int) -> Da
     ends are exact; each pass settles at least one more block per client.
     """
     in_order = Window.partitionBy("client_id").orderBy("block")
-    roster = blocks.select("client_id", "block")
-    first = roster.withColumn("first", F.lag("block").over(in_order).isNull())
     image = _image(F.col("low"), F.col("high"), "steps", d_th, every)
 
     def run(selected: DataFrame) -> DataFrame:
         return selected.withColumn("image", image).select(
-            "client_id", "block", F.col("low").alias("start_low"), F.col("high").alias("start_high"),
-            F.col("image.low").alias("end_low"), F.col("image.high").alias("end_high"),
+            "client_id", "block", "init", F.col("image.low").alias("end_low"), F.col("image.high").alias("end_high")
         )
 
-    ranged = blocks.join(first, ["client_id", "block"]).select(
-        "client_id", "block", "steps",
-        F.when(F.col("first"), F.lit(float(init))).otherwise(F.lit(0.0)).alias("low"),
-        F.when(F.col("first"), F.lit(float(init))).otherwise(F.lit(1.0)).alias("high"),
+    # only block numbers enter this window; the rounds stay in their blocks
+    first = blocks.select("client_id", "block").withColumn("first", F.lag("block").over(in_order).isNull())
+    ranged = (
+        blocks.join(first, ["client_id", "block"])
+        .withColumn("low", F.when(F.col("first"), F.col("init")).otherwise(F.lit(0.0)))
+        .withColumn("high", F.when(F.col("first"), F.col("init")).otherwise(F.lit(1.0)))
     )
     ends = durable(run(ranged), "ends")
+    unsettled = F.col("end_low") != F.col("end_high")
     while True:
-        linked = ends.select(
-            "client_id", "block", "end_low", "end_high",
-            F.coalesce(F.lag("end_low").over(in_order), F.lit(float(init))).alias("low"),
-            F.coalesce(F.lag("end_high").over(in_order), F.lit(float(init))).alias("high"),
+        linked = (
+            ends.withColumn("low", F.coalesce(F.lag("end_low").over(in_order), F.col("init")))
+            .withColumn("high", F.coalesce(F.lag("end_high").over(in_order), F.col("init")))
         )
-        open_blocks = linked.filter(F.col("end_low") != F.col("end_high"))
-        if open_blocks.isEmpty():
+        narrowed = linked.filter(unsettled).select("client_id", "block", "low", "high")
+        if narrowed.isEmpty():
             return linked.select("client_id", "block", F.col("low").alias("start"), F.col("end_low").alias("end"))
-        narrowed = blocks.join(open_blocks.select("client_id", "block", "low", "high"), ["client_id", "block"])
-        settled = linked.filter(F.col("end_low") == F.col("end_high")).select(
-            "client_id", "block", F.col("low").alias("start_low"), F.col("high").alias("start_high"),
-            "end_low", "end_high",
-        )
-        ends = durable(settled.unionByName(run(narrowed)), "ends")
+        again = run(blocks.join(narrowed, ["client_id", "block"]))
+        ends = durable(ends.filter(~unsettled).unionByName(again), "ends")
 
 
-def _in_one_block(observations: DataFrame, block_rounds: int) -> bool:
-    span = observations.agg(F.min("round").alias("lo"), F.max("round").alias("hi")).first()
+def _in_one_block(observations: DataFrame, block_rounds: int, seq: str) -> bool:
+    span = observations.agg(F.min(seq).alias("lo"), F.max(seq).alias("hi")).first()
     return span["lo"] is None or (span["lo"] - 1) // block_rounds == (span["hi"] - 1) // block_rounds
 
 
 def fold_credibility(
     observations: DataFrame, d_th: float, init: float = INITIAL_SCORE, rehab_every: int = REHAB_EVERY,
-    block_rounds: int = BLOCK_ROUNDS,
+    block_rounds: int = BLOCK_ROUNDS, starts: DataFrame | None = None, seq: str = "round",
 ) -> DataFrame:
-    """(client_id, rounds, score): final score after applying every round in order, bit for bit."""
-    blocks = _step_blocks(observations, block_rounds)
-    if _in_one_block(observations, block_rounds):
-        end = _image(F.lit(float(init)), F.lit(float(init)), "steps", d_th, rehab_every)["low"]
+    """(client_id, rounds, score): final score after applying every round in order, bit for bit.
+
+    ``starts`` (client_id, score) replaces ``init`` where a client has a score
+    already. ``seq`` names the column that cuts blocks: it must rise with the
+    round, from 1; rounds themselves do when a client's history is complete.
+    """
+    blocks = _step_blocks(observations, block_rounds, init, starts, seq)
+    if _in_one_block(observations, block_rounds, seq):
+        end = _image(F.col("init"), F.col("init"), "steps", d_th, rehab_every)["low"]
         return blocks.select("client_id", F.size("steps").cast("bigint").alias("rounds"), end.alias("score"))
     blocks = durable(blocks, "steps")
-    starts = _block_starts(blocks, d_th, init, rehab_every)
+    settled = _block_starts(blocks, d_th, rehab_every)
     sizes = blocks.groupBy("client_id").agg(F.sum(F.size("steps")).cast("bigint").alias("rounds"))
-    last = starts.groupBy("client_id").agg(F.max_by("end", "block").alias("score"))
+    last = settled.groupBy("client_id").agg(F.max_by("end", "block").alias("score"))
     return sizes.join(last, "client_id")
 
 
@@ -189,13 +198,13 @@ def trace_credibility(
     block_rounds: int = BLOCK_ROUNDS,
 ) -> DataFrame:
     """(client_id, round, score): the score after every round."""
-    blocks = _step_blocks(observations, block_rounds)
-    if _in_one_block(observations, block_rounds):
-        started = blocks.withColumn("start", F.lit(float(init)))
+    blocks = _step_blocks(observations, block_rounds, init, None, "round")
+    if _in_one_block(observations, block_rounds, "round"):
+        started = blocks.withColumn("start", F.col("init"))
     else:
         blocks = durable(blocks, "steps")
-        starts = _block_starts(blocks, d_th, init, rehab_every).select("client_id", "block", "start")
-        started = blocks.join(broadcast_if_small(starts), ["client_id", "block"])
+        settled = _block_starts(blocks, d_th, rehab_every).select("client_id", "block", "start")
+        started = blocks.join(broadcast_if_small(settled), ["client_id", "block"])
     path = _path(F.col("start"), "steps", d_th, rehab_every)
     return started.select("client_id", F.explode(path).alias("p")).select("client_id", "p.round", "p.score")
 

@@ -257,7 +257,7 @@ def _train_in_chunks(
         cut = F.shiftright("_key", 64 - 4 * max(1, hex_digits_for(total)))
         placed = sliced_position(keyed, [key], [F.col("_key"), F.col("row_id")], cut, "_place").drop("_key")
         placed = placed.withColumn("_chunk", F.expr(f"_place div {chunk}L"))
-        placed = durable(placed.repartition("_chunk", key), "epoch")
+        placed = durable(placed.repartition("_chunk", key), "epoch", partition_by="_chunk")
         for c in range(-(-largest // chunk)):
             rows = placed.filter(F.col("_chunk") == c).drop("_chunk")
             state = durable(

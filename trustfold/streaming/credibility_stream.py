@@ -48,6 +48,10 @@ def streaming_credibility(
     client is one score plus the rows of the watermark delay. Rows behind the
     watermark never reach the state; ``late_rows`` counts them. Run in update
     mode; the row with the most rounds is a client's current one.
+
+    This is the low-latency form: one client's rows of a trigger meet in one
+    task. For backlogs or clients with a large share of the stream use
+    ``credibility_batches``, which splits them.
     """
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
