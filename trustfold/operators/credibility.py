@@ -14,6 +14,7 @@ from trustfold.functions.sizing import broadcast_if_small
 from trustfold.functions.storage import durable
 
 BLOCK_ROUNDS = 4096
+PATH_RUN = 64
 
 
 # --- the rule as column expressions ---
@@ -96,18 +97,42 @@ def _image(low: Column, high: Column, steps: str, d_th: float, every: int) -> Co
 
 
 def _path(start: Column, steps: str, d_th: float, every: int) -> Column:
-    """Array of (round, score) after each of ``steps``."""
+    """Array of (round, score) after each of ``steps``.
+
+    Appending copies the array, so the steps are cut into short runs: one
+    pass finds the score before every run, the next one writes the runs out.
+    """
     limit = F.lit(float(d_th))
-    seed = F.struct(start.alias("score"), F.expr("cast(array() as array<struct<round:bigint,score:double>>)").alias("path"))
+    count = F.size(steps)
+    runs = F.transform(
+        F.sequence(F.lit(0), F.floor((count - 1) / PATH_RUN).cast("int")),
+        lambda i: F.slice(steps, i * PATH_RUN + 1, F.lit(PATH_RUN)),
+    )
 
-    def step(acc: Column, s: Column) -> Column:
-        score = credibility_step(acc["score"], s["dist"], limit, s["secure"], _rehab_round(s["round"], every))
+    def after(score: Column, s: Column) -> Column:
+        return credibility_step(score, s["dist"], limit, s["secure"], _rehab_round(s["round"], every))
+
+    def empty(kind: str) -> Column:
+        return F.expr(f"cast(array() as array<{kind}>)")
+
+    def next_run(acc: Column, run: Column) -> Column:
         return F.struct(
-            score.alias("score"),
-            F.array_append(acc["path"], F.struct(s["round"].alias("round"), score.alias("score"))).alias("path"),
+            F.aggregate(run, acc["score"], after).alias("score"),
+            F.array_append(acc["befores"], acc["score"]).alias("befores"),
         )
 
-    return F.aggregate(steps, seed, step, lambda acc: acc["path"])
+    def next_step(acc: Column, s: Column) -> Column:
+        score = after(acc["score"], s)
+        point = F.struct(s["round"].alias("round"), score.alias("score"))
+        return F.struct(score.alias("score"), F.array_append(acc["path"], point).alias("path"))
+
+    def written(run: Column, before: Column) -> Column:
+        seed = F.struct(before.alias("score"), empty("struct<round:bigint,score:double>").alias("path"))
+        return F.aggregate(run, seed, next_step, lambda acc: acc["path"])
+
+    seed = F.struct(start.alias("score"), empty("double").alias("befores"))
+    befores = F.aggregate(runs, seed, next_run, lambda acc: acc["befores"])
+    return F.flatten(F.zip_with(runs, befores, written))
 
 
 def _step_blocks(
