@@ -39,6 +39,17 @@ def test_attackers_lose_all_trust_in_round_one(spark, data, prepared, attack, ra
         assert reached > uniform
 
 
+def test_a_client_without_rows_is_held(spark, prepared):
+    dealt, subsets = [df.filter("client_id <> 7") for df in prepared]
+    settings = replace(ROUND, attack=0, d_th=1.0)
+    following, table = rounds.run_round(dealt, subsets, rounds.initial_state(spark, settings), 1.0, settings)
+    rows = {r["client_id"]: r for r in table.collect()}
+    assert rows[7]["dist"] is None and rows[7]["score"] == 0.5 and not rows[7]["secure"]
+    assert rows[8]["dist"] is not None or rows[8]["score"] == 0.5
+    assert sum(r["score"] == 0.6 for r in rows.values()) >= 8
+    assert following.model.count() == 650
+
+
 def test_fit_resumes_and_records_failures(spark, data, prepared, monkeypatch):
     settings = replace(ROUND, rounds=3, d_th=1.0, ratio=0.2)
     path = fresh_path(spark, "fit")

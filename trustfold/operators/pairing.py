@@ -53,9 +53,11 @@ def free_offset(used: DataFrame, clients: int) -> DataFrame:
     return free.agg(F.coalesce(F.min("offset"), F.lit(1)).cast("bigint").alias("offset"))
 
 
-def pair(credibility: DataFrame, history: DataFrame, orientation: str = "reversed") -> DataFrame:
+def pair(
+    credibility: DataFrame, history: DataFrame, orientation: str = "reversed", clients: int | None = None
+) -> DataFrame:
     """(rank, verifier, prover): rank i verifies rank i + offset, the smallest unused offset."""
-    clients = credibility.count()
+    clients = credibility.count() if clients is None else clients
     ranks = rank_clients(credibility, clients).select("client_id", "rank")
     offset = free_offset(used_offsets(ranks, history, clients, orientation), clients).scalar()
     verifiers = ranks.select(

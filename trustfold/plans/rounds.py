@@ -122,7 +122,7 @@ def run_round(
     """
     keys = client_keys(state.credibility, settings.seed) if keys is None else keys
     clients = settings.clients
-    pairing = durable(pair(state.credibility, state.history, settings.orientation), "pairing")
+    pairing = durable(pair(state.credibility, state.history, settings.orientation, clients), "pairing")
     delivered = deliver(subsets, pairing, clients)
     if settings.sealed:
         delivered = open_(durable(seal(delivered, keys, round_no, clients=clients), "packages"), keys, clients)
@@ -132,7 +132,8 @@ def run_round(
         corrupt(trained, settings.attack, settings.clients, settings.ratio, settings.seed, round_no), "updates"
     )
     auth = _authenticate(dealt, delivered, state.model, settings)
-    distances = pair_distance(match_updates(updates, auth, pairing, clients))
+    # a client without rows has no update: its score and its prover's are held, and the round goes on
+    distances = pair_distance(match_updates(updates, auth, pairing, clients), missing="hold")
     links = verify(updates, attest(updates, keys, clients=clients), keys, clients=clients)
 
     rehab = round_no > 1 and (round_no - 1) % C.REHAB_EVERY == 0
