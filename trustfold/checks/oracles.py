@@ -490,6 +490,11 @@ ORACLES: dict[str, str] = {
     "history_round_trip": _with(
         "SELECT run_id, CAST(1 AS INTEGER) AS segment, CAST(round AS BIGINT) AS round, client_id, score FROM history", "history"
     ),
+    "history_segments": _with(
+        "SELECT run_id, CAST(1 AS INTEGER) AS segment, round, client_id, score FROM history UNION ALL "
+        "SELECT run_id, CAST(2 AS INTEGER), round, client_id, score FROM history WHERE round <= 15",
+        "history",
+    ),
     "run_file_metadata":
         "SELECT doc_id, CAST(length(lang) AS INTEGER) AS attack, CAST('0.' || (doc_id % 10) AS DOUBLE) AS ratio, "
         "CAST(n_chars AS DOUBLE) AS d_th FROM documents",

@@ -121,10 +121,34 @@ def history_round_trip(spark, sf_dir):
     histories.write_history(_run_history(spark, sf_dir), path, range(C.CLIENTS))
     long = histories.read_history(spark, f"{path}/*")
     counted = long.withColumn("run_id", F.regexp_extract("path", r"run_id=(\w+)", 1))
-    # Spark starts a file per run and partition, so every file holds one segment
+    # every run is written to its own file, which holds one segment
     return counted.select("run_id", "segment", F.col("round").cast("bigint").alias("round"), "client_id", "score")
 
 
+@query
+def history_segments(spark, sf_dir):
+    """A file per run with the whole run and a restart that stopped after 15 rounds, each under its header."""
+    wide = durable(histories.wide_history(_run_history(spark, sf_dir), range(C.CLIENTS)), "wide")
+    names = [c for c in wide.columns if c not in ("run_id", "Round")]
+    scores = [F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names]
+    rows = wide.select("run_id", F.col("Round").alias("at"), F.concat_ws(",", "Round", *scores).alias("value"))
+    headers = wide.select("run_id").distinct().select(
+        "run_id", F.lit(0).cast("bigint").alias("at"), F.lit(",".join(["Round", *names])).alias("value")
+    )
+    whole = rows.unionByName(headers).withColumn("part", F.lit(1))
+    restart = rows.filter(F.col("at") <= 15).unionByName(headers).withColumn("part", F.lit(2))
+    path = fresh_path(spark, "appended")
+    (
+        whole.unionByName(restart).repartition("run_id").sortWithinPartitions("run_id", "part", "at")
+        .select("run_id", "value").write.partitionBy("run_id").text(path)
+    )
+    long = histories.read_history(spark, f"{path}/*")
+    return long.select(
+        F.regexp_extract("path", r"run_id=(\w+)", 1).alias("run_id"), "segment",
+        F.col("round").cast("bigint").alias("round"), "client_id", "score",
+    )
+
+
 @query
 def run_file_metadata(spark, sf_dir):
     """File names of one run per document source and language, parsed back."""

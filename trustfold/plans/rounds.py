@@ -25,6 +25,7 @@ from trustfold.operators.training import (
     accuracy, argmax_class, predict, train_auth, train_fullbatch, train_minibatch, training_steps, zero_model,
 )
 from trustfold.plans.threshold import estimate_threshold, half_sample_distances, reshuffled_distances
+from trustfold.sources.models import save_best
 
 
 @dataclass(frozen=True)
@@ -188,6 +189,7 @@ def federated_fit(
     and history are written under ``path``, which cuts the lineage and lets
     a killed run resume behind its last whole round. A failed round is
     recorded with its outcome and leaves model, scores and history untouched.
+    A model that strictly beats all before is also kept under ``path/best``.
     """
     spark = train.sparkSession
     path = path or fresh_path(spark, "fit")
@@ -235,6 +237,7 @@ def _one_round(spark, dealt, subsets, test, state, d_th, settings, round_no, bes
         table.write.mode("overwrite").parquet(_part(path, round_no, "table"))
         stored = spark.read.parquet(_part(path, round_no, "model"))
         reached = evaluate(test, stored, settings.classes).first()["accuracy"]
+        save_best(stored, reached, best, f"{path}/best")
     except Exception as error:  # a failed round is skipped, whatever broke it
         outcome = f"failed: {type(error).__name__}: {str(error)[:200]}"
         last_good = 0
