@@ -196,7 +196,9 @@ def client_subset(
 def label_skew(dealt: DataFrame) -> DataFrame:
     """Per client and label: rows and share; per client: labels held."""
     cells = dealt.groupBy("client_id", "label").agg(F.count(F.lit(1)).alias("n"))
-    totals = cells.groupBy("client_id").agg(
-        F.sum("n").alias("client_rows"), F.count(F.lit(1)).alias("labels_held")
+    of_client = Window.partitionBy("client_id")  # over the counts: one row per label a client holds
+    return (
+        cells.withColumn("client_rows", F.sum("n").over(of_client))
+        .withColumn("labels_held", F.count(F.lit(1)).over(of_client))
+        .withColumn("share", F.col("n") / F.col("client_rows"))
     )
-    return cells.join(totals, "client_id").withColumn("share", F.col("n") / F.col("client_rows"))
