@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustfold.llm.packing import pack_documents
+from trustfold.llm.simhash import near_duplicates
 from trustfold.llm.token_output import Matrices, matrix_rows, pack_matrices
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,9 +42,16 @@ def op2_packed_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_cost_balanced_packing": op1_cost_balanced_packing,
     "op2_packed_matrices": op2_packed_matrices,
+    "op10_golay_simhash": op10_golay_simhash,
 }
 
 ORACLES: dict[str, str] = {}
