@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustfold.llm.decontamination import contamination
 from trustfold.llm.packing import pack_documents
+from trustfold.llm.pii import BASE, find_spans
 from trustfold.llm.simhash import near_duplicates
 from trustfold.llm.token_output import Matrices, matrix_rows, pack_matrices
 
@@ -43,6 +44,22 @@ def op2_packed_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _listed(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op3_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and checksum of the base spans, and all spans, of every document."""
+    found = find_spans(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [_count(kind) for kind in BASE]
+    return found.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+
+
+def _count(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words inside benchmark windows, and the verdict, of every document."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -61,6 +78,7 @@ def op10_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_cost_balanced_packing": op1_cost_balanced_packing,
     "op2_packed_matrices": op2_packed_matrices,
+    "op3_weak_supervision_pii": op3_weak_supervision_pii,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op10_golay_simhash": op10_golay_simhash,
 }
