@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustfold.llm.decontamination import contamination
+from trustfold.llm.fingerprints import fingerprint_report
 from trustfold.llm.packing import pack_documents
 from trustfold.llm.pii import BASE, find_spans
 from trustfold.llm.simhash import near_duplicates
@@ -60,6 +61,11 @@ def _count(kind: str) -> Column:
     return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
 
 
+def op4_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and what they say of its likeness to that and to the next."""
+    return fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words inside benchmark windows, and the verdict, of every document."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -79,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op1_cost_balanced_packing": op1_cost_balanced_packing,
     "op2_packed_matrices": op2_packed_matrices,
     "op3_weak_supervision_pii": op3_weak_supervision_pii,
+    "op4_one_permutation_minhash": op4_one_permutation_minhash,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op10_golay_simhash": op10_golay_simhash,
 }
