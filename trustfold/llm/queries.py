@@ -12,6 +12,7 @@ from trustfold.llm.decontamination import contamination
 from trustfold.llm.fingerprints import fingerprint_report
 from trustfold.llm.packing import pack_documents
 from trustfold.llm.pii import BASE, find_spans
+from trustfold.llm.quality import quality
 from trustfold.llm.simhash import near_duplicates
 from trustfold.llm.token_output import Matrices, matrix_rows, pack_matrices
 
@@ -66,6 +67,11 @@ def op4_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_report(table(spark, sf_dir, "documents"))
 
 
+def op6_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and verdict of every document, by weights learned from two thirds of the labelled ones."""
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words inside benchmark windows, and the verdict, of every document."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -86,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op2_packed_matrices": op2_packed_matrices,
     "op3_weak_supervision_pii": op3_weak_supervision_pii,
     "op4_one_permutation_minhash": op4_one_permutation_minhash,
+    "op6_attention_quality": op6_attention_quality,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op10_golay_simhash": op10_golay_simhash,
 }
