@@ -28,7 +28,7 @@ from trustfold.llm.columns import text_key, whole
 
 PASSAGE_BYTES = 1024
 CHUNK_BYTES = 1 << 21
-#: Added to the length when counts become shares, so that a few words say little.
+#: Bytes at which a passage counts for half of what its features say; a few words say little.
 SPARSE_BYTES = 64
 #: Classes of bytes: other, letters, capitals, digits, space, line end, signs of several kinds, bytes beyond ASCII.
 CLASSES = ("", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\n\r", ".", ",;:", "!?", "|", "'\"()-", "#$%&*+/<=>@[\\]^_`{}~")
@@ -81,7 +81,7 @@ def encode(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     after[np.cumsum(lengths)[lengths > 0] - 1] = 0  # what follows belongs to the next passage
     pairs = np.bincount((of * N_CLASSES + kind) * N_CLASSES + after, minlength=n * N_CLASSES * N_CLASSES).reshape(n, -1)
     out = np.empty((n, N_FEATURES), np.float32)
-    size = (lengths + SPARSE_BYTES)[:, None]
+    size = np.maximum(1, lengths)[:, None]
     out[:, :-5] = np.sqrt(pairs / size)
     # words: the six bytes from each start of a word tell most words apart
     blank = data <= 32
@@ -100,7 +100,7 @@ def encode(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     out[:, -4] = np.log1p(words) / 6
     out[:, -3] = lengths / some / 16
     out[:, -2] = lines / some
-    out[:, -1] = np.minimum(1, lengths / PASSAGE_BYTES)
+    out[:, -1] = lengths / (lengths + SPARSE_BYTES)
     np.clip(out, 0, 4, out=out)
     return out
 
@@ -144,10 +144,14 @@ class Attention:
             "U": draw(how.hidden, how.attention), "a": draw(how.attention), "c": draw(how.hidden), "d": np.zeros(1),
         })
 
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        """Features in standard units, bounded so that no single one decides, and drawn to the mean for short passages."""
+        return np.clip((x - self.w["mean"]) / self.w["scale"], -3, 3) * x[:, -1:]
+
     def passages(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
         """(hidden, tanh gate, sigmoid gate, attention logit) of each passage."""
         w = self.w
-        h = np.tanh((x - w["mean"]) / w["scale"] @ w["W"] + w["b"])
+        h = np.tanh(self.scaled(x) @ w["W"] + w["b"])
         t, s = np.tanh(h @ w["V"]), 1 / (1 + np.exp(-(h @ w["U"])))
         return h, t, s, (t * s) @ w["a"]
 
@@ -162,7 +166,7 @@ class Attention:
 
     def gradients(self, x: np.ndarray, of: np.ndarray, label: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         w, n = self.w, len(label)
-        x = (x - w["mean"]) / w["scale"]
+        x = self.scaled(x)
         h = np.tanh(x @ w["W"] + w["b"])
         t, s = np.tanh(h @ w["V"]), 1 / (1 + np.exp(-(h @ w["U"])))
         e = np.exp((t * s) @ w["a"])
