@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trustfold.llm.decontamination import contamination
 from trustfold.llm.fingerprints import fingerprint_report
+from trustfold.llm.html_extraction import main_text
 from trustfold.llm.packing import pack_documents
 from trustfold.llm.pii import BASE, find_spans
 from trustfold.llm.quality import quality
@@ -81,6 +82,12 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op8_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
@@ -94,6 +101,7 @@ QUERIES: dict[str, Query] = {
     "op4_one_permutation_minhash": op4_one_permutation_minhash,
     "op6_attention_quality": op6_attention_quality,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_site_style_tree": op8_site_style_tree,
     "op10_golay_simhash": op10_golay_simhash,
 }
 
