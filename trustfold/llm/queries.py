@@ -14,6 +14,7 @@ from trustfold.llm.html_extraction import main_text
 from trustfold.llm.packing import pack_documents
 from trustfold.llm.pii import BASE, find_spans
 from trustfold.llm.quality import quality
+from trustfold.llm.sharding import hilbert_shards
 from trustfold.llm.simhash import near_duplicates
 from trustfold.llm.token_output import Matrices, matrix_rows, pack_matrices
 
@@ -88,6 +89,14 @@ def op8_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document; shards are equal in rows."""
+    found = hilbert_shards(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op10_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
@@ -102,6 +111,7 @@ QUERIES: dict[str, Query] = {
     "op6_attention_quality": op6_attention_quality,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_site_style_tree": op8_site_style_tree,
+    "op9_hilbert_shards": op9_hilbert_shards,
     "op10_golay_simhash": op10_golay_simhash,
 }
 
