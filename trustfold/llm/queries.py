@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from trustfold.llm.decontamination import contamination
 from trustfold.llm.fingerprints import fingerprint_report
 from trustfold.llm.html_extraction import main_text
+from trustfold.llm.license_texts import TEMPLATES
+from trustfold.llm.licenses import scan
 from trustfold.llm.packing import pack_documents
 from trustfold.llm.pii import BASE, find_spans
 from trustfold.llm.quality import quality
@@ -69,6 +71,18 @@ def op4_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_report(table(spark, sf_dir, "documents"))
 
 
+def op5_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License templates that every document contains."""
+    templates = spark.createDataFrame(TEMPLATES, "template_id string, license string, text string")
+    found = scan(table(spark, sf_dir, "documents"), templates)
+    return found.select(
+        "doc_id", F.size("matches").cast("long").alias("n_matches"),
+        F.array_join(F.transform("matches", lambda m: m["template_id"]), ",").alias("templates"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"]))), ",").alias("licenses"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0)).alias("containment"),
+    )
+
+
 def op6_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and verdict of every document, by weights learned from two thirds of the labelled ones."""
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -108,6 +122,7 @@ QUERIES: dict[str, Query] = {
     "op2_packed_matrices": op2_packed_matrices,
     "op3_weak_supervision_pii": op3_weak_supervision_pii,
     "op4_one_permutation_minhash": op4_one_permutation_minhash,
+    "op5_license_windows": op5_license_windows,
     "op6_attention_quality": op6_attention_quality,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_site_style_tree": op8_site_style_tree,
@@ -115,17 +130,45 @@ QUERIES: dict[str, Query] = {
     "op10_golay_simhash": op10_golay_simhash,
 }
 
+_WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+_QUOTED = ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" for v in row) + ")" for row in TEMPLATES)
+
 ORACLES: dict[str, str] = {
-    "op7_benchmark_decontamination": """
+    "op5_license_windows": f"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents
+        ), t AS (
+            SELECT template_id, license, {_WORDS} AS w FROM (VALUES {_QUOTED}) AS v(template_id, license, text)
+        ), s AS (
+            SELECT DISTINCT r, array_to_string(list_slice(w, i, i + 4), ' ') AS g
+            FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+        ), u AS (
+            SELECT DISTINCT template_id, license, array_to_string(list_slice(w, i, i + 4), ' ') AS g
+            FROM (SELECT template_id, license, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM t WHERE len(w) > 0)
+        ), n AS (
+            SELECT template_id, count(*) AS n FROM u GROUP BY template_id
+        ), m AS (
+            SELECT r, template_id, license, count(*) / any_value(n) AS share
+            FROM s JOIN u USING (g) JOIN n USING (template_id) GROUP BY r, template_id, license
+            HAVING count(*) / any_value(n) >= 0.8
+        ), a AS (
+            SELECT r, count(*) AS n_matches, string_agg(template_id, ',' ORDER BY template_id) AS templates,
+                   array_to_string(list_sort(list(DISTINCT license)), ',') AS licenses, max(share) AS containment
+            FROM m GROUP BY r
+        )
+        SELECT doc_id, coalesce(n_matches, 0) AS n_matches, coalesce(templates, '') AS templates,
+               coalesce(licenses, '') AS licenses, coalesce(containment, 0.0) AS containment
+        FROM d LEFT JOIN a USING (r)
+    """,
+    "op7_benchmark_decontamination": f"""
         WITH d AS (
             SELECT doc_id, row_number() OVER () AS r,
-                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                      '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+                   {_WORDS} AS w
             FROM documents
         ), b AS (
             SELECT CAST(item_id AS VARCHAR) AS item_id,
-                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                      '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+                   {_WORDS} AS w
             FROM benchmark
         ), g AS (
             SELECT DISTINCT item_id, least(len(w), 13) AS n, list_slice(w, i, i + least(len(w), 13) - 1) AS gram
