@@ -39,6 +39,13 @@ def test_nobody_trusted_keeps_the_model(spark):
     assert [(r["value"], r["kept"]) for r in kept] == [(1.0, True), (2.0, True)]
 
 
+@pytest.mark.parametrize("cells", [[1.0], [1.0, 2.0, 3.0]])
+def test_a_model_of_other_cells_raises(spark, cells):
+    previous = _models(spark, {0: [1.0, 2.0]}).drop("client_id")
+    with pytest.raises(Exception, match="other cells"):
+        aggregation.next_global(_models(spark, {0: cells}).drop("client_id"), previous).collect()
+
+
 def test_distances_in_both_layouts(spark):
     a, b = _models(spark, {0: [0, 0, 0], 1: [1, 1, 1]}), _models(spark, {0: [2, 3, 6], 1: [1, 1, 1]})
     want = {0: 7.0, 1: 0.0}

@@ -101,3 +101,22 @@ def test_audit_flags_what_no_rule_explains(spark):
     assert [found["a", r, 1] for r in (1, 2)] == ["reward", "reward"]
     assert found["a", 1, 2] == "reward_insecure" and found["a", 1, 3] == "penalty_insecure"
     assert [found["b", r, 0] for r in (11, 12)] == ["rehab", "reward"]
+
+
+def test_missing_distance_holds_in_every_form(spark):
+    """Rounds 11 and 21 are rehabilitation rounds; a report that is missing there must not rehabilitate."""
+    from trustfold.streaming.credibility_stream import next_score
+
+    rows = [(0, r, None if r in (11, 21) else 50.0, True) for r in range(1, 24)]
+    df = spark.createDataFrame(rows, "client_id int, round int, dist double, secure boolean")
+    score, path = 0.5, []
+    for _, r, dist, secure in rows:
+        score = next_score(score, dist, 6.0, secure, r > 1 and (r - 1) % 10 == 0)
+        path.append(score)
+    assert path[10] == path[9] and path[20] == path[19] and path[10] < 1e-9
+    for block in (4096, 4):
+        traced = {p["round"]: p["score"] for p in credibility.trace_credibility(df, 6.0, block_rounds=block).collect()}
+        assert [traced[r] for r in range(1, 24)] == path
+        assert credibility.fold_credibility(df, 6.0, block_rounds=block).first()["score"] == path[-1]
+    step = spark.createDataFrame([(0.001, None, True, True)], "score double, dist double, secure boolean, rehab boolean")
+    assert credibility.update_credibility(step, 6.0, missing="hold").first()["new_score"] == 0.001

@@ -73,3 +73,18 @@ def test_subset_is_top_k_by_hash_for_hot_and_small_clients(spark):
     from hashlib import md5
     want = sorted(range(4000), key=lambda i: md5(f"5|subset|{i}".encode()).hexdigest())[:32]
     assert [r["row_id"] for r in sorted(got, key=lambda r: r["pos"]) if r["client_id"] == 0] == want
+
+
+@pytest.mark.parametrize("ids", [
+    [*range(1, 2000), 10**15], [-(2**63) + i * (2**64 // 2000) for i in range(2000)], list(range(2000)),
+])
+def test_shards_on_far_signed_and_dense_ids(spark, ids):
+    from trustfold.functions.positions import cut_of, quantile_cuts
+
+    df = spark.createDataFrame([(i, n % 3) for n, i in enumerate(ids)], "row_id bigint, label int")
+    got = {r["row_id"]: r["shard"] for r in dealing.label_shards(df, 5, 2, slice_rows=50).collect()}
+    order = sorted((n % 3, i) for n, i in enumerate(ids))
+    assert [got[i] for _, i in order] == [rank * 10 // len(ids) for rank in range(len(ids))]
+    cuts = quantile_cuts(df, "row_id", len(ids), 50)
+    sizes = df.groupBy(cut_of(F.col("row_id"), cuts)).count().collect()
+    assert len(sizes) >= 30 and max(r["count"] for r in sizes) <= 110

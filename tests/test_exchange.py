@@ -79,3 +79,18 @@ def test_proof_flags(spark):
         [(0, None), (1, {}), (2, {"zkp_status": True}), (3, {"zkp_status": False})], "i int, p map<string,boolean>"
     )
     assert [r[0] for r in df.orderBy("i").select(exchange.proof_ok("p")).collect()] == [False, False, True, False]
+
+
+def test_one_bad_chunk_voids_the_whole_sample(delivered, keys):
+    packages = exchange.seal(delivered, keys, chunk_rows=4)
+    bad = (F.col("verifier") == 2) & (F.col("chunk") == 1)
+    broken = packages.withColumn("m_tilde_t", F.when(bad, F.lit(b"x")).otherwise(F.col("m_tilde_t")))
+    assert {r["verifier"] for r in exchange.open_(broken, keys).collect()} == {0, 1, 3}
+
+
+def test_a_flipped_bit_is_noticed_where_the_text_still_parses(delivered, keys):
+    packages = exchange.seal(delivered, keys)
+    # the message begins with the initial vector, of which one bit flips one bit of the first plain block and nothing else
+    first = F.conv(F.hex(F.substring("m_t", 1, 1)), 16, 10).cast("int").bitwiseXOR(F.lit(1))
+    altered = packages.withColumn("m_t", F.concat(F.unhex(F.hex(first)), F.substring("m_t", 2, 2**31 - 1)))
+    assert exchange.open_packages(altered, keys).filter(F.col("rows").isNotNull()).isEmpty()

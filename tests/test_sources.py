@@ -90,3 +90,12 @@ def test_detection(spark):
     history = spark.createDataFrame(rows, "run string, round int, client_id bigint, score double")
     got = {r["client_id"]: (r["verdict"], r["first_excluded"], r["rounds_excluded"]) for r in reports.detection(history, ["run"], F.col("client_id") < 2).collect()}
     assert got == {0: ("detected", 1, 2), 1: ("missed", None, 0), 2: ("wrongly_excluded", 1, 1)}
+
+
+def test_log_keeps_rounds_without_the_first_client(spark):
+    from trustfold.sources.logs import accuracy_log
+
+    accuracy = spark.createDataFrame([(r, 0.1 * r) for r in range(1, 5)], "round bigint, accuracy double")
+    history = spark.createDataFrame([(2, 0, 0.7), (3, 1, 0.2), (1, 1, 0.4)], "round bigint, client_id int, score double")
+    rows = accuracy_log(accuracy, history).orderBy("Round").collect()
+    assert [(r["Round"], r["Credibility_C0"]) for r in rows] == [(1, 0.5), (2, 0.7), (3, 0.7), (4, 0.7)]

@@ -499,8 +499,9 @@ ORACLES: dict[str, str] = {
         "SELECT doc_id, CAST(length(lang) AS INTEGER) AS attack, CAST('0.' || (doc_id % 10) AS DOUBLE) AS ratio, "
         "CAST(n_chars AS DOUBLE) AS d_th FROM documents",
     "accuracy_log": _with(
-        "SELECT a.run_id, a.round AS \"Round\", a.accuracy AS \"Accuracy\", h.score AS \"Credibility_C0\" FROM run_accuracy a "
-        "JOIN history h ON a.run_id = h.run_id AND a.round = h.round WHERE h.client_id = 0",
+        "SELECT a.run_id, a.round AS \"Round\", a.accuracy AS \"Accuracy\", coalesce(last_value(h.score IGNORE NULLS) OVER "
+        "(PARTITION BY a.run_id ORDER BY a.round), 0.5::DOUBLE) AS \"Credibility_C0\" FROM run_accuracy a "
+        "LEFT JOIN history h ON a.run_id = h.run_id AND a.round = h.round AND h.client_id = 0",
         "run_accuracy", "history",
     ),
     "params_in_order": _with(
@@ -681,8 +682,10 @@ ORACLES: dict[str, str] = {
     "round_report": _with(
         "SELECT h.run_id, h.round, b.accuracy, greatest(b.accuracy, b.before) AS best, b.accuracy > b.before AS is_new_best, "
         "c.score AS score_c0, h.client_id, h.score, CASE WHEN h.score <= 0.001 THEN 'attacker' ELSE 'honest' END AS status "
-        "FROM history h JOIN best_log b ON h.run_id = b.run_id AND h.round = b.round "
-        "JOIN history c ON c.run_id = h.run_id AND c.round = h.round AND c.client_id = 0",
+        "FROM history h LEFT JOIN best_log b ON h.run_id = b.run_id AND h.round = b.round "
+        "JOIN (SELECT r.run_id, r.round, coalesce(last_value(o.score IGNORE NULLS) OVER (PARTITION BY r.run_id ORDER BY r.round), "
+        "0.5::DOUBLE) AS score FROM (SELECT DISTINCT run_id, round FROM history) r LEFT JOIN history o "
+        "ON o.run_id = r.run_id AND o.round = r.round AND o.client_id = 0) c ON c.run_id = h.run_id AND c.round = h.round",
         "history", "best_log",
     ),
 }

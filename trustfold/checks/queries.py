@@ -359,9 +359,7 @@ def used_offsets(spark, sf_dir):
 @query
 def model_distance(spark, sf_dir):
     halves = [durable(t.supplier_updates(spark, sf_dir, part), "updates") for part in (1, 2)]
-    shared = halves[0].join(halves[1].select("client_id", "layer").distinct(), ["client_id", "layer"], "left_semi")
-    other = halves[1].join(halves[0].select("client_id", "layer").distinct(), ["client_id", "layer"], "left_semi")
-    found = aggregation.model_distance(shared, other)
+    found = aggregation.model_distance(*halves)
     return found.select("client_id", rounded(F.col("dist"), 6).alias("dist"))
 
 
@@ -754,7 +752,6 @@ def round_report(spark, sf_dir):
     """Rounds of all runs: accuracy, best so far, first client's score, label of every client."""
     best = reports.best_so_far(t.run_accuracy(spark, sf_dir), ["run_id"])
     history = credibility.status(_run_history(spark, sf_dir))
-    first = history.filter(F.col("client_id") == 0).select("run_id", "round", F.col("score").alias("score_c0"))
-    return history.join(best, ["run_id", "round"]).join(first, ["run_id", "round"]).select(
+    return reports.round_table(history, best, ["run_id"]).select(
         "run_id", "round", "accuracy", "best", "is_new_best", "score_c0", "client_id", "score", "status"
     )

@@ -16,6 +16,8 @@ from trustfold.functions.sizing import BROADCAST_ROWS, broadcast_if_small
 from trustfold.functions.storage import durable
 
 SLICE_ROWS = 1_000_000
+#: Cuts of an order at most; they travel with the plan.
+MOST_CUTS = 5_000
 
 
 def hex_digits_for(rows: int, slice_rows: int = SLICE_ROWS) -> int:
@@ -23,6 +25,30 @@ def hex_digits_for(rows: int, slice_rows: int = SLICE_ROWS) -> int:
     return 0 if rows <= slice_rows else min(6, math.ceil(math.log(rows / slice_rows, 16)))
 
 
+def quantile_cuts(df: DataFrame, col: str, rows: int, rows_per_slice: int, most: int = MOST_CUTS) -> list[int]:
+    """Sorted values that begin slices of about ``rows_per_slice`` rows each; the first is the least value.
+
+    Cuts are values that occur, so clustered, sparse or negative ids give
+    slices as full as dense ones; only equal values can fill one beyond that.
+    At most ``most`` numbers come to the driver.
+    """
+    n = max(1, min(most, -(-rows // rows_per_slice)))
+    shares = [i / n for i in range(n)]
+    found = df.agg(F.min(col).alias("least"), F.percentile_approx(col, shares, max(10_000, 20 * n)).alias("cuts")).first()
+    return [] if found["least"] is None else sorted({found["least"], *found["cuts"]})
+
+
+def cut_of(value: Column, cuts: list[int]) -> Column:
+    """Number of the slice that holds ``value``, found by halving steps over the sorted cuts; 0 for what lies before them."""
+    borders = F.array(*map(F.lit, cuts))
+    steps = [1 << b for b in range(len(cuts).bit_length() - 1, -1, -1)]
+
+    def halve(at: Column, step: Column) -> Column:
+        return F.when(F.get(borders, at + step) <= value, at + step).otherwise(at)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), halve)
+
+
 def sliced_position(df: DataFrame, group: list[str], order: list[Column], cut: Column, out: str) -> DataFrame:
     """0-based position of each row in its group by ``order``.
 

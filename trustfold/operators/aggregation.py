@@ -119,9 +119,13 @@ def robust_aggregate(
 
 
 def next_global(aggregate: DataFrame, previous: DataFrame) -> DataFrame:
-    """The aggregate, or the previous model flagged ``kept`` when nobody was trusted."""
-    old = previous.select(*CELL, F.col("value").alias("_old"))
-    new = aggregate.select(*CELL, F.col("value").alias("_new"))
-    return old.join(new, CELL, "left").select(
-        *CELL, F.coalesce("_new", "_old").alias("value"), F.col("_new").isNull().alias("kept")
-    )
+    """The aggregate, or the previous model flagged ``kept`` when nobody was trusted.
+
+    An aggregate whose cells are not exactly those of the previous model raises.
+    """
+    old = previous.select(*CELL, F.col("value").alias("_old"), F.lit(True).alias("_had"))
+    new = aggregate.select(*CELL, F.col("value").alias("_new"), F.lit(True).alias("_has"))
+    kept = aggregate.agg(F.count(F.lit(1)) == 0).scalar()
+    differs = F.raise_error(F.lit("the new model has other cells than the previous one")).cast("double")
+    value = F.when(kept, F.col("_old")).when(F.col("_had") & F.col("_has"), F.col("_new")).otherwise(differs)
+    return old.join(new, CELL, "full_outer").select(*CELL, value.alias("value"), F.coalesce(kept, F.lit(False)).alias("kept"))

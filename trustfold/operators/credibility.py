@@ -40,9 +40,10 @@ def _near(dist: Column, d_th: Column) -> Column:
 
 def credibility_step(score: Column, dist: Column, d_th: Column, secure: Column, rehab: Column) -> Column:
     """Next score. In a rehabilitation round a locked client (score <= 0.01) that is
-    near enough gets a fixed small score instead, even after a signature failure."""
+    near enough gets a fixed small score instead, even after a signature failure.
+    A missing distance holds the score, whatever the round."""
     locked = score <= F.lit(REHAB_SCORE_LIMIT)
-    return F.when(rehab & locked & _near(dist, d_th), _recovered(dist, d_th)).otherwise(
+    return F.when(dist.isNull(), score).when(rehab & locked & _near(dist, d_th), _recovered(dist, d_th)).otherwise(
         _ordinary(score, dist, d_th, secure)
     )
 
@@ -50,8 +51,10 @@ def credibility_step(score: Column, dist: Column, d_th: Column, secure: Column,
 def update_credibility(scored: DataFrame, d_th: float | Column, missing: str = "error") -> DataFrame:
     """Add ``new_score`` to rows (score, dist, secure, rehab), a map-only projection.
 
-    A NULL distance raises, or keeps the score with ``missing='hold'``.
+    A NULL distance raises, or with ``missing='hold'`` keeps the score as the fold does.
     """
+    if missing not in ("error", "hold"):
+        raise ValueError(f"missing must be 'error' or 'hold', got {missing!r}")
     limit = F.lit(float(d_th)) if isinstance(d_th, (int, float)) else d_th
     step = credibility_step(F.col("score"), F.col("dist"), limit, F.col("secure"), F.col("rehab"))
     absent = F.col("score") if missing == "hold" else F.raise_error(F.lit("distance is missing")).cast("double")
@@ -81,13 +84,14 @@ def _image(low: Column, high: Column, steps: str, d_th: float, every: int) -> Co
 
         fixed = _recovered(s["dist"], limit)
         rehab = _rehab_round(s["round"], every) & _near(s["dist"], limit)
+        held = s["dist"].isNull()
         low_next = (
-            F.when(~rehab | (acc["low"] > lock), ordinary(acc["low"]))
+            F.when(held, acc["low"]).when(~rehab | (acc["low"] > lock), ordinary(acc["low"]))
             .when(acc["high"] <= lock, fixed)
             .otherwise(F.least(fixed, ordinary(lock)))
         )
         high_next = (
-            F.when(~rehab | (acc["low"] > lock), ordinary(acc["high"]))
+            F.when(held, acc["high"]).when(~rehab | (acc["low"] > lock), ordinary(acc["high"]))
             .when(acc["high"] <= lock, fixed)
             .otherwise(F.greatest(fixed, ordinary(acc["high"])))
         )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trustfold.constants import CLIENTS, DEAL_SEED, DEFAULT_SUBSET_ROWS, SHARDS_PER_CLIENT
 from trustfold.functions.hashing import order_key
-from trustfold.functions.positions import SLICE_ROWS, hex_digits_for, sliced_position
+from trustfold.functions.positions import MOST_CUTS, SLICE_ROWS, cut_of, hex_digits_for, quantile_cuts, sliced_position
 from trustfold.functions.sizing import broadcast_if_small
 
 #: Rows per id slice of a label, and slices over all labels, aimed at when sharding.
@@ -64,7 +64,7 @@ def label_shards(
 ) -> DataFrame:
     """Add ``shard``: rows sorted by (label, id), cut into equal contiguous shards.
 
-    Two narrow aggregates count rows and then rows per (label, id range).
+    Narrow aggregates find quantiles of the ids and count rows per (label, id range).
     The prefix sums of these counts tell the shard of every id range that
     lies inside one shard, so the bulk of the rows takes its shard from a
     lookup without being sorted or moved. Only ranges that a border
@@ -74,9 +74,9 @@ def label_shards(
     stats = id_stats(df, id_col, label_col) if stats is None else stats
     rows = stats["n"]
     _require_capacity(rows, clients, shards_per_client)
-    slices = max(1, min(-(-rows // slice_rows), SHARD_SLICES // stats["labels"]))
-    width = (stats["hi"] - stats["lo"]) // slices + 1
-    sliced = df.withColumn("_slice", F.expr(f"(`{id_col}` - {stats['lo']}L) div {width}L"))
+    cuts = quantile_cuts(df, id_col, rows, slice_rows, max(1, min(MOST_CUTS, SHARD_SLICES // stats["labels"])))
+    slices = len(cuts)
+    sliced = df.withColumn("_slice", cut_of(F.col(id_col), cuts) if slices > 1 else F.lit(0))
     keys = [label_col, "_slice"]
 
     # the window below runs over the slice counts, at most max(SHARD_SLICES, labels) rows

@@ -7,7 +7,7 @@ signature a third party could check.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustfold.functions.sizing import broadcast_if_small
@@ -16,6 +16,8 @@ CHUNK_ROWS = 512
 CELLS_PER_BLOCK = 4096
 #: Cells are signed as integers of this many decimals, so both sides hash the same text.
 SIGNED_DECIMALS = 9
+#: Hexadecimal digits of a SHA-256 digest.
+DIGEST_CHARS = 64
 PAYLOAD = "array<struct<pos:bigint,row_id:bigint,features:array<double>,label:int>>"
 
 
@@ -38,13 +40,20 @@ def with_key(
     return df.join(broadcast_if_small(named, clients), client)
 
 
+def _seal_digest(payload: str, round_no: Column) -> Column:
+    """Hex digest that only a holder of the data key can make; it is checked before the rows are read."""
+    parts = [F.hex("_data_key"), round_no.cast("string"), "verifier", "prover", "chunk", payload]
+    return F.sha2(F.concat_ws("|", *parts), 256)
+
+
 def seal(
     delivered: DataFrame, keys: DataFrame, round_no: int = 1, chunk_rows: int = CHUNK_ROWS, clients: int | None = None
 ) -> DataFrame:
     """(round, verifier, prover, chunk, m_t, m_tilde_t, iv): samples under AES-256-CBC.
 
     A fresh data key per chunk, derived from the prover's secret, encrypts
-    the rows; the data key travels wrapped under the verifier's secret.
+    the rows; the data key travels wrapped under the verifier's secret. The
+    plain text begins with a digest of data key, round, pair, chunk and rows.
     """
     payload = F.to_json(F.array_sort(F.collect_list(F.struct("pos", "row_id", "features", "label"))))
     packed = (
@@ -58,7 +67,7 @@ def seal(
     keyed = keyed.withColumn("iv", F.unhex(F.md5(F.concat(F.lit("iv|"), F.hex("_data_key")))))
     return keyed.select(
         F.lit(round_no).alias("round"), "verifier", "prover", "chunk",
-        F.aes_encrypt("payload", "_data_key", F.lit("CBC"), F.lit("PKCS"), "iv").alias("m_t"),
+        F.aes_encrypt(F.concat(_seal_digest("payload", F.lit(round_no)), "payload"), "_data_key", F.lit("CBC"), F.lit("PKCS"), "iv").alias("m_t"),
         F.aes_encrypt("_data_key", "_recipient", F.lit("GCM"), F.lit("DEFAULT"), F.substring("iv", 1, 12)).alias(
             "m_tilde_t"
         ),
@@ -72,12 +81,18 @@ def open_packages(packages: DataFrame, keys: DataFrame, clients: int | None = No
     data_key = F.try_aes_decrypt("m_tilde_t", "_recipient", F.lit("GCM"), F.lit("DEFAULT"))
     keyed = keyed.withColumn("_data_key", data_key)
     text = F.try_aes_decrypt("m_t", "_data_key", F.lit("CBC"), F.lit("PKCS")).cast("string")
-    return keyed.withColumn("rows", F.from_json(text, PAYLOAD)).drop("_recipient", "_data_key")
+    keyed = keyed.withColumn("_text", text).withColumn("_payload", F.substring("_text", DIGEST_CHARS + 1, 2**31 - 1))
+    genuine = F.substring("_text", 1, DIGEST_CHARS) == _seal_digest("_payload", F.col("round"))
+    rows = F.when(genuine, F.from_json("_payload", PAYLOAD))
+    return keyed.withColumn("rows", rows).drop("_recipient", "_data_key", "_text", "_payload")
 
 
 def open_(packages: DataFrame, keys: DataFrame, clients: int | None = None) -> DataFrame:
-    """The delivered rows again; unreadable packages give none."""
-    return open_packages(packages, keys, clients).select("verifier", "prover", F.inline("rows"))
+    """The delivered rows again; a pair with an unreadable package gives none, as part of a sample is no sample."""
+    opened = open_packages(packages, keys, clients)
+    # a pair's packages are one sample, whose size is a parameter of the delivery
+    whole = F.min(F.col("rows").isNotNull()).over(Window.partitionBy("verifier", "prover"))
+    return opened.withColumn("_whole", whole).filter("_whole").select("verifier", "prover", F.inline("rows"))
 
 
 def attest(

@@ -48,14 +48,14 @@ def random_crop(
     left = F.array_repeat(zero, F.greatest(-dx, F.lit(0)))
     right = F.array_repeat(zero, F.greatest(dx, F.lit(0)))
     kept, skip = F.lit(width) - F.abs(dx), F.greatest(dx, F.lit(0))
-    rows = [
-        F.when(
-            (F.lit(r) + dy >= 0) & (F.lit(r) + dy < height),
-            F.concat(left, _image_row(image, F.lit(r) + dy, width, skip, kept), right),
-        ).otherwise(F.array_repeat(zero, F.lit(width)))
-        for r in range(height)
-    ]
-    return shifted.withColumn(col, F.concat(*rows)).drop("_dy", "_dx")
+    def image_row(r: Column) -> Column:
+        inside = (r + dy >= 0) & (r + dy < height)
+        return F.when(inside, F.concat(left, _image_row(image, r + dy, width, skip, kept), right)).otherwise(
+            F.array_repeat(zero, F.lit(width))
+        )
+
+    rows = F.transform(F.sequence(F.lit(0), F.lit(height - 1)), image_row)
+    return shifted.withColumn(col, F.flatten(rows)).drop("_dy", "_dx")
 
 
 def random_hflip(

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trustfold.constants import EXCLUSION_LIMIT
+from trustfold.constants import EXCLUSION_LIMIT, INITIAL_SCORE
 from trustfold.functions.positions import maximum_before
 from trustfold.functions.sizing import broadcast_if_small
 
@@ -21,6 +21,26 @@ def best_so_far(log: DataFrame, run: list[str]) -> DataFrame:
     )
 
 
+def carried_score(rounds: DataFrame, history: DataFrame, run: list[str], out: str, client: int = 0) -> DataFrame:
+    """(run, round, out): one client's score in every round of ``rounds``.
+
+    A round in which the client was not seen has its last known score, the
+    initial one before the first.
+    """
+    keys = [*run, "round"]
+    seen = history.filter(F.col("client_id") == client).select(*keys, F.col("score").alias("_seen"))
+    last = F.last("_seen", ignorenulls=True).over(Window.partitionBy(*run).orderBy("round"))
+    every = rounds.select(*keys).distinct().join(seen, keys, "left")
+    return every.select(*keys, F.coalesce(last, F.lit(INITIAL_SCORE)).alias(out))
+
+
+def round_table(history: DataFrame, accuracy: DataFrame, run: list[str]) -> DataFrame:
+    """``history`` with the accuracy columns of its round and the first client's score; no round is left out."""
+    keys = [*run, "round"]
+    scores = carried_score(history, history, run, "score_c0")
+    return history.join(accuracy, keys, "left").join(scores, keys)
+
+
 def run_summary(log: DataFrame, run: list[str], tail: int = 10) -> DataFrame:
     """Per run: rounds, final and best accuracy, first best round, mean of the last ``tail`` rounds.
 

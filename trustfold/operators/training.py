@@ -142,12 +142,13 @@ def train_fullbatch(
     if steps > 1:
         blocks = durable(blocks, "blocks")
     start = model.agg(_vector_of_group().alias("w")).scalar()
+    vector_bytes = 64 + 8 * model.count() if steps > 1 else 0  # a joined row holds a whole model
     weighted = blocks.withColumn("w", start)
     for step in range(steps):
         if step:
             vectors = cells.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("cells"))
             vectors = vectors.select(key, F.transform("cells", lambda c: c["value"]).alias("w"))
-            weighted = blocks.join(broadcast_if_small(vectors), key)
+            weighted = blocks.join(broadcast_if_small(vectors, row_bytes=vector_bytes), key)
         slope = _block_gradient(classes)("x", "y", "w")
         per_cell = weighted.select(
             key, F.size("y").alias("n"), F.posexplode(F.arrays_zip(slope.alias("g"), F.col("w").alias("w")))

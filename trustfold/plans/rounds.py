@@ -21,6 +21,7 @@ from trustfold.operators.credibility import status, update_credibility
 from trustfold.operators.dealing import client_subset, deal
 from trustfold.operators.exchange import attest, deliver, open_, seal, verify
 from trustfold.operators.pairing import pair, retain
+from trustfold.operators.reports import carried_score
 from trustfold.operators.training import (
     accuracy, argmax_class, predict, train_auth, train_fullbatch, train_minibatch, training_steps, zero_model,
 )
@@ -257,8 +258,8 @@ def round_report(spark: SparkSession, path: str) -> DataFrame:
         raise RuntimeError(f"no round succeeded: {outcomes.select('round', 'outcome').take(3)}")
     tables = spark.read.option("basePath", path).parquet(f"{path}/round=*/table")
     clients = status(tables.withColumn("round", F.col("round").cast("int")))
-    first = clients.filter(F.col("client_id") == 0).select("round", F.col("score").alias("score_c0"))
-    return outcomes.join(clients, "round", "left").join(first, "round", "left").select(
+    first = carried_score(outcomes, clients, [], "score_c0")
+    return outcomes.join(clients, "round", "left").join(first, "round").select(
         "round", "outcome", "d_th", "accuracy", "best", "is_best", "score_c0",
         "client_id", "verifier", "dist", "secure", "score_before", "score", "status",
     )

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trustfold.operators.reports import carried_score
+
 
 def accuracy_log(accuracy: DataFrame, history: DataFrame, client: int = 0) -> DataFrame:
-    """(Round, Accuracy, Credibility_C0) from accuracy(round) and the history's rows of one client."""
-    score = history.filter(F.col("client_id") == client).select("round", F.col("score").alias("Credibility_C0"))
+    """(Round, Accuracy, Credibility_C0) of every round of accuracy(round), with one client's score from the history.
+
+    Where the client was not seen its last known score stands.
+    """
+    score = carried_score(accuracy, history, [], "Credibility_C0", client)
     return accuracy.join(score, "round").select(
         F.col("round").alias("Round"), F.col("accuracy").alias("Accuracy"), "Credibility_C0"
     )

@@ -53,14 +53,16 @@ def apply_batch(
     """
     spark = rows.sparkSession
     clock = _read(spark, path, epoch - 1, "clock", CLOCK).first()
-    watermark, late = (clock["watermark_us"], clock["late"]) if clock else (-1, 0)
-
-    fresh = rows.filter(F.col("us") > watermark)
-    seen = rows.agg(F.count(F.lit(1)).alias("n"), F.max("us").alias("top"), F.count_if(F.col("us") <= watermark).alias("late")).first()
-    if seen["n"]:
-        watermark = max(watermark, seen["top"] - delay_us)
+    watermark, late = (clock["watermark_us"], clock["late"]) if clock else (None, 0)
+
+    behind = F.lit(False) if watermark is None else F.col("us") <= watermark
+    fresh = rows.filter(~behind)
+    seen = rows.agg(F.max("us").alias("top"), F.count_if(behind).alias("late")).first()
+    if seen["top"] is not None:
+        reached = seen["top"] - delay_us
+        watermark = reached if watermark is None else max(watermark, reached)
     pending = _read(spark, path, epoch - 1, "waiting", ROWS).unionByName(fresh)
-    passed = F.lit(True) if flush else F.col("us") <= watermark
+    passed = F.lit(True) if flush else F.lit(False) if watermark is None else F.col("us") <= watermark
 
     before = scores(spark, path, epoch - 1)
     due = durable(pending.filter(passed), "due")

@@ -17,12 +17,14 @@ from trustfold.constants import (
 
 OUTPUT = "client_id bigint, rounds bigint, score double"
 STATE = (
-    "score double, rounds bigint, us array<bigint>, ids array<bigint>, dists array<double>, secures array<boolean>"
+    "score double, rounds bigint, us array<bigint>, ids array<bigint>, dists array<double>, knowns array<boolean>, secures array<boolean>"
 )
 
 
-def next_score(score: float, dist: float, d_th: float, secure: bool, rehab: bool) -> float:
+def next_score(score: float, dist: float | None, d_th: float, secure: bool, rehab: bool) -> float:
     """One step of the rule on plain numbers (the column form is ``credibility_step``)."""
+    if dist is None:
+        return score
     if rehab and score <= REHAB_SCORE_LIMIT and dist <= d_th * REHAB_DISTANCE_FACTOR:
         return min(REHAB_CAP, REHAB_BASE + REHAB_BONUS / (1.0 + max(0.0, dist - d_th)))
     moved = score + REWARD_STEP if dist <= d_th else score * PENALTY_FACTOR
@@ -31,9 +33,9 @@ def next_score(score: float, dist: float, d_th: float, secure: bool, rehab: bool
 
 def _apply(state: tuple, due: pd.DataFrame, d_th: float, every: int) -> tuple[float, int]:
     score, rounds = state
-    for dist, secure in zip(due["dist"], due["secure"]):
+    for dist, known, secure in zip(due["dist"], due["known"], due["secure"]):
         rounds += 1
-        score = next_score(score, dist, d_th, bool(secure), rounds > 1 and (rounds - 1) % every == 0)
+        score = next_score(score, dist if known else None, d_th, bool(secure), rounds > 1 and (rounds - 1) % every == 0)
     return score, rounds
 
 
@@ -58,10 +60,10 @@ def streaming_credibility(
         score, rounds = init, 0
         frames = []
         if state.exists:
-            score, rounds, us, ids, dists, secures = state.get
-            frames.append(pd.DataFrame({"us": us, "event_id": ids, "dist": dists, "secure": secures}))
+            score, rounds, us, ids, dists, knowns, secures = state.get
+            frames.append(pd.DataFrame({"us": us, "event_id": ids, "dist": dists, "known": knowns, "secure": secures}))
         if not state.hasTimedOut:
-            frames.extend(batch[["us", "event_id", "dist", "secure"]] for batch in batches)
+            frames.extend(batch[["us", "event_id", "dist", "known", "secure"]] for batch in batches)
         watermark_ms = state.getCurrentWatermarkMs()
         waiting = pd.concat(frames).sort_values(["us", "event_id"])
         passed = (waiting["us"] // 1000) <= watermark_ms
@@ -70,7 +72,7 @@ def streaming_credibility(
         state.update((
             float(score), int(rounds),
             [int(v) for v in waiting["us"]], [int(v) for v in waiting["event_id"]],
-            [float(v) for v in waiting["dist"]], [bool(v) for v in waiting["secure"]],
+            [float(v) for v in waiting["dist"]], [bool(v) for v in waiting["known"]], [bool(v) for v in waiting["secure"]],
         ))
         if len(waiting):
             state.setTimeoutTimestamp(max(int(waiting["us"].iloc[0]) // 1000, watermark_ms + 1))
@@ -81,7 +83,7 @@ def streaming_credibility(
     keyed = (
         observations.select(
             "client_id", F.date_trunc("millisecond", "ts").alias("event_time"),
-            F.unix_micros("ts").alias("us"), "event_id", "dist", "secure",
+            F.unix_micros("ts").alias("us"), "event_id", "dist", F.col("dist").isNotNull().alias("known"), "secure",
         )
         .withWatermark("event_time", delay)
     )
