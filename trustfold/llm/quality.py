@@ -83,13 +83,18 @@ def encode(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     out = np.empty((n, N_FEATURES), np.float32)
     size = np.maximum(1, lengths)[:, None]
     out[:, :-5] = np.sqrt(pairs / size)
-    # words: the six bytes from each start of a word tell most words apart
+    # words: the six bytes from each start of a word tell most words apart; nothing beyond the passage counts,
+    # so that its features do not depend on what lies in the same chunk
     blank = data <= 32
-    start = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]])) if len(data) else np.zeros(0, np.int64)
+    ends = np.cumsum(lengths)
+    fresh = np.concatenate([[True], blank[:-1]]) if len(data) else np.zeros(0, bool)
+    fresh[(ends - lengths)[lengths > 0]] = True
+    start = np.flatnonzero(~blank & fresh)
     code = np.zeros(len(start), np.uint64)
     padded = np.concatenate([data, np.zeros(6, np.uint8)])
+    stop = ends[of[start]]
     for at in range(6):
-        code = code * np.uint64(257) + padded[start + at]
+        code = code * np.uint64(257) + np.where(start + at < stop, padded[start + at], 0).astype(np.uint64)
     word_of = of[start]
     words = np.bincount(word_of, minlength=n)
     both = np.unique(word_of.astype(np.uint64) << np.uint64(40) ^ code * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24))
