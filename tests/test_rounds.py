@@ -87,3 +87,37 @@ def test_grid_has_every_run(spark, data):
     bad = {"0.2": 2, "0.6": 6}
     for row in grid.collect():
         assert (row["score"] <= 0.01) == (row["client_id"] < bad[row["run_id"][-3:]])
+
+
+def test_an_altered_update_is_noticed(spark, data, prepared):
+    """What arrives differs from what was signed: the score falls by the factor for a failed signature."""
+    settings = replace(ROUND, ratio=0.0, d_th=1.0)
+    state = rounds.initial_state(spark, settings)
+    keys = rounds.client_keys(state.credibility, 99)
+    touched = (F.col("client_id") == 4) & (F.col("idx") == 0)
+    alter = lambda df: df.withColumn("value", F.when(touched, F.col("value") + 0.01).otherwise(F.col("value")))
+    _, plain = rounds.run_round(*prepared, state, 1.0, settings, keys=keys)
+    _, table = rounds.run_round(*prepared, state, 1.0, settings, keys=keys, in_transit=alter)
+    before, after = ({r["client_id"]: r for r in t.collect()} for t in (plain, table))
+    assert all(r["secure"] for r in before.values()) and [c for c, r in after.items() if not r["secure"]] == [4]
+    assert after[4]["score"] == pytest.approx(0.01 * before[4]["score"]) and after[3]["score"] == before[3]["score"]
+
+
+def test_fit_retries_failures_and_writes_its_output(spark, data, prepared, monkeypatch):
+    settings = replace(ROUND, rounds=2, d_th=1.0, ratio=0.2)
+    path, real, calls = fresh_path(spark, "fit"), rounds.run_round, []
+
+    def flaky(*args, **named):
+        calls.append(args[5])
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return real(*args, **named)
+
+    monkeypatch.setattr(rounds, "run_round", flaky)
+    rounds.federated_fit(*data, settings, path=path, prepared=prepared)
+    report = rounds.federated_fit(*data, settings, path=path, prepared=prepared, retry_failed=True, output=f"{path}-out").collect()
+    assert calls == [1, 2, 2] and {r["outcome"] for r in report} == {"ok"}
+    log = spark.read.option("header", True).csv(f"{path}-out/log_atk{settings.attack}_ratio0.2.csv").collect()
+    assert [r["Round"] for r in log] == ["1", "2"]
+    wide = spark.read.option("header", True).csv(f"{path}-out/history").collect()
+    assert len(wide) == 2 and all(r["Client_9"] is not None for r in wide)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -26,6 +27,8 @@ from trustfold.operators.training import (
     accuracy, argmax_class, predict, train_auth, train_fullbatch, train_minibatch, training_steps, zero_model,
 )
 from trustfold.plans.threshold import estimate_threshold, half_sample_distances, reshuffled_distances
+from trustfold.sources.histories import write_history
+from trustfold.sources.logs import accuracy_log, write_log
 from trustfold.sources.models import save_best
 
 
@@ -114,13 +117,15 @@ def client_keys(credibility: DataFrame, seed: int) -> DataFrame:
 
 def run_round(
     dealt: DataFrame, subsets: DataFrame, state: State, d_th: float, settings: Settings, round_no: int = 1,
-    keys: DataFrame | None = None,
+    keys: DataFrame | None = None, in_transit: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[State, DataFrame]:
     """One round: pair, deliver, train, corrupt, sign, retrain, compare, score, average.
 
     Returns the next state and the round's table (client_id, verifier, dist,
-    secure, score_before, score). Updates are written once, since signing,
-    distance and averaging all read them.
+    secure, score_before, score). Clients sign what they send; attestations
+    and updates are written apart, and verification, distance and average read
+    the updates that arrived. ``in_transit`` stands for what happens to them
+    on the way.
     """
     keys = client_keys(state.credibility, settings.seed) if keys is None else keys
     clients = settings.clients
@@ -133,10 +138,13 @@ def run_round(
     updates = durable(
         corrupt(trained, settings.attack, settings.clients, settings.ratio, settings.seed, round_no), "updates"
     )
+    attestations = durable(attest(updates, keys, clients=clients), "attestations")
+    if in_transit is not None:
+        updates = durable(in_transit(updates), "arrived")
     auth = _authenticate(dealt, delivered, state.model, settings)
     # a client without rows has no update: its score and its prover's are held, and the round goes on
     distances = pair_distance(match_updates(updates, auth, pairing, clients), missing="hold")
-    links = verify(updates, attest(updates, keys, clients=clients), keys, clients=clients)
+    links = verify(updates, attestations, keys, clients=clients)
 
     rehab = round_no > 1 and (round_no - 1) % C.REHAB_EVERY == 0
     scored = (
@@ -164,14 +172,14 @@ def evaluate(test: DataFrame, model: DataFrame, classes: int) -> DataFrame:
     return accuracy(predict(test, model, classes).withColumn("predicted", argmax_class()))
 
 
-def flagship_round(train: DataFrame, test: DataFrame, settings: Settings) -> DataFrame:
+def flagship_round(train: DataFrame, test: DataFrame, settings: Settings, keys: DataFrame | None = None) -> DataFrame:
     """First round from the zero model as one table: per client its distance, score and status,
     beside the threshold and the accuracy of the new global model."""
     spark = train.sparkSession
     state = initial_state(spark, settings)
     dealt, subsets = prepare_clients(train, settings)
     d_th = settings.d_th if settings.d_th is not None else estimate(dealt, state.model, settings)
-    following, table = run_round(dealt, subsets, state, d_th, settings)
+    following, table = run_round(dealt, subsets, state, d_th, settings, keys=keys)
     reached = evaluate(test, following.model, settings.classes).scalar()
     return status(table).select(
         "client_id", "verifier", "dist", "secure", "score_before", "score", "status",
@@ -182,29 +190,52 @@ def flagship_round(train: DataFrame, test: DataFrame, settings: Settings) -> Dat
 
 def federated_fit(
     train: DataFrame, test: DataFrame, settings: Settings, path: str | None = None, model: DataFrame | None = None,
-    prepared: tuple[DataFrame, DataFrame] | None = None,
+    prepared: tuple[DataFrame, DataFrame] | None = None, keys: DataFrame | None = None, output: str | None = None,
+    retry_failed: bool = False,
 ) -> DataFrame:
     """All rounds; returns the report (round, outcome, accuracy, best, is_best, client_id, score, ...).
 
+    ``keys`` (client_id, secret) are the clients' secrets; without them
+    stand-ins are derived, which protect nothing. With ``output`` the wide
+    history and the accuracy log of the run are written there as CSV.
+
     The loop on the driver only sequences rounds. Each round's model, scores
     and history are written under ``path``, which cuts the lineage and lets
     a killed run resume behind its last whole round. A failed round is
-    recorded with its outcome and leaves model, scores and history untouched.
+    recorded with its outcome and leaves model, scores and history untouched;
+    a resumed run goes on behind them with the threshold of the stored rounds,
+    or, with ``retry_failed``, tries those behind its last good round again.
     A model that strictly beats all before is also kept under ``path/best``.
     """
     spark = train.sparkSession
     path = path or fresh_path(spark, "fit")
     dealt, subsets = prepared or prepare_clients(train, settings)
     state = initial_state(spark, settings, model)
-    d_th = settings.d_th if settings.d_th is not None else estimate(dealt, state.model, settings)
+    stored = {n: done for n in range(1, settings.rounds + 1) if (done := _finished_round(spark, path, n)) is not None}
+    last_good = max((n for n, done in stored.items() if done["outcome"] == "ok"), default=0)
+    d_th = settings.d_th
+    if d_th is None:
+        d_th = next(iter(stored.values()))["d_th"] if stored else estimate(dealt, state.model, settings)
     best = 0.0
     for round_no in range(1, settings.rounds + 1):
-        done = _finished_round(spark, path, round_no)
+        done = None if retry_failed and round_no > last_good else stored.get(round_no)
         if done is None:
-            done = _one_round(spark, dealt, subsets, test, state, d_th, settings, round_no, best, path)
+            done = _one_round(spark, dealt, subsets, test, state, d_th, settings, round_no, best, path, keys)
         best = max(best, done["best"])
         state = _stored_state(spark, path, done["state_round"], state)
-    return round_report(spark, path)
+    report = round_report(spark, path)
+    if output is not None:
+        _write_run(report, settings, output)
+    return report
+
+
+def _write_run(report: DataFrame, settings: Settings, output: str) -> None:
+    """Wide credibility history and accuracy log of a run, from its report."""
+    run_id = F.lit(f"atk{settings.attack}_ratio{settings.ratio}")
+    seen = report.filter(F.col("client_id").isNotNull()).select(run_id.alias("run_id"), "round", "client_id", "score")
+    write_history(seen, f"{output}/history", range(settings.clients))
+    per_round = report.filter(F.col("accuracy").isNotNull()).select("round", "accuracy").distinct()
+    write_log(accuracy_log(per_round, seen), output, settings.attack, settings.ratio)
 
 
 def _part(path: str, round_no: int, name: str) -> str:
@@ -226,12 +257,12 @@ def _stored_state(spark: SparkSession, path: str, round_no: int, unchanged: Stat
     return State(*[read(_part(path, round_no, name)) for name in ("model", "credibility", "history")])
 
 
-def _one_round(spark, dealt, subsets, test, state, d_th, settings, round_no, best, path):
+def _one_round(spark, dealt, subsets, test, state, d_th, settings, round_no, best, path, keys=None):
     """Run and store one round; the small ``outcome`` row is written last and marks it whole."""
     last_good = round_no
     reached, outcome = None, "ok"
     try:
-        following, table = run_round(dealt, subsets, state, d_th, settings, round_no)
+        following, table = run_round(dealt, subsets, state, d_th, settings, round_no, keys)
         following.model.write.mode("overwrite").parquet(_part(path, round_no, "model"))
         following.credibility.write.mode("overwrite").parquet(_part(path, round_no, "credibility"))
         following.history.write.mode("overwrite").parquet(_part(path, round_no, "history"))
@@ -268,7 +299,7 @@ def round_report(spark: SparkSession, path: str) -> DataFrame:
 def experiment_grid(
     train: DataFrame, test: DataFrame, settings: Settings,
     attacks: tuple[int, ...] = (C.ADDITIVE_NOISE, C.REPLACEMENT_NOISE, C.CONSTANT_VALUE),
-    ratios: tuple[float, ...] = (0.2, 0.4, 0.6), at_once: int = 3,
+    ratios: tuple[float, ...] = (0.2, 0.4, 0.6), at_once: int = 3, keys: DataFrame | None = None,
 ) -> DataFrame:
     """Every attack at every ratio, one fit each, keyed by ``run_id``.
 
@@ -284,7 +315,7 @@ def experiment_grid(
 
     def fit(run: tuple[int, float]) -> DataFrame:
         attack, ratio = run
-        report = federated_fit(train, test, replace(settings, attack=attack, ratio=ratio), prepared=prepared)
+        report = federated_fit(train, test, replace(settings, attack=attack, ratio=ratio), prepared=prepared, keys=keys)
         return report.select(F.lit(f"atk{attack}_ratio{ratio}").alias("run_id"), "*")
 
     with ThreadPoolExecutor(at_once) as pool:
