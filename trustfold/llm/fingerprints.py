@@ -2,9 +2,9 @@
 
 A text's word shingles are hashed once. The upper bits of a hash name its bin,
 the rest is its value; a bin keeps its least value. An empty bin takes the
-value of the filled bin that a hash of the two bin numbers ranks first: a
-uniform choice among the filled bins that depends on nothing else (optimal
-densification). Stored are the lowest bits of every bin's value, one
+value of the first filled bin in a random order of its own: it probes hashed
+bin numbers, and after PROBES misses ranks the filled bins by a hash. That is
+a uniform choice among the filled bins (optimal densification). Stored are the lowest bits of every bin's value, one
 hexadecimal digit a bin; the likeness of two fingerprints corrects the share
 of equal digits for those equal by chance.
 """
@@ -14,16 +14,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trustfold.functions.positions import cut_of, quantile_cuts
 from trustfold.llm.columns import bound, hashes, whole, window_hashes
 
 SHINGLE_WORDS = 5
 #: Bins are named by the upper 8 bits of a hash, and keep the lowest 4 of the rest.
 BIN_BITS, KEPT_BITS = 8, 4
 BINS = 1 << BIN_BITS
+#: Bins that an empty one probes before it ranks all filled ones.
+PROBES = 6
 #: Documents of one slice of the order by id.
 SLICE_ROWS = 1_000
-#: Slices an order is cut into at most; ids of the cuts travel with the plan.
-MOST_SLICES = 10_000
 
 
 def shingle_hashes(text: Column, width: int = SHINGLE_WORDS) -> Column:
@@ -49,7 +50,7 @@ def bin_values(hashed: Column) -> Column:
     marker if it is empty.
     """
     low = (1 << (64 - BIN_BITS)) - 1
-    markers = F.transform(F.sequence(F.lit(-BINS // 2), F.lit(BINS // 2 - 1)), lambda b: F.shiftleft(b.cast("long"), 64 - BIN_BITS).bitwiseOR(F.lit(low)))
+    markers = F.array(*(F.lit((b << (64 - BIN_BITS)) | low) for b in range(-BINS // 2, BINS // 2)))
     ordered = F.sort_array(F.concat(hashed, markers))
 
     def firsts(all_values: Column) -> Column:
@@ -57,13 +58,20 @@ def bin_values(hashed: Column) -> Column:
 
     def densified(least: Column) -> Column:
         empty = lambda v: v.bitwiseAND(F.lit(low)) == low
-        filled = F.filter(least, lambda v: ~empty(v))
 
-        def borrow(v: Column, have: Column) -> Column:
-            ranked = F.transform(have, lambda f: F.struct(F.xxhash64(_bin(v), _bin(f)).alias("r"), f.alias("f")))
-            return F.array_min(ranked)["f"]
+        def probe(i: Column, k: int) -> Column:
+            found = F.get(least, F.xxhash64(i, F.lit(k)).bitwiseAND(F.lit(BINS - 1)).cast("int"))
+            return F.when(~empty(found), found)
 
-        return bound(filled, lambda have: F.transform(least, lambda v: F.when(empty(v), borrow(v, have)).otherwise(v)))
+        def first_ranked(i: Column, filled: Column) -> Column:
+            """The filled bin whose hash with bin ``i`` is least; its place rides in the lowest bits."""
+            ranked = F.transform(filled, lambda f, p: F.xxhash64(i, _bin(f)).bitwiseAND(F.lit(-BINS)).bitwiseOR(p))
+            return F.get(filled, F.array_min(ranked).bitwiseAND(F.lit(BINS - 1)).cast("int"))
+
+        def dense(v: Column, i: Column, filled: Column) -> Column:
+            return F.when(~empty(v), v).otherwise(F.coalesce(*(probe(i, k) for k in range(PROBES)), first_ranked(i, filled)))
+
+        return bound(F.filter(least, lambda v: ~empty(v)), lambda filled: F.transform(least, lambda v, i: dense(v, i, filled)))
 
     return F.when(F.size(hashed) > 0, bound(bound(ordered, firsts), densified)).otherwise(F.expr("cast(array() as array<bigint>)"))
 
@@ -75,8 +83,8 @@ def fingerprint(text: Column, width: int = SHINGLE_WORDS) -> Column:
     borrowed value still agree by chance independently of each other.
     """
     low = (1 << KEPT_BITS) - 1
-    digit = lambda v, at: F.substr(F.lit("0123456789abcdef"), F.xxhash64(v, at).bitwiseAND(F.lit(low)).cast("int") + 1, F.lit(1))
-    return bound(shingle_hashes(text, width), lambda h: F.array_join(F.transform(bin_values(h), digit), ""))
+    digit = lambda v, at: F.hex(F.xxhash64(v, at).bitwiseAND(F.lit(low)))
+    return F.lower(bound(shingle_hashes(text, width), lambda h: F.array_join(F.transform(bin_values(h), digit), "")))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -90,29 +98,6 @@ def likeness(a: Column, b: Column) -> Column:
     )
 
 
-def slice_cuts(ids: DataFrame, rows: int = SLICE_ROWS, most: int = MOST_SLICES) -> list[int]:
-    """Sorted ids that begin the slices of about ``rows`` rows of an order by id; the first is the smallest id.
-
-    Percentiles are ids that occur. At most ``most`` slices, so these are few.
-    """
-    count = ids.filter("doc_id is not null").count()
-    n = max(1, min(most, -(-count // rows)))
-    found = ids.agg(F.min("doc_id").alias("least"), F.percentile_approx("doc_id", [i / n for i in range(n)], 100 * n).alias("cuts")).first()
-    return sorted({found["least"], *found["cuts"]}) if count else []
-
-
-def slice_of(doc_id: Column, cuts: list[int]) -> Column:
-    """Number of the slice of an id, by halving steps over the cuts."""
-    borders = F.array(*map(F.lit, cuts))
-    steps = [1 << b for b in range(len(cuts).bit_length() - 1, -1, -1)]
-
-    def halve(at: Column, step: Column) -> Column:
-        reach = F.get(borders, at + step)
-        return F.when(reach <= doc_id, at + step).otherwise(at)
-
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), halve)
-
-
 def with_next(docs: DataFrame, rows: int = SLICE_ROWS) -> DataFrame:
     """(doc_id, text, slice, own, next_text) in the order by doc_id; after the last comes the first.
 
@@ -121,9 +106,9 @@ def with_next(docs: DataFrame, rows: int = SLICE_ROWS) -> DataFrame:
     one's next. Null ids come first; rows of one id follow each other by text.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole(F.col("text")).alias("text"))
-    cuts = slice_cuts(plain.select("doc_id"), rows) or [0]
+    cuts = quantile_cuts(plain, "doc_id", plain.count(), rows) or [0]
     first = F.array(*map(F.lit, cuts))
-    placed = plain.withColumn("slice", F.coalesce(slice_of(F.col("doc_id"), cuts), F.lit(0)))
+    placed = plain.withColumn("slice", F.coalesce(cut_of(F.col("doc_id"), cuts), F.lit(0)))
     has_null = not plain.filter("doc_id is null").isEmpty()
     begins = F.col("doc_id").isNull() if has_null else F.col("doc_id") == cuts[0]
     guest_of = F.when(begins, F.lit(len(cuts) - 1)).when(F.array_contains(first, F.col("doc_id")) & (F.col("slice") > 0), F.col("slice") - 1)
