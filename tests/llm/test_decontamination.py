@@ -41,7 +41,8 @@ def case(spark):
     docs = []
     for doc in range(60):
         item = rng.choice(bench[:12])[1]
-        parts = [text(rng.randrange(0, 40)), rng.choice([item, item.upper(), item.replace("é", "É"), ""]), text(rng.randrange(0, 400))]
+        noise = " ".join(f"N{rng.randrange(10**6)}" for _ in range(rng.choice([0, 5, 2000])))
+        parts = [noise, text(rng.randrange(0, 9)), rng.choice([item, item.upper(), item.replace("é", "É"), ""]), text(rng.randrange(0, 9))]
         docs.append((doc, "\n".join(parts)))
     docs += [(70, "é one"), (71, "É ONE"), (72, None), (73, ""), (5, docs[5][1]), (74, "ασ β word ΑΣ!Β Word")]
     return docs, bench, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
