@@ -30,12 +30,43 @@ def hashes(found: Column) -> Column:
     return F.transform(found, lambda w: F.xxhash64(w))
 
 
+def loose_hashes(found: Column) -> Column:
+    """64-bit hash of each word in lower case; words that agree but for A-Z share it, and so do a few others.
+
+    Much cheaper than ``lower_ascii``, for finding what is then verified.
+    """
+    return F.transform(found, lambda w: F.xxhash64(F.lower(w)))
+
+
 def window_hashes(hashed: Column, size: int) -> Column:
     """Hash of each run of ``size`` neighbouring word hashes; none where there are fewer."""
     starts = F.when(F.size(hashed) >= size, F.sequence(F.lit(0), F.size(hashed) - size)).otherwise(F.expr("cast(array() as array<int>)"))
     return F.transform(starts, lambda at: F.xxhash64(*(F.get(hashed, at + k) for k in range(size))))
 
 
+def run_hashes(hashed: Column, size: int) -> Column:
+    """Hash of each run of ``size`` neighbouring word hashes, put together from runs of 1, 2, 4, ... words.
+
+    Long runs cost a few steps per word so. ``hashed`` should be a bound
+    variable. Other values than those of ``window_hashes``, found the same way.
+    """
+    def joined(parts: dict[int, Column]) -> Column:
+        widths = [w for w in sorted(parts, reverse=True) if size & w]
+        places = [sum(widths[:k]) for k in range(len(widths))]
+        first = parts[widths[0]]
+        whole_runs = F.transform(first, lambda x, i: F.xxhash64(x, *(F.get(parts[w], i + at) for w, at in zip(widths[1:], places[1:]))))
+        return F.slice(whole_runs, 1, F.greatest(F.size(hashed) - size + 1, F.lit(0)))
+
+    def grown(parts: dict[int, Column], width: int) -> Column:
+        if 2 * width > size:
+            return joined(parts)
+        half = parts[width]
+        double = F.transform(half, lambda x, i: F.xxhash64(x, F.get(half, i + width)))
+        return bound(double, lambda d: grown({**parts, 2 * width: d}, 2 * width))
+
+    return grown({1: hashed}, 1)
+
+
 def text_key(text: Column) -> Column:
     """Hash of a whole text, which with its id names a row; rows that share both are repeats."""
     return F.xxhash64(text.cast("string"))

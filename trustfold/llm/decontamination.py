@@ -2,8 +2,8 @@
 
 The n-grams of the benchmark are broadcast as hash sets of at most SET_GRAMS
 rows, one pass over the texts for each set. A text's windows are looked up
-inside the task that reads it, hits are verified on the words themselves, and
-only verified hits are shuffled. Documents or the hit spans then go.
+inside the task that reads it, by a hash that folds the case of all letters;
+hits are verified on the words themselves, and only verified ones are shuffled. Documents or the hit spans then go.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from trustfold.functions.sizing import broadcast_if_small
 from trustfold.functions.storage import durable
-from trustfold.llm.columns import bound, hashes, lower_ascii, text_key, whole, window_hashes
+from trustfold.llm.columns import bound, loose_hashes, lower_ascii, run_hashes, text_key, whole
 
 WINDOW = 13
 #: N-grams of one broadcast set, some 200 bytes each.
@@ -27,6 +27,11 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BETWEEN_RAW = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
+def raw_words(text: Column) -> Column:
+    """Words of a text as they are written; a null text has none."""
+    return F.filter(F.split(whole(text), BETWEEN_RAW), lambda w: w != "")
+
+
 def words(text: Column) -> Column:
     """Words of a text with A-Z in lower case; a null text has none."""
     return F.filter(F.split(lower_ascii(whole(text)), BETWEEN), lambda w: w != "")
@@ -43,7 +48,7 @@ def benchmark_grams(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     )
     starts = F.explode(F.sequence(F.lit(1), F.size("w") - F.col("size") + 1))
     cut = items.withColumn("at", starts).select("item_id", "size", F.slice("w", F.col("at"), F.col("size")).alias("gram"))
-    one = lambda n: F.get(bound(hashes(F.col("gram")), lambda h: window_hashes(h, n)), F.lit(0))
+    one = lambda n: F.get(bound(loose_hashes(F.col("gram")), lambda h: run_hashes(h, n)), F.lit(0))
     by_size = reduce(lambda c, n: c.when(F.col("size") == n, one(n)), range(2, window + 1), F.when(F.col("size") == 1, one(1)))
     return cut.withColumn("hash", by_size).distinct()
 
@@ -58,21 +63,32 @@ def verified_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     sizes = [r["size"] for r in grams.select("size").distinct().collect()]  # at most ``window`` numbers
     passes = -(-grams.count() // set_grams) if sizes else 1
     grams = grams.groupBy("size", "hash", "gram").agg(F.collect_set("item_id").alias("items"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), words(F.col("text")).alias("words"))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text")
 
     def placed(hashed: Column, size: int) -> Column:
-        return F.transform(window_hashes(hashed, size), lambda x, at: F.struct(at.alias("at"), F.lit(size).alias("size"), x.alias("hash")))
+        return F.transform(run_hashes(hashed, size), lambda x, at: F.struct(at.alias("at"), F.lit(size).alias("size"), x.alias("hash")))
 
     every = lambda h: F.concat(*(placed(h, n) for n in sizes or [window]))
-    rows = texts.select("doc_id", "text_key", "words", F.inline(bound(hashes(F.col("words")), every)))
+    # neither text nor words go along with the windows: most match nothing
+    windows = text.select("doc_id", "text_key", F.inline(bound(loose_hashes(raw_words(F.col("text"))), every)))
     found = []
     for part in range(passes):
         some = grams.filter(F.pmod("hash", F.lit(passes)) == part) if passes > 1 else grams
-        match = (rows["hash"] == some["hash"]) & (rows["size"] == some["size"]) & (F.slice("words", F.col("at") + 1, rows["size"]) == some["gram"])
-        found.append(rows.join(F.broadcast(some), match).select("doc_id", "text_key", F.size("words").alias("n_words"), "at", rows["size"], "items"))
+        found.append(windows.join(F.broadcast(some.select("hash", "size").distinct()), ["hash", "size"]))
+    near = durable(
+        reduce(DataFrame.union, found).groupBy("doc_id", "text_key")
+        .agg(F.collect_set(F.struct("at", "size", "hash")).alias("places")), "near-hits",
+    ).withColumnsRenamed({"doc_id": "near_doc", "text_key": "near_key"})
+    match = text["doc_id"].eqNullSafe(near["near_doc"]) & (text["text_key"] == near["near_key"])
+    held = text.join(broadcast_if_small(near), match).select("doc_id", "text_key", raw_words(F.col("text")).alias("words"), "places")
+    rows = held.select("doc_id", "text_key", "words", F.inline("places"))
+    same = (rows["hash"] == grams["hash"]) & (rows["size"] == grams["size"]) & (
+        F.transform(F.slice("words", F.col("at") + 1, rows["size"]), lower_ascii) == grams["gram"])
+    few = F.broadcast(grams) if passes == 1 else grams
+    checked = rows.join(few, same).select("doc_id", "text_key", F.size("words").alias("n_words"), "at", rows["size"], "items")
     spread = F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("size") - 1)))
     return (
-        reduce(DataFrame.union, found).groupBy("doc_id", "text_key", "n_words")
+        checked.groupBy("doc_id", "text_key", "n_words")
         .agg(F.sort_array(F.array_distinct(spread)).alias("hit_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
         .withColumn("n_hit", F.size("hit_words"))
     )
@@ -90,7 +106,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     """
     hits = broadcast_if_small(durable(verified_hits(docs, benchmark, window, set_grams).drop("n_words", "hit_words"), "hits"))
     texts = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), F.size(words(F.col("text"))).alias("n_words")
+        F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), F.size(raw_words(F.col("text"))).alias("n_words")
     )
     match = texts["doc_id"].eqNullSafe(hits["doc_id"]) & (texts["text_key"] == hits["text_key"])
     n_hit = F.coalesce("n_hit", F.lit(0))

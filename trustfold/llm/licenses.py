@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from trustfold.functions.sizing import broadcast_if_small
 from trustfold.functions.storage import durable
-from trustfold.llm.columns import bound, hashes, text_key, window_hashes
-from trustfold.llm.decontamination import words
+from trustfold.llm.columns import bound, loose_hashes, text_key, window_hashes
+from trustfold.llm.decontamination import raw_words, words
 
 SHINGLE_WORDS = 5
 LEAST_CONTAINMENT = 0.8
@@ -42,12 +42,12 @@ def shingles(found: Column, width: int = SHINGLE_WORDS) -> Column:
 
 
 def shingle_hashes(found: Column, width: int = SHINGLE_WORDS) -> Column:
-    """Hashes of the shingles of a list of words, in their order and with repeats."""
+    """Hashes of the shingles of a list of words in any case, in their order and with repeats."""
     def runs(hashed: Column) -> Column:
         few = F.when(F.size(hashed) > 0, F.array(F.xxhash64(hashed))).otherwise(F.expr("cast(array() as array<bigint>)"))
         return F.when(F.size(hashed) >= width, window_hashes(hashed, width)).otherwise(few)
 
-    return bound(hashes(found), runs)
+    return bound(loose_hashes(found), runs)
 
 
 def bands(hashed: Column, window: int, bin_bits: int, step: int) -> Column:
@@ -84,7 +84,7 @@ def candidates(docs: DataFrame, templates: DataFrame) -> DataFrame:
     """(doc_id, text_key, template_id) of texts and templates that share a band."""
     known = durable(template_bands(templates), "template-bands")
     every = lambda h: F.concat(*(bands(h, window, bits, max(1, window // 2)) for _, window, bits in CLASSES))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), shingle_hashes(words(F.col("text"))).alias("h"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), shingle_hashes(raw_words(F.col("text"))).alias("h"))
     keyed = rows.select("doc_id", "text_key", F.explode(bound(F.col("h"), every)).alias("band"))
     return keyed.join(broadcast_if_small(known), "band").select("doc_id", "text_key", "template_id").distinct()
 
