@@ -20,6 +20,8 @@ from trustfold.llm.columns import bound, loose_hashes, lower_ascii, run_hashes,
 WINDOW = 13
 #: N-grams of one broadcast set, some 200 bytes each.
 SET_GRAMS = 100_000
+#: Bytes of a row of hits: two keys, two counts and the ids of some items.
+HIT_BYTES = 500
 #: A document is contaminated if at least one word in so many is hit.
 SHARE = 20
 #: What lies between words, once A-Z are in lower case and before.
@@ -79,9 +81,11 @@ def verified_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         reduce(DataFrame.union, found).groupBy("doc_id", "text_key")
         .agg(F.collect_set(F.struct("at", "size", "hash")).alias("places")), "near-hits",
     ).withColumnsRenamed({"doc_id": "near_doc", "text_key": "near_key"})
-    match = text["doc_id"].eqNullSafe(near["near_doc"]) & (text["text_key"] == near["near_key"])
-    held = text.join(broadcast_if_small(near), match).select("doc_id", "text_key", raw_words(F.col("text")).alias("words"), "places")
-    rows = held.select("doc_id", "text_key", "words", F.inline("places"))
+    match = F.col("doc_id").eqNullSafe(F.col("near_doc")) & (F.col("text_key") == F.col("near_key"))
+    # only ids are broadcast, and only the texts with hits move to where their places are
+    held = text.join(broadcast_if_small(near.select("near_doc", "near_key")), match, "left_semi")
+    placed_texts = held.join(near, match).select("doc_id", "text_key", raw_words(F.col("text")).alias("words"), "places")
+    rows = placed_texts.select("doc_id", "text_key", "words", F.inline("places"))
     same = (rows["hash"] == grams["hash"]) & (rows["size"] == grams["size"]) & (
         F.transform(F.slice("words", F.col("at") + 1, rows["size"]), lower_ascii) == grams["gram"])
     few = F.broadcast(grams) if passes == 1 else grams
@@ -104,7 +108,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     Null and empty texts have no words and are clean; so is every text when
     the benchmark is empty. Repeated rows get a row each, null ids stay null.
     """
-    hits = broadcast_if_small(durable(verified_hits(docs, benchmark, window, set_grams).drop("n_words", "hit_words"), "hits"))
+    hits = durable(verified_hits(docs, benchmark, window, set_grams).drop("n_words", "hit_words"), "hits")
+    hits = broadcast_if_small(hits, row_bytes=HIT_BYTES)
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), F.size(raw_words(F.col("text"))).alias("n_words")
     )

@@ -29,6 +29,8 @@ from trustfold.llm.decontamination import raw_words, words
 
 SHINGLE_WORDS = 5
 LEAST_CONTAINMENT = 0.8
+#: Bytes of a row that lists the templates of a text.
+MATCH_BYTES = 500
 #: (least shingles of a template, shingles of a window, bits that name a bin) of each class.
 CLASSES = ((1, 1, 0), (12, 8, 3), (48, 32, 4))
 
@@ -100,7 +102,8 @@ def license_matches(docs: DataFrame, templates: DataFrame, least: float = LEAST_
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), text_key(F.col("text")).alias("_key"), F.col("text").cast("string").alias("text"))
     named = templates.select("template_id", "license", shingles(words(F.col("text"))).alias("template"))
     match = texts["_id"].eqNullSafe(found["doc_id"]) & (texts["_key"] == found["text_key"])
-    held = texts.join(broadcast_if_small(found.groupBy("doc_id", "text_key").agg(F.collect_set("template_id").alias("ids"))), match)
+    ids = found.groupBy("doc_id", "text_key").agg(F.collect_set("template_id").alias("ids"))
+    held = texts.join(broadcast_if_small(ids, row_bytes=MATCH_BYTES), match)
     sets = held.select("doc_id", "text_key", "ids", shingles(words(F.col("text"))).alias("shingles"))
     pairs = sets.select("doc_id", "text_key", "shingles", F.explode("ids").alias("template_id")).join(broadcast_if_small(named), "template_id")
     shared = pairs.withColumn("n_shared", F.size(F.array_intersect("shingles", "template")))
@@ -117,7 +120,7 @@ def scan(docs: DataFrame, templates: DataFrame, least: float = LEAST_CONTAINMENT
     found = license_matches(docs, templates, least).groupBy("doc_id", "text_key").agg(
         F.array_sort(F.collect_list(F.struct("template_id", "license", "n_shared", "containment"))).alias("matches")
     )
-    found = broadcast_if_small(durable(found, "licenses"))
+    found = broadcast_if_small(durable(found, "licenses"), row_bytes=MATCH_BYTES)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"))
     match = rows["doc_id"].eqNullSafe(found["doc_id"]) & (rows["text_key"] == found["text_key"])
     none = F.expr("cast(array() as array<struct<template_id:string,license:string,n_shared:int,containment:double>>)")
