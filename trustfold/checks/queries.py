@@ -737,7 +737,7 @@ def training_round_constant(spark, sf_dir):
 
 @query
 def federated_fit(spark, sf_dir):
-    settings = rounds.Settings(lr=0.05, sealed=True)
+    settings = rounds.Settings(rounds=21, lr=0.05, sealed=True)  # past two rehabilitation rounds
     return rounds.federated_fit(_train_rows(spark, sf_dir), _test_rows(spark, sf_dir), settings)
 
 
