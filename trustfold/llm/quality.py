@@ -27,7 +27,7 @@ from trustfold.functions.storage import durable
 from trustfold.llm.columns import text_key, whole
 
 PASSAGE_BYTES = 1024
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 #: Bytes at which a passage counts for half of what its features say; a few words say little.
 SPARSE_BYTES = 64
 #: Classes of bytes: other, letters, capitals, digits, space, line end, signs of several kinds, bytes beyond ASCII.
