@@ -37,10 +37,12 @@ CLASSES = ((1, 1, 0), (12, 8, 3), (48, 32, 4))
 
 def shingles(found: Column, width: int = SHINGLE_WORDS) -> Column:
     """Distinct shingles of a list of words; fewer words than ``width`` make one shingle of all, none make none."""
-    starts = F.sequence(F.lit(1), F.size(found) - width + 1)
-    runs = F.transform(starts, lambda at: F.array_join(F.slice(found, at, width), " "))
-    few = F.when(F.size(found) > 0, F.array(F.array_join(found, " "))).otherwise(F.expr("cast(array() as array<string>)"))
-    return F.array_distinct(F.when(F.size(found) >= width, runs).otherwise(few))
+    def runs(w: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda at: F.array_join(F.slice(w, at, width), " "))
+        few = F.when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.expr("cast(array() as array<string>)"))
+        return F.array_distinct(F.when(F.size(w) >= width, every).otherwise(few))
+
+    return bound(found, runs)
 
 
 def shingle_hashes(found: Column, width: int = SHINGLE_WORDS) -> Column:
