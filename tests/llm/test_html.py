@@ -60,3 +60,15 @@ def test_articles_of_the_given_pages(spark, sf_dir):
         inner = re.search(r"<article>(.*?)(</article>|<footer>|$)", held[r["page_id"]], re.S)
         parts = [" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split(r"<(?:/?p|/?h1|br)[^>]*>", inner[1])] if inner else []
         assert r["text"] == "\n".join(p for p in parts if p)
+
+
+def _texts(spark, rows):
+    found = html_extraction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    return {r["page_id"]: r["text"] for r in found.collect()}
+
+
+def test_a_notice_longer_than_the_story_leaves_the_pages_apart(spark):
+    notice = "We keep cookies for reasons that this long notice lists. " * 9
+    page = "<body><div class='m'>Menu of the site</div><div class='c'><p>Story {i}.</p></div><div class='z'>{n}</div><footer>{n} {n}</footer></body>"
+    got = _texts(spark, [(i, f"http://long.x/{i}", page.format(i=i, n=notice)) for i in range(12)])
+    assert got == {i: f"Story {i}." for i in range(12)}

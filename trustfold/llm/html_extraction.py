@@ -6,8 +6,8 @@ names of its children) and each content (a block's text) occurs. Its
 importance is taken from entropies to the base of the number of pages: a node
 that is presented alike everywhere, and a text that stands on most pages, are
 low; a text of one page is high. Branches whose importance is low go from each
-page. Pages count by their longest block, so copies of one article under many
-addresses don't make its text look like a template's.
+page. Pages whose unmarked texts are all alike count once, so copies of one
+article under many addresses don't make its text look like a template's.
 
 Elements that name their purpose need no statistics: inside ``article`` or
 ``main`` the importance is one, inside menus, footers, forms, adverts and the
@@ -51,7 +51,7 @@ def host_of(url: str | None) -> str:
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """One row per page: host, hash of its longest block, its blocks and the styles of its elements."""
+    """One row per page: host, hash of its unmarked texts, its blocks and the styles of its elements."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,8 +66,8 @@ def parse_pages(pages: DataFrame) -> DataFrame:
                         for b in found
                     ])
                     styles.append([{"path": p, "style": s} for p, s in sorted(set(kinds))])
-                    longest = max((b.text for b in found), key=lambda t: (len(t), t), default="")
-                    signatures.append(_hash(longest))
+                    own = {b.text for b in found if not b.noise} or {b.text for b in found}
+                    signatures.append(_hash("\n".join(sorted(own))))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array([host_of(u) for u in urls], pa.string()), pa.array(signatures, pa.int64()),
                      pa.array(held, pa.list_(_BLOCK)), pa.array(styles, pa.list_(_STYLE))],
