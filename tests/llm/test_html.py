@@ -72,3 +72,14 @@ def test_a_notice_longer_than_the_story_leaves_the_pages_apart(spark):
     page = "<body><div class='m'>Menu of the site</div><div class='c'><p>Story {i}.</p></div><div class='z'>{n}</div><footer>{n} {n}</footer></body>"
     got = _texts(spark, [(i, f"http://long.x/{i}", page.format(i=i, n=notice)) for i in range(12)])
     assert got == {i: f"Story {i}." for i in range(12)}
+
+
+def test_single_texts_of_one_path_are_told_apart(spark):
+    same = "".join(f"<p>Notice {'abcdefghi'[k]} of the site.</p>" for k in range(9))
+    page = "<body><div class='c'>{same}<p>Story {i}.</p></div></body>"
+    got = _texts(spark, [(i, f"http://mixed.x/{i}", page.format(i=i, same=same)) for i in range(12)])
+    assert got == {i: f"Story {i}." for i in range(12)}
+    most = "<body><div class='c'><p>Read more here.</p>{own}</div></body>"
+    own = lambda i: "".join(f"<p>Story {i}, part {k}.</p>" for k in range(9))
+    got = _texts(spark, [(i, f"http://mixed.x/{i}", most.format(own=own(i))) for i in range(12)])
+    assert got == {i: "\n".join(f"Story {i}, part {k}." for k in range(9)) for i in range(12)}

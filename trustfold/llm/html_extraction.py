@@ -5,8 +5,8 @@ element names with class and id, and holds how often each presentation (the
 names of its children) and each content (a block's text) occurs. Its
 importance is taken from entropies to the base of the number of pages: a node
 that is presented alike everywhere, and a text that stands on most pages, are
-low; a text of one page is high. Branches whose importance is low go from each
-page. Pages whose unmarked texts are all alike count once, so copies of one
+low; a text of one page is high. Texts whose importance at their node is low go
+from each page. Pages whose unmarked texts are all alike count once, so copies of one
 article under many addresses don't make its text look like a template's.
 
 Elements that name their purpose need no statistics: inside ``article`` or
@@ -83,28 +83,30 @@ def _share(part: Column, of: Column) -> Column:
     return F.log(part) / F.log(of)
 
 
-def site_tree(parsed: DataFrame) -> DataFrame:
-    """(host, path, parent, importance) of every node that holds text, for hosts of enough different pages.
+def site_tree(parsed: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
+    """(host, path, hash, importance) of the texts below ``least``, for hosts of enough different pages.
 
-    Content: one less the mean entropy of the node's texts over the pages of
-    the host. Presentation: entropy of the holding element's styles. All
-    counts are of different pages and are summed before they are shuffled.
+    Content: one less the entropy of the text over the pages of the host that
+    have it at the node. Presentation: entropy of the holding element's
+    styles. All counts are of different pages and are summed before they are
+    shuffled.
     """
     sizes = parsed.groupBy("host").agg(F.count_distinct("signature").alias("pages")).filter(F.col("pages") >= LEAST_PAGES)
-    texts = parsed.select("host", "signature", F.explode("blocks").alias("b")).select("host", "signature", "b.path", "b.parent", "b.hash").distinct()
-    spread = texts.groupBy("host", "path", "parent", "hash").agg(F.count(F.lit(1)).alias("on"))
+    texts = parsed.select("host", "signature", F.explode("blocks").alias("b")).select("host", "signature", "b.path", "b.parent", "b.hash")
+    texts = texts.groupBy("host", "signature", "path", "hash").agg(F.min("parent").alias("parent"))
+    spread = texts.groupBy("host", "path", "hash").agg(F.count(F.lit(1)).alias("on"), F.min("parent").alias("parent"))
     styles = parsed.select("host", "signature", F.explode("styles").alias("s")).select("host", "signature", "s.path", "s.style").distinct()
     kinds = styles.groupBy("host", "path", "style").agg(F.count(F.lit(1)).alias("on"))
     small = broadcast_if_small(durable(sizes, "hosts"))
-    content = (
-        spread.join(small, "host").groupBy("host", "path", "parent")
-        .agg((1 - F.sum(F.col("on") * _share(F.col("on"), F.col("pages"))) / F.sum("on")).alias("content"))
-    )
+    content = spread.join(small, "host").select("host", "path", "parent", "hash", (1 - _share(F.col("on"), F.col("pages"))).alias("content"))
     shown = kinds.join(small, "host").groupBy("host", F.col("path").alias("parent"), "pages").agg(
         F.sum("on").alias("n"), F.sum(F.col("on") * F.log(F.col("on"))).alias("s")
     ).select("host", "parent", ((F.log("n") - F.col("s") / F.col("n")) / F.log("pages")).alias("presentation"))
     importance = CONTENT_WEIGHT * F.col("content") + (1 - CONTENT_WEIGHT) * F.coalesce("presentation", F.lit(1.0))
-    return content.join(shown, ["host", "parent"], "left").select("host", "path", "parent", importance.alias("importance"))
+    # Texts that stay by their content alone need no presentation and are not shuffled for it.
+    doubtful = content.filter(CONTENT_WEIGHT * F.col("content") < least)
+    judged = doubtful.join(shown, ["host", "parent"], "left").select("host", "path", "hash", importance.alias("importance"))
+    return judged.filter(F.col("importance") < least)
 
 
 def main_text(pages: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
@@ -118,10 +120,10 @@ def main_text(pages: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
     joined = lambda mark: F.array_join(F.transform(F.filter("blocks", lambda b: b["mark"] == mark), lambda b: b["text"]), "\n")
     plain = parsed.filter(has(ARTICLE) | ~has(OPEN)).select("page_id", "url", joined(ARTICLE).alias("text"))
     bare = parsed.filter(~has(ARTICLE) & has(OPEN))
-    low = site_tree(parsed).filter(F.col("importance") < least).select("host", "path").distinct()
+    low = site_tree(parsed, least).select("host", "path", "hash")
     low = broadcast_if_small(durable(low, "low-branches")).withColumn("low", F.lit(True))
     blocks = bare.select("row", "host", F.posexplode("blocks").alias("at", "b")).filter(F.col("b.mark") == OPEN)
-    judged = blocks.select("row", "host", "at", "b.path", "b.text").join(low, ["host", "path"], "left")
+    judged = blocks.select("row", "host", "at", "b.path", "b.hash", "b.text").join(low, ["host", "path", "hash"], "left")
     kept = judged.groupBy("row").agg(F.sort_array(F.collect_list(F.when(F.col("low").isNull(), F.struct("at", "text")))).alias("kept"))
     texts = kept.select("row", F.array_join(F.transform("kept", lambda k: k["text"]), "\n").alias("text"))
     return plain.union(bare.select("row", "page_id", "url").join(texts, "row").select("page_id", "url", "text"))
