@@ -83,3 +83,18 @@ def test_single_texts_of_one_path_are_told_apart(spark):
     own = lambda i: "".join(f"<p>Story {i}, part {k}.</p>" for k in range(9))
     got = _texts(spark, [(i, f"http://mixed.x/{i}", most.format(own=own(i))) for i in range(12)])
     assert got == {i: "\n".join(f"Story {i}, part {k}." for k in range(9)) for i in range(12)}
+
+
+def test_pages_with_articles_run_through_the_tree(spark):
+    page = (
+        "<body><div class='m'>Menu of the site</div><article><p>Subscribe to our letter today.</p><p>Story {i}.</p></article>"
+        "<div class='z'>All rights are ours</div></body>"
+    )
+    teaser = "<body><div class='m'>Menu of the site</div><article>Teaser {i}</article><div class='story'><p>The story {i} itself.</p></div></body>"
+    rows = [(i, f"http://art.x/{i}", page.format(i=i)) for i in range(12)]
+    rows += [(100 + i, f"http://stray.x/{i}", teaser.format(i=i)) for i in range(12)]
+    rows += [(200, "http://few.x/", "<article>A story of some length.</article><div>Menu</div>"), (201, "http://few.y/", teaser.format(i=1))]
+    got = _texts(spark, rows)
+    assert all(got[i] == f"Story {i}." for i in range(12))
+    assert all(got[100 + i] == f"Teaser {i}\nThe story {i} itself." for i in range(12))
+    assert got[200] == "A story of some length." and got[201].endswith("Teaser 1\nThe story 1 itself.")

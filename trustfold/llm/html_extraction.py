@@ -9,9 +9,11 @@ low; a text of one page is high. Texts whose importance at their node is low go
 from each page. Pages whose unmarked texts are all alike count once, so copies of one
 article under many addresses don't make its text look like a template's.
 
-Elements that name their purpose need no statistics: inside ``article`` or
-``main`` the importance is one, inside menus, footers, forms, adverts and the
-like it is zero. The tree decides on all others, in pages without an article.
+All pages run through the tree. Elements that name their purpose weigh in:
+inside ``article`` or ``main`` a fifth of the importance is given, so that a
+text there goes only if it stands on most pages; menus, footers, forms, adverts
+and the like are left out. A host of fewer than three pages has no tree: there
+an article that holds at least half of a page's text is taken alone.
 """
 
 from __future__ import annotations
@@ -30,17 +32,21 @@ from trustfold.llm.html_blocks import _hash, blocks
 #: Weight of a block's content against the presentation of the element that holds it.
 CONTENT_WEIGHT = 0.9
 LEAST_IMPORTANCE = 0.3
+#: Weight of an article element's mark against what the tree says.
+ARTICLE_WEIGHT = 0.2
+#: Bytes of a row that lists the blocks left out of a page.
+OUT_BYTES = 300
 #: Different pages a host needs before its tree says anything.
 LEAST_PAGES = 3
 
 _BLOCK = pa.struct([("path", pa.int64()), ("parent", pa.int64()), ("mark", pa.int8()), ("hash", pa.int64()), ("text", pa.string())])
 _STYLE = pa.struct([("path", pa.int64()), ("style", pa.int64())])
 PARSED = (
-    "page_id long, url string, host string, signature long, "
+    "page_id long, url string, host string, signature long, lead boolean, "
     "blocks array<struct<path: long, parent: long, mark: byte, hash: long, text: string>>, styles array<struct<path: long, style: long>>"
 )
-#: What an element's name says of a block: not the article, nothing, the article.
-NOISE, OPEN, ARTICLE = -1, 0, 1
+#: What an element's name says of a block: nothing, the article.
+OPEN, ARTICLE = 0, 1
 
 
 def host_of(url: str | None) -> str:
@@ -51,27 +57,32 @@ def host_of(url: str | None) -> str:
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """One row per page: host, hash of its unmarked texts, its blocks and the styles of its elements."""
+    """One row per page: host, hash of its texts, whether its articles hold half of them, its blocks and the styles of its elements.
+
+    Blocks that their elements mark as noise are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
                 urls = part.column(1).to_pylist()
-                held, styles, signatures = [], [], []
+                held, styles, signatures, leads = [], [], [], []
                 for html in part.column(2).to_pylist():
                     found, kinds = blocks(html or "")
+                    found = [b for b in found if not b.noise]
                     held.append([
-                        {"path": b.path, "parent": b.parent, "mark": NOISE if b.noise else ARTICLE if b.article else OPEN, "hash": _hash(b.text), "text": b.text}
+                        {"path": b.path, "parent": b.parent, "mark": ARTICLE if b.article else OPEN, "hash": _hash(b.text), "text": b.text}
                         for b in found
                     ])
                     styles.append([{"path": p, "style": s} for p, s in sorted(set(kinds))])
-                    own = {b.text for b in found if not b.noise} or {b.text for b in found}
-                    signatures.append(_hash("\n".join(sorted(own))))
+                    signatures.append(_hash("\n".join(sorted({b.text for b in found}))))
+                    inside = sum(len(b.text) for b in found if b.article)
+                    leads.append(inside > 0 and 2 * inside >= sum(len(b.text) for b in found))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array([host_of(u) for u in urls], pa.string()), pa.array(signatures, pa.int64()),
-                     pa.array(held, pa.list_(_BLOCK)), pa.array(styles, pa.list_(_STYLE))],
-                    names=["page_id", "url", "host", "signature", "blocks", "styles"],
+                     pa.array(leads, pa.bool_()), pa.array(held, pa.list_(_BLOCK)), pa.array(styles, pa.list_(_STYLE))],
+                    names=["page_id", "url", "host", "signature", "lead", "blocks", "styles"],
                 )
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
@@ -83,7 +94,12 @@ def _share(part: Column, of: Column) -> Column:
     return F.log(part) / F.log(of)
 
 
-def site_tree(parsed: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
+def host_pages(parsed: DataFrame) -> DataFrame:
+    """(host, pages): different pages of every host."""
+    return durable(parsed.groupBy("host").agg(F.count_distinct("signature").alias("pages")), "hosts")
+
+
+def site_tree(parsed: DataFrame, sizes: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
     """(host, path, hash, importance) of the texts below ``least``, for hosts of enough different pages.
 
     Content: one less the entropy of the text over the pages of the host that
@@ -91,13 +107,12 @@ def site_tree(parsed: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
     styles. All counts are of different pages and are summed before they are
     shuffled.
     """
-    sizes = parsed.groupBy("host").agg(F.count_distinct("signature").alias("pages")).filter(F.col("pages") >= LEAST_PAGES)
     texts = parsed.select("host", "signature", F.explode("blocks").alias("b")).select("host", "signature", "b.path", "b.parent", "b.hash")
     texts = texts.groupBy("host", "signature", "path", "hash").agg(F.min("parent").alias("parent"))
     spread = texts.groupBy("host", "path", "hash").agg(F.count(F.lit(1)).alias("on"), F.min("parent").alias("parent"))
     styles = parsed.select("host", "signature", F.explode("styles").alias("s")).select("host", "signature", "s.path", "s.style").distinct()
     kinds = styles.groupBy("host", "path", "style").agg(F.count(F.lit(1)).alias("on"))
-    small = broadcast_if_small(durable(sizes, "hosts"))
+    small = broadcast_if_small(sizes.filter(F.col("pages") >= LEAST_PAGES))
     content = spread.join(small, "host").select("host", "path", "parent", "hash", (1 - _share(F.col("on"), F.col("pages"))).alias("content"))
     shown = kinds.join(small, "host").groupBy("host", F.col("path").alias("parent"), "pages").agg(
         F.sum("on").alias("n"), F.sum(F.col("on") * F.log(F.col("on"))).alias("s")
@@ -110,20 +125,20 @@ def site_tree(parsed: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
 
 
 def main_text(pages: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
-    """(page_id, url, text) of every row: the article's blocks in page order, joined by line feeds.
+    """(page_id, url, text) of every row: the blocks of the article in page order, joined by line feeds.
 
     A null or empty page has an empty text. A page without a host belongs to
     the host ''. Repeated rows get a row each; extra columns are not carried.
     """
     parsed = durable(parse_pages(pages), "parsed")
-    has = lambda mark: F.exists("blocks", lambda b: b["mark"] == mark)
-    joined = lambda mark: F.array_join(F.transform(F.filter("blocks", lambda b: b["mark"] == mark), lambda b: b["text"]), "\n")
-    plain = parsed.filter(has(ARTICLE) | ~has(OPEN)).select("page_id", "url", joined(ARTICLE).alias("text"))
-    bare = parsed.filter(~has(ARTICLE) & has(OPEN))
-    low = site_tree(parsed, least).select("host", "path", "hash")
-    low = broadcast_if_small(durable(low, "low-branches")).withColumn("low", F.lit(True))
-    blocks = bare.select("row", "host", F.posexplode("blocks").alias("at", "b")).filter(F.col("b.mark") == OPEN)
-    judged = blocks.select("row", "host", "at", "b.path", "b.hash", "b.text").join(low, ["host", "path", "hash"], "left")
-    kept = judged.groupBy("row").agg(F.sort_array(F.collect_list(F.when(F.col("low").isNull(), F.struct("at", "text")))).alias("kept"))
-    texts = kept.select("row", F.array_join(F.transform("kept", lambda k: k["text"]), "\n").alias("text"))
-    return plain.union(bare.select("row", "page_id", "url").join(texts, "row").select("page_id", "url", "text"))
+    sizes = host_pages(parsed)
+    low = broadcast_if_small(durable(site_tree(parsed, sizes, least), "low-texts"))
+    each = parsed.select("row", "host", "lead", F.posexplode("blocks").alias("at", "b")).select("row", "host", "lead", "at", "b.mark", "b.path", "b.hash")
+    inside = ARTICLE_WEIGHT + (1 - ARTICLE_WEIGHT) * F.col("importance") < least
+    weak = each.join(low, ["host", "path", "hash"]).filter((F.col("mark") != ARTICLE) | inside).select("row", "at")
+    few = broadcast_if_small(sizes.filter(F.col("pages") < LEAST_PAGES).select("host"))
+    beside = each.filter(F.col("lead") & (F.col("mark") == OPEN)).join(few, "host").select("row", "at")
+    out = durable(weak.union(beside).groupBy("row").agg(F.collect_set("at").alias("out")), "left-out")
+    judged = parsed.join(broadcast_if_small(out, row_bytes=OUT_BYTES), "row", "left")
+    kept = F.filter("blocks", lambda b, at: F.col("out").isNull() | ~F.array_contains("out", at))
+    return judged.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text"))
