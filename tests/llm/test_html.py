@@ -98,3 +98,21 @@ def test_pages_with_articles_run_through_the_tree(spark):
     assert all(got[i] == f"Story {i}." for i in range(12))
     assert all(got[100 + i] == f"Teaser {i}\nThe story {i} itself." for i in range(12))
     assert got[200] == "A story of some length." and got[201].endswith("Teaser 1\nThe story 1 itself.")
+
+
+def test_names_mark_noise_as_a_whole():
+    for wrap in ("class='layout no-sidebar'", "class='has-sidebar'", "id='page' class='category-legal'", "class='sidebar'"):
+        assert _article(f"<div {wrap}><article><p>a</p></article></div>") == ["a"]
+    assert _article("<div class='main-title'>a</div><div class='wide main'>b</div>") == ["b"]
+    assert _article("<main>a<div class='ad'>x</div><div class='widget-area sidebar-inner'>y</div><ul class=comments><li><article>z</article></ul></main>") == ["a"]
+    assert not _article("<aside><article>a</article></aside>")
+
+
+def test_the_tree_decides_where_class_words_mark_whole_pages(spark):
+    page = "<body><div>Skip to text</div><div class='legal'><p>Our motto.</p><p>Story {i} is longer.</p><div class='ad'>Buy {i}</div></div></body>"
+    small = "<body><div class='t'>A story {i} with some words.</div><div class='legal'>Terms of {i}</div></body>"
+    rows = [(i, f"http://legal.x/{i}", page.format(i=i)) for i in range(12)] + [(100 + i, f"http://small.x/{i}", small.format(i=i)) for i in range(12)]
+    rows += [(200, "http://few.x/", "<div class='layout no-sidebar'><p>Words of a page.</p></div>")]
+    got = _texts(spark, rows)
+    assert all(got[i].startswith(f"Story {i} is longer.") for i in range(12))
+    assert all(got[100 + i] == f"A story {i} with some words." for i in range(12)) and got[200] == "Words of a page."

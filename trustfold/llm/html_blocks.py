@@ -22,7 +22,7 @@ HOLDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table
 #: Elements that end an open paragraph.
 ENDS_P = BLOCKS - {"button", "object", "svg", "iframe", "option", "optgroup", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 
-#: Elements and words in class, id or role that mark what is not the article.
+#: Elements, and names in class, id or role, that mark what is not the article.
 NOISE_TAGS = frozenset("head title nav footer aside form script style noscript template iframe svg select button textarea object canvas dialog menu search option".split())
 NOISE_WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs masthead banner footer sidebar aside widget ad ads adv advert adverts "
@@ -30,10 +30,16 @@ NOISE_WORDS = frozenset(
     "newsletter subscribe subscription signup login register share sharing social related recommended recommendations "
     "comment comments reply replies respond disqus pagination pager toolbar copyright disclaimer legal skip search form contentinfo complementary".split()
 )
-#: What marks an outer article or main element as none.
+#: Parts that a name may hold beside such words and be one of them: post-comments, sidebar-inner.
+PLAIN_WORDS = frozenset(
+    "post page site main article entry content blog global primary secondary top bottom left right wrapper wrap container inner outer "
+    "box bar block section list item items link links button buttons icons area region".split()
+)
+#: What marks an outer article or main element as none, and what an inner article element does not end.
 COMMENT_WORDS = frozenset("comment comments reply replies related recommended sponsored".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
 ARTICLE_WORDS = frozenset("article main".split())
+HEADER_WORDS = frozenset(("header",))
 
 TOKEN = re.compile(
     r"<!--(?P<comment>.*?)(?:--!?>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>"
@@ -47,20 +53,26 @@ DIGITS = re.compile(r"[0-9]+")
 MOST_INLINE, MOST_DEPTH = 40, 1000
 
 
+#: Why text is noise: not at all, by names that an inner article ends, by names it doesn't end, by an element's tag.
+NONE, NAMED, HELD, TAGGED = range(4)
+
+
 class Element(NamedTuple):
     tag: str
     name: str  # tag, class and id without digits
     path: int
-    noise: bool
+    noise: int
     article: bool
+    marked: int = 0  # path of the outermost element that only its names mark as noise
 
 
 class Block(NamedTuple):
     path: int
     parent: int
-    noise: bool
+    noise: int
     article: bool
     text: str
+    marked: int = 0
 
 
 def _hash(text: str, seed: int = 0) -> int:
@@ -68,16 +80,34 @@ def _hash(text: str, seed: int = 0) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+def _names_any(names: list[str], words: frozenset[str]) -> bool:
+    """Whether one of the names is made of these words: one at least, and else plain ones only."""
+    for name in names:
+        parts = PARTS.findall(name)
+        if not words.isdisjoint(parts) and all(p in words or p in PLAIN_WORDS or len(p) == 1 for p in parts):
+            return True
+    return False
+
+
 def _element(tag: str, rest: str, above: Element | None) -> Element:
     found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(rest)}
-    words = [p for value in found.values() for p in PARTS.findall(value.lower())]
+    names = [n for value in found.values() for n in value.lower().split()]
     name = DIGITS.sub("", ".".join([tag, *(found[k].lower() for k in ("class", "id") if k in found)]))
+    path = _hash(name, above.path if above else 0)
     inside = above is not None and above.article
-    header = tag == "header" or "header" in words
-    marks = NOISE_WORDS if tag not in ARTICLE_TAGS or inside else COMMENT_WORDS
-    noise = tag in NOISE_TAGS or (tag not in ("html", "body") and not marks.isdisjoint(words)) or (header and not inside)
-    article = inside or tag in ARTICLE_TAGS or (tag in ("div", "section", "td") and not noise and not ARTICLE_WORDS.isdisjoint(words))
-    return Element(tag, name, _hash(name, above.path if above else 0), noise or (above is not None and above.noise), article)
+    over, marked = (above.noise, above.marked) if above else (NONE, 0)
+    if tag in ARTICLE_TAGS and over == NAMED:
+        over, marked = NONE, 0
+    own = NONE
+    if tag in NOISE_TAGS or (tag == "header" and not inside):
+        own = TAGGED
+    elif tag not in ("html", "body"):
+        if _names_any(names, COMMENT_WORDS):
+            own = HELD
+        elif (tag not in ARTICLE_TAGS or inside) and (_names_any(names, NOISE_WORDS) or (not inside and _names_any(names, HEADER_WORDS))):
+            own = NAMED
+    article = inside or tag in ARTICLE_TAGS or (tag in ("div", "section", "td") and not own and not ARTICLE_WORDS.isdisjoint(names))
+    return Element(tag, name, path, max(own, over), article, marked or (path if own in (NAMED, HELD) else 0))
 
 
 def blocks(html: str) -> tuple[list[Block], list[tuple[int, int]]]:
@@ -86,7 +116,7 @@ def blocks(html: str) -> tuple[list[Block], list[tuple[int, int]]]:
     Character references are decoded and white space is folded. An element's
     style is the run of its children's names, neighbours of one name counted once.
     """
-    root = Element("", "", 0, False, False)
+    root = Element("", "", 0, NONE, False)
     stack, children = [root], [[]]
     out: list[Block] = []
     styles: list[tuple[int, int]] = []
@@ -99,7 +129,7 @@ def blocks(html: str) -> tuple[list[Block], list[tuple[int, int]]]:
             if text:
                 on = next((e for e in reversed(stack) if e.tag in BLOCKS), root)
                 above = stack[-2].path if len(stack) > 1 else 0
-                out.append(Block(on.path, above, any(e.noise for e in stack[-1:]), stack[-1].article, text))
+                out.append(Block(on.path, above, stack[-1].noise, stack[-1].article, text, stack[-1].marked))
 
     def pop() -> None:
         e, inner = stack.pop(), children.pop()

@@ -11,13 +11,16 @@ article under many addresses don't make its text look like a template's.
 
 All pages run through the tree. Elements that name their purpose weigh in:
 inside ``article`` or ``main`` a fifth of the importance is given, so that a
-text there goes only if it stands on most pages; menus, footers, forms, adverts
-and the like are left out. A host of fewer than three pages has no tree: there
+text there goes only if it stands on most pages; menus, footers, forms and the
+like are left out, and so are elements with classes such as ``sidebar``, unless
+they hold most of the text of the host's pages that have them, and these pages
+little or no article: then the tree decides on what they hold. A host of fewer than three pages has no tree: there
 an article that holds at least half of a page's text is taken alone.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -27,26 +30,30 @@ from pyspark.sql import functions as F
 
 from trustfold.functions.sizing import broadcast_if_small
 from trustfold.functions.storage import durable
-from trustfold.llm.html_blocks import _hash, blocks
+from trustfold.llm.html_blocks import TAGGED, _hash, blocks
 
 #: Weight of a block's content against the presentation of the element that holds it.
 CONTENT_WEIGHT = 0.9
 LEAST_IMPORTANCE = 0.3
 #: Weight of an article element's mark against what the tree says.
 ARTICLE_WEIGHT = 0.2
+#: Times the text of a page's articles that a class-marked element holds at least, if the class may be wrong.
+MOST_ARTICLE = 10
 #: Bytes of a row that lists the blocks left out of a page.
 OUT_BYTES = 300
 #: Different pages a host needs before its tree says anything.
 LEAST_PAGES = 3
 
-_BLOCK = pa.struct([("path", pa.int64()), ("parent", pa.int64()), ("mark", pa.int8()), ("hash", pa.int64()), ("text", pa.string())])
+_BLOCK = pa.struct([("path", pa.int64()), ("parent", pa.int64()), ("mark", pa.int8()), ("marked", pa.int64()), ("hash", pa.int64()), ("text", pa.string())])
+_SHARE = pa.struct([("marked", pa.int64()), ("part", pa.int64()), ("whole", pa.int64())])
 _STYLE = pa.struct([("path", pa.int64()), ("style", pa.int64())])
 PARSED = (
     "page_id long, url string, host string, signature long, lead boolean, "
-    "blocks array<struct<path: long, parent: long, mark: byte, hash: long, text: string>>, styles array<struct<path: long, style: long>>"
+    "blocks array<struct<path: long, parent: long, mark: byte, marked: long, hash: long, text: string>>, styles array<struct<path: long, style: long>>, "
+    "shares array<struct<marked: long, part: long, whole: long>>"
 )
-#: What an element's name says of a block: nothing, the article.
-OPEN, ARTICLE = 0, 1
+#: What an element's name says of a block: noise by class words, nothing, the article.
+NAMED, OPEN, ARTICLE = -1, 0, 1
 
 
 def host_of(url: str | None) -> str:
@@ -57,9 +64,9 @@ def host_of(url: str | None) -> str:
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """One row per page: host, hash of its texts, whether its articles hold half of them, its blocks and the styles of its elements.
+    """One row per page: host, hash of its texts, whether its articles hold half of them, its blocks, the styles of its elements, and how much each class-marked element holds.
 
-    Blocks that their elements mark as noise are left out.
+    Blocks in elements whose tag marks them as noise are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,22 +74,28 @@ def parse_pages(pages: DataFrame) -> DataFrame:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
                 urls = part.column(1).to_pylist()
-                held, styles, signatures, leads = [], [], [], []
+                held, styles, shares, signatures, leads = [], [], [], [], []
                 for html in part.column(2).to_pylist():
                     found, kinds = blocks(html or "")
-                    found = [b for b in found if not b.noise]
+                    found = [b for b in found if b.noise != TAGGED]
                     held.append([
-                        {"path": b.path, "parent": b.parent, "mark": ARTICLE if b.article else OPEN, "hash": _hash(b.text), "text": b.text}
+                        {"path": b.path, "parent": b.parent, "mark": NAMED if b.noise else ARTICLE if b.article else OPEN, "marked": b.marked, "hash": _hash(b.text), "text": b.text}
                         for b in found
                     ])
                     styles.append([{"path": p, "style": s} for p, s in sorted(set(kinds))])
-                    signatures.append(_hash("\n".join(sorted({b.text for b in found}))))
-                    inside = sum(len(b.text) for b in found if b.article)
-                    leads.append(inside > 0 and 2 * inside >= sum(len(b.text) for b in found))
+                    plain = [b for b in found if not b.noise]
+                    inside, whole, named = sum(len(b.text) for b in plain if b.article), sum(len(b.text) for b in found), Counter()
+                    for b in found:
+                        if b.noise:
+                            named[b.marked] += len(b.text)
+                    shares.append([{"marked": m, "part": n if n > MOST_ARTICLE * inside else 0, "whole": whole} for m, n in named.items()])
+                    own = found if 2 * named.total() > whole else plain
+                    signatures.append(_hash("\n".join(sorted({b.text for b in own}))))
+                    leads.append(inside > 0 and 2 * inside >= whole - named.total())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array([host_of(u) for u in urls], pa.string()), pa.array(signatures, pa.int64()),
-                     pa.array(leads, pa.bool_()), pa.array(held, pa.list_(_BLOCK)), pa.array(styles, pa.list_(_STYLE))],
-                    names=["page_id", "url", "host", "signature", "lead", "blocks", "styles"],
+                     pa.array(leads, pa.bool_()), pa.array(held, pa.list_(_BLOCK)), pa.array(styles, pa.list_(_STYLE)), pa.array(shares, pa.list_(_SHARE))],
+                    names=["page_id", "url", "host", "signature", "lead", "blocks", "styles", "shares"],
                 )
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
@@ -124,6 +137,12 @@ def site_tree(parsed: DataFrame, sizes: DataFrame, least: float = LEAST_IMPORTAN
     return judged.filter(F.col("importance") < least)
 
 
+def overruled(parsed: DataFrame) -> DataFrame:
+    """(host, marked) of class-marked elements that hold most of the text of their host's pages that have them."""
+    held = parsed.select("host", F.explode("shares").alias("s")).groupBy("host", "s.marked")
+    return held.agg(F.sum("s.part").alias("part"), F.sum("s.whole").alias("whole")).filter(2 * F.col("part") > F.col("whole")).select("host", "marked")
+
+
 def main_text(pages: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
     """(page_id, url, text) of every row: the blocks of the article in page order, joined by line feeds.
 
@@ -133,12 +152,17 @@ def main_text(pages: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
     parsed = durable(parse_pages(pages), "parsed")
     sizes = host_pages(parsed)
     low = broadcast_if_small(durable(site_tree(parsed, sizes, least), "low-texts"))
-    each = parsed.select("row", "host", "lead", F.posexplode("blocks").alias("at", "b")).select("row", "host", "lead", "at", "b.mark", "b.path", "b.hash")
+    each = parsed.select("row", "host", "lead", F.posexplode("blocks").alias("at", "b")).select("row", "host", "lead", "at", "b.mark", "b.marked", "b.path", "b.hash")
     inside = ARTICLE_WEIGHT + (1 - ARTICLE_WEIGHT) * F.col("importance") < least
     weak = each.join(low, ["host", "path", "hash"]).filter((F.col("mark") != ARTICLE) | inside).select("row", "at")
     few = broadcast_if_small(sizes.filter(F.col("pages") < LEAST_PAGES).select("host"))
     beside = each.filter(F.col("lead") & (F.col("mark") == OPEN)).join(few, "host").select("row", "at")
-    out = durable(weak.union(beside).groupBy("row").agg(F.collect_set("at").alias("out")), "left-out")
+    most = broadcast_if_small(durable(overruled(parsed), "overruled"))
+    back = each.filter(F.col("mark") == NAMED).join(most, ["host", "marked"]).select("row", "at")
+    said = weak.union(beside).withColumn("left", F.lit(True)).union(back.withColumn("left", F.lit(False)))
+    out = said.groupBy("row").agg(F.collect_set(F.when(F.col("left"), F.col("at"))).alias("out"), F.collect_set(F.when(~F.col("left"), F.col("at"))).alias("back"))
+    out = durable(out, "left-out")
     judged = parsed.join(broadcast_if_small(out, row_bytes=OUT_BYTES), "row", "left")
-    kept = F.filter("blocks", lambda b, at: F.col("out").isNull() | ~F.array_contains("out", at))
+    among = lambda places, at: F.coalesce(F.array_contains(places, at), F.lit(False))
+    kept = F.filter("blocks", lambda b, at: ((b["mark"] != NAMED) | among("back", at)) & ~among("out", at))
     return judged.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text"))
