@@ -1,4 +1,17 @@
-"""License notices to look for: (id, license, text). Fixed values, as their authors publish them."""
+"""License notices and texts to look for: (id, license, text). Fixed values.
+
+Notices and headers are the parts that documents quote, whole texts are as
+their authors publish them. GPL-3.0 shares most of its words with the AGPL,
+whose whole text is not held here: a copy of it matches ``gpl-3-text`` and
+``agpl-notice``.
+"""
+
+from pathlib import Path
+
+
+def _whole(name: str) -> str:
+    return (Path(__file__).parent / "license_files" / f"{name}.txt").read_text(encoding="utf-8")
+
 
 TEMPLATES = (
     ("apache-notice", "Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -32,4 +45,21 @@ TEMPLATES = (
     ("mpl-header", "MPL-2.0",
      "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
      "with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("mit-warranty", "MIT",
+     "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES "
+     "OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE "
+     "LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+     "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("agpl-notice", "AGPL", "terms of the GNU Affero General Public License"),
+    ("lgpl-notice", "LGPL", "terms of the GNU Lesser General Public License"),
+    ("apache-text", "Apache-2.0", _whole("Apache-2.0")),
+    ("gpl-2-text", "GPL-2.0", _whole("GPL-2")),
+    ("gpl-3-text", "GPL-3.0", _whole("GPL-3")),
+    ("lgpl-2.1-text", "LGPL-2.1", _whole("LGPL-2.1")),
+    ("lgpl-3-text", "LGPL-3.0", _whole("LGPL-3")),
+    ("mpl-2-text", "MPL-2.0", _whole("MPL-2.0")),
+    ("cc0-text", "CC0-1.0", _whole("CC0-1.0")),
 )
+
+#: Notices of fewer than five words, which ``scan`` finds inside longer texts; the SQL of op5 can't, so the query leaves them out.
+SHORT_NOTICES = (("all-rights-notice", "All rights reserved", "All rights reserved."),)

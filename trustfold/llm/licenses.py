@@ -1,7 +1,8 @@
 """License scans: MinHash bands over text windows retrieve templates, shingle containment verifies them.
 
-Texts and templates become five-word shingles. A template is put into one of
-three classes by its length; a class has a window length, and windows that
+Texts and templates become five-word shingles. A template of fewer words is
+looked for as a run of its own length. Any other is put into one of three
+classes by its length; a class has a window length, and windows that
 overlap by half run over every text, and at every offset over the templates.
 A window's shingle hashes fall into bins by their upper bits, and the least
 hash of each bin (one-permutation MinHash) is a band of its own.
@@ -45,6 +46,11 @@ def shingles(found: Column, width: int = SHINGLE_WORDS) -> Column:
     return bound(found, runs)
 
 
+def runs_of(found: Column, length: int) -> Column:
+    """Distinct runs of ``length`` words of a list; fewer words make none."""
+    return F.when(F.size(found) >= length, shingles(found, length)).otherwise(F.expr("cast(array() as array<string>)"))
+
+
 def shingle_hashes(found: Column, width: int = SHINGLE_WORDS) -> Column:
     """Hashes of the shingles of a list of words in any case, in their order and with repeats."""
     def runs(hashed: Column) -> Column:
@@ -72,10 +78,23 @@ def bands(hashed: Column, window: int, bin_bits: int, step: int) -> Column:
     return F.flatten(F.transform(starts, of_window))
 
 
+def short_lengths(templates: DataFrame) -> list[int]:
+    """Lengths, in words, of the templates too short for a shingle."""
+    size = F.size(words(F.col("text"))).alias("n")
+    return sorted(r["n"] for r in templates.select(size).filter(F.col("n").between(1, SHINGLE_WORDS - 1)).distinct().collect())
+
+
+def run_bands(found: Column, lengths: list[int]) -> Column:
+    """Band keys of all runs of these lengths in a list of words in any case."""
+    keys = lambda hashed, n: F.transform(window_hashes(hashed, n), lambda h: F.xxhash64(F.lit(-n), h))
+    return bound(loose_hashes(found), lambda hashed: F.concat(*(keys(hashed, n) for n in lengths)))
+
+
 def template_bands(templates: DataFrame) -> DataFrame:
     """(band, template_id) of every window of every template, by its class. Templates without words have none."""
-    rows = templates.select("template_id", shingle_hashes(words(F.col("text"))).alias("h")).filter(F.size("h") > 0)
-    parts = []
+    found = templates.select("template_id", words(F.col("text")).alias("w"))
+    rows = found.filter(F.size("w") >= SHINGLE_WORDS).select("template_id", shingle_hashes(F.col("w")).alias("h"))
+    parts = [found.filter(F.size("w") == n).select(F.explode(run_bands(F.col("w"), [n])).alias("band"), "template_id") for n in range(1, SHINGLE_WORDS)]
     for number, (least, window, bits) in enumerate(CLASSES):
         size = F.size("h") >= least
         if number + 1 < len(CLASSES):
@@ -84,12 +103,16 @@ def template_bands(templates: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, parts).distinct()
 
 
-def candidates(docs: DataFrame, templates: DataFrame) -> DataFrame:
-    """(doc_id, text_key, template_id) of texts and templates that share a band."""
+def candidates(docs: DataFrame, templates: DataFrame, short: list[int]) -> DataFrame:
+    """(doc_id, text_key, template_id) of texts and templates that share a band; ``short`` has the lengths of short templates."""
     known = durable(template_bands(templates), "template-bands")
     every = lambda h: F.concat(*(bands(h, window, bits, max(1, window // 2)) for _, window, bits in CLASSES))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), shingle_hashes(raw_words(F.col("text"))).alias("h"))
+    key = (F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"))
+    rows = docs.select(*key, shingle_hashes(raw_words(F.col("text"))).alias("h"))
     keyed = rows.select("doc_id", "text_key", F.explode(bound(F.col("h"), every)).alias("band"))
+    if short:
+        runs = bound(raw_words(F.col("text")), lambda w: run_bands(w, short))
+        keyed = keyed.union(docs.select(*key, F.explode(runs).alias("band")))
     return keyed.join(broadcast_if_small(known), "band").select("doc_id", "text_key", "template_id").distinct()
 
 
@@ -97,16 +120,18 @@ def license_matches(docs: DataFrame, templates: DataFrame, least: float = LEAST_
     """(doc_id, text_key, template_id, license, n_shared, containment) of the templates that a text contains.
 
     ``containment`` is the share of a template's distinct shingles that occur
-    in the text, compared as words. ``templates`` has template_id, license and
+    in the text, compared as words; one of fewer than five words has a single
+    run of its own length. ``templates`` has template_id, license and
     text; its ids are unique. Repeated rows of ``docs`` give one row.
     """
-    found = durable(candidates(docs, templates), "license-candidates")
+    short = short_lengths(templates)
+    found = durable(candidates(docs, templates, short), "license-candidates")
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), text_key(F.col("text")).alias("_key"), F.col("text").cast("string").alias("text"))
     named = templates.select("template_id", "license", shingles(words(F.col("text"))).alias("template"))
     match = texts["_id"].eqNullSafe(found["doc_id"]) & (texts["_key"] == found["text_key"])
     ids = found.groupBy("doc_id", "text_key").agg(F.collect_set("template_id").alias("ids"))
     held = texts.join(broadcast_if_small(ids, row_bytes=MATCH_BYTES), match)
-    sets = held.select("doc_id", "text_key", "ids", shingles(words(F.col("text"))).alias("shingles"))
+    sets = held.select("doc_id", "text_key", "ids", bound(words(F.col("text")), lambda w: F.concat(shingles(w), *(runs_of(w, n) for n in short))).alias("shingles"))
     pairs = sets.select("doc_id", "text_key", "shingles", F.explode("ids").alias("template_id")).join(broadcast_if_small(named), "template_id")
     shared = pairs.withColumn("n_shared", F.size(F.array_intersect("shingles", "template")))
     share = F.col("n_shared") / F.size("template")
