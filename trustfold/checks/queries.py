@@ -183,11 +183,11 @@ def accuracy_log(spark, sf_dir):
 
 @query
 def best_model(spark, sf_dir):
-    """Model after each of two steps, kept only where the accuracy strictly improves."""
+    """Model after each of as many steps as a fit has rounds, kept only where the accuracy strictly improves."""
     dealt = durable(_dealt(spark, sf_dir), "dealt")
     path, best, model, kept = fresh_path(spark, "best"), 0.0, _zero(spark), None
     everyone = dealt.select("client_id").distinct().withColumn("score", F.lit(1.0))
-    for _ in range(2):
+    for _ in range(C.ROUNDS):
         updates = durable(training.train_fullbatch(dealt, model, ROUND.classes, LEARNING_RATE), "updates")
         model = durable(aggregation.robust_aggregate(updates, everyone), "model")
         reached = rounds.evaluate(_test_rows(spark, sf_dir), model, ROUND.classes).first()["accuracy"]
@@ -737,7 +737,7 @@ def training_round_constant(spark, sf_dir):
 
 @query
 def federated_fit(spark, sf_dir):
-    settings = rounds.Settings(rounds=21, lr=0.05, sealed=True)  # past two rehabilitation rounds
+    settings = rounds.Settings(lr=0.05, sealed=True)
     return rounds.federated_fit(_train_rows(spark, sf_dir), _test_rows(spark, sf_dir), settings)
 
 
