@@ -14,3 +14,8 @@ def _settings_of(monkeypatch, spark, sf_dir, name):
 def test_the_fit_runs_all_rounds(monkeypatch, spark, sf_dir):
     settings = _settings_of(monkeypatch, spark, sf_dir, "federated_fit")
     assert (settings.rounds, settings.trainer, settings.subset_rows) == (C.ROUNDS, "minibatch", C.SUBSET_ROWS)
+
+
+def test_the_grid_runs_all_rounds(monkeypatch, spark, sf_dir):
+    settings = _settings_of(monkeypatch, spark, sf_dir, "experiment_grid")
+    assert (settings.rounds, settings.trainer, settings.subset_rows) == (C.ROUNDS, "minibatch", C.SUBSET_ROWS)

@@ -743,7 +743,7 @@ def federated_fit(spark, sf_dir):
 
 @query
 def experiment_grid(spark, sf_dir):
-    settings = replace(ROUND, rounds=1)
+    settings = rounds.Settings(lr=0.05)
     return rounds.experiment_grid(_train_rows(spark, sf_dir), _test_rows(spark, sf_dir), settings)
 
 
