@@ -18,6 +18,7 @@ from trustfold.llm.pii import BASE, find_spans
 from trustfold.llm.quality import quality
 from trustfold.llm.sharding import hilbert_shards
 from trustfold.llm.simhash import near_duplicates
+from trustfold.llm.suffix_array import without_repeats
 from trustfold.llm.token_output import Matrices, matrix_rows, pack_matrices
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,6 +118,16 @@ def op10_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that stand in repeated strings of 200 bytes, and the checksum of the rest."""
+    found = without_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_cost_balanced_packing": op1_cost_balanced_packing,
     "op2_packed_matrices": op2_packed_matrices,
@@ -128,6 +139,7 @@ QUERIES: dict[str, Query] = {
     "op8_site_style_tree": op8_site_style_tree,
     "op9_hilbert_shards": op9_hilbert_shards,
     "op10_golay_simhash": op10_golay_simhash,
+    "op11_suffix_array_dedup": op11_suffix_array_dedup,
 }
 
 _WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
