@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trustfold.functions.storage import durable
+from trustfold.llm.conversation_trie import placed_turns, prefix_trie, with_shared_starts
 from trustfold.llm.decontamination import contamination
+from trustfold.llm.divergence import source_audit
 from trustfold.llm.fingerprints import fingerprint_report
 from trustfold.llm.html_extraction import main_text
 from trustfold.llm.license_texts import TEMPLATES
@@ -128,6 +131,17 @@ def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all conversations, rebuilt to share first turns."""
+    turns, roster = with_shared_starts(durable(placed_turns(table(spark, sf_dir, "conversations")), "turns"))
+    return prefix_trie(turns, roster).withColumnsRenamed({"saved": "saved_tokens", "digest": "ends_sha256"})
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far every source lies from the others of its language, and its ten most telling terms."""
+    return source_audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_cost_balanced_packing": op1_cost_balanced_packing,
     "op2_packed_matrices": op2_packed_matrices,
@@ -140,10 +154,16 @@ QUERIES: dict[str, Query] = {
     "op9_hilbert_shards": op9_hilbert_shards,
     "op10_golay_simhash": op10_golay_simhash,
     "op11_suffix_array_dedup": op11_suffix_array_dedup,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 _WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                       '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+#: CRC-32 of the decimal number in column ``conv_id``, bit by bit: reversed polynomial, all ones at first and at last.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+            lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), CAST(range(8) AS BIGINT[])),
+                lambda bits, step: CASE WHEN bits % 2 = 1 THEN xor(bits // 2, 3988292384) ELSE bits // 2 END)), 4294967295)"""
 _QUOTED = ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" for v in row) + ")" for row in TEMPLATES)
 
 ORACLES: dict[str, str] = {
@@ -202,4 +222,109 @@ ORACLES: dict[str, str] = {
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN spread USING (r) LEFT JOIN named USING (r)
     """,
+    "op11_suffix_array_dedup": """
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+        ), w AS (
+            SELECT r, i, md5(substr(x, 2 * i + 1, 400)) AS m
+            FROM (SELECT r, x, unnest(range(0, len(x) // 2 - 199)) AS i FROM d WHERE len(x) >= 400)
+        ), i AS (
+            SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before
+            FROM w WHERE m IN (SELECT m FROM w GROUP BY m HAVING count(*) > 1)
+        ), g AS (
+            SELECT r, i, sum(CASE WHEN i <= before + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS run FROM i
+        ), s AS (
+            SELECT r, run, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY r, run
+        ), k AS (
+            SELECT r, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS a, a AS b FROM s
+            UNION ALL SELECT r, max(b), NULL FROM s GROUP BY r
+        ), t AS (
+            SELECT r, string_agg(substr(x, 2 * a + 1, 2 * coalesce(b - a, len(x))), '' ORDER BY a) AS kept FROM k JOIN d USING (r) GROUP BY r
+        ), n AS (
+            SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed FROM s GROUP BY r
+        )
+        SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+               coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+        FROM d LEFT JOIN t USING (r) LEFT JOIN n USING (r)
+    """,
+    "op12_conversation_trie": f"""
+        WITH t AS (
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos, role, text
+            FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+        ), s AS (
+            SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id
+        ), h AS (
+            SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC32} % 9 AS h FROM s
+        ), l AS (
+            SELECT h.conv_id, h.base, h.h, least(h.h, coalesce(b.n, 0)) AS taken
+            FROM h LEFT JOIN (SELECT conv_id AS base, n FROM s) AS b USING (base)
+        ), u AS (
+            SELECT t.conv_id, CASE WHEN l.base = t.conv_id THEN t.pos ELSE t.pos - l.h + l.taken END AS pos, role, text
+            FROM t JOIN l ON l.conv_id = t.conv_id WHERE l.base = t.conv_id OR t.pos >= l.h
+            UNION ALL
+            SELECT l.conv_id, t.pos, role, text FROM l JOIN t ON t.conv_id = l.base WHERE l.base <> l.conv_id AND t.pos < l.h
+        ), e AS (
+            SELECT s.conv_id, coalesce(max(u.pos) + 1, 0) AS len FROM s LEFT JOIN u ON u.conv_id = s.conv_id GROUP BY s.conv_id
+        ), p AS (
+            SELECT conv_id, pos + 1 AS depth, strlen(text) AS bytes,
+                   string_agg(md5(concat(length(role), ':', role, text)), '') OVER (PARTITION BY conv_id ORDER BY pos) AS k
+            FROM u
+            UNION ALL SELECT conv_id, 0, 0, '' FROM s
+        ), n AS (
+            SELECT depth, k, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes FROM p GROUP BY depth, k
+        ), c AS (
+            SELECT depth - 1 AS depth, substr(k, 1, 32 * (depth - 1)) AS k, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL
+        ), v AS (
+            SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c USING (depth, k)
+        ), a AS (
+            SELECT d AS depth, substr(k, 1, 32 * d) AS k, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves,
+                   sum((n_convs - 1) * bytes) AS saved_tokens
+            FROM (SELECT v.*, unnest(range(0, depth + 1)) AS d FROM v) GROUP BY ALL
+        ), m AS (
+            SELECT p.depth, p.k, string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id) AS ids
+            FROM p JOIN e ON e.conv_id = p.conv_id AND e.len = p.depth GROUP BY p.depth, p.k
+        )
+        SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, o.conv_id AS parent_conv_id, v.n_convs, v.n_children,
+               CAST(a.n_leaves AS BIGINT) AS n_leaves, CAST(a.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(m.ids, '')) AS ends_sha256
+        FROM v JOIN a USING (depth, k) LEFT JOIN m USING (depth, k)
+        LEFT JOIN n AS o ON o.depth = v.depth - 1 AND o.k = substr(v.k, 1, 32 * (v.depth - 1))
+    """,
+    "op13_source_divergence": """
+        WITH d AS (
+            SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+            FROM documents
+        ), x AS (
+            SELECT r, lang, source, unnest(w) AS term FROM d
+        ), k AS (
+            SELECT lang, term, count(*) AS n FROM x GROUP BY lang, term HAVING count(DISTINCT r) >= 10
+        ), l AS (
+            SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang
+        ), c AS (
+            SELECT x.lang, x.source, x.term, count(*) AS n FROM x JOIN k ON k.lang = x.lang AND k.term = x.term GROUP BY ALL
+        ), t AS (
+            SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source
+        ), g AS (
+            SELECT s.lang, s.source, coalesce(t.n, 0) AS n, coalesce(l.v, 0) AS v, coalesce(l.n, 0) AS ln
+            FROM (SELECT DISTINCT lang, source FROM d) AS s LEFT JOIN t USING (lang, source) LEFT JOIN l USING (lang)
+        ), p AS (
+            SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+                   CAST(1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2) // (g.n + 2 * g.v) AS BIGINT) AS p,
+                   CAST(1 + CAST(1000000000 AS HUGEINT) * (k.n + 2) // (g.ln + 2 * g.v) AS BIGINT) AS q
+            FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+        ), f AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+            FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        ), both_parts AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+            FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM p WHERE n > 0 AND p > q
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM both_parts
+        )
+        SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+    """,
 }
