@@ -224,10 +224,10 @@ ORACLES: dict[str, str] = {
     """,
     "op11_suffix_array_dedup": """
         WITH d AS (
-            SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
-        ), w AS (
-            SELECT r, i, md5(substr(x, 2 * i + 1, 400)) AS m
-            FROM (SELECT r, x, unnest(range(0, len(x) // 2 - 199)) AS i FROM d WHERE len(x) >= 400)
+            SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS y, hex(encode(coalesce(text, ''))) AS x FROM documents
+        ), w AS MATERIALIZED (
+            SELECT r, i, md5(y[i + 1 : i + 200]) AS m
+            FROM (SELECT r, y, unnest(range(0, octet_length(y) - 199)) AS i FROM d WHERE octet_length(y) >= 200)
         ), i AS (
             SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before
             FROM w WHERE m IN (SELECT m FROM w GROUP BY m HAVING count(*) > 1)
