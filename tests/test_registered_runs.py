@@ -6,7 +6,7 @@ from trustfold.checks import queries
 
 def _settings_of(monkeypatch, spark, sf_dir, name):
     seen = []
-    monkeypatch.setattr(queries.rounds, name, lambda train, test, settings, **_: seen.append(settings))
+    monkeypatch.setattr(queries.runs, name, lambda train, test, settings, **_: seen.append(settings))
     queries.QUERIES[name](spark, sf_dir)
     return seen[0]
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trustfold.checks.queries import ROUND, _test_rows, _train_rows
 from trustfold.functions.storage import durable, fresh_path
 from trustfold.operators import aggregation, corruption, training
-from trustfold.plans import rounds
+from trustfold.plans import rounds, runs
 
 
 @pytest.fixture(scope="module")
@@ -53,17 +53,17 @@ def test_a_client_without_rows_is_held(spark, prepared):
 def test_fit_resumes_and_records_failures(spark, data, prepared, monkeypatch):
     settings = replace(ROUND, rounds=3, d_th=1.0, ratio=0.2)
     path = fresh_path(spark, "fit")
-    real, calls = rounds.run_round, []
+    real, calls = runs.play_round, []
 
-    def flaky(dealt, subsets, state, d_th, settings, round_no=1, keys=None):
-        calls.append(round_no)
-        if round_no == 2:
+    def flaky(*args, **named):
+        calls.append(args[6])
+        if args[6] == 2:
             raise RuntimeError("lost")
-        return real(dealt, subsets, state, d_th, settings, round_no, keys)
+        return real(*args, **named)
 
-    monkeypatch.setattr(rounds, "run_round", flaky)
-    first = rounds.federated_fit(*data, replace(settings, rounds=2), path=path, prepared=prepared)
-    whole = rounds.federated_fit(*data, settings, path=path, prepared=prepared)
+    monkeypatch.setattr(runs, "play_round", flaky)
+    first = runs.federated_fit(*data, replace(settings, rounds=2), path=path, prepared=prepared)
+    whole = runs.federated_fit(*data, settings, path=path, prepared=prepared)
     assert calls == [1, 2, 3]
     assert sorted({r["round"] for r in first.collect()}) == [1, 2]
     by_round = {r["round"]: r for r in whole.filter(F.col("client_id").isNull() | (F.col("client_id") == 5)).collect()}
@@ -74,14 +74,14 @@ def test_fit_resumes_and_records_failures(spark, data, prepared, monkeypatch):
 
 def test_minibatch_round_with_sealed_samples(spark, data, prepared):
     settings = rounds.Settings(rounds=1, lr=0.05, subset_rows=20, sealed=True, attack=2, ratio=0.3)
-    report = rounds.federated_fit(*data, settings, prepared=prepared).collect()
+    report = runs.federated_fit(*data, settings, prepared=prepared).collect()
     assert len(report) == 10 and all(r["outcome"] == "ok" and r["secure"] for r in report)
     assert all((r["score"] <= 0.01) for r in report if r["client_id"] < 3)
 
 
 def test_grid_has_every_run(spark, data):
     settings = replace(ROUND, rounds=1, d_th=1.0)
-    grid = rounds.experiment_grid(*data, settings, attacks=(1, 3), ratios=(0.2, 0.6))
+    grid = runs.experiment_grid(*data, settings, attacks=(1, 3), ratios=(0.2, 0.6))
     seen = {r["run_id"]: r["n"] for r in grid.groupBy("run_id").agg(F.count("*").alias("n")).collect()}
     assert seen == {f"atk{a}_ratio{r}": 10 for a in (1, 3) for r in (0.2, 0.6)}
     bad = {"0.2": 2, "0.6": 6}
@@ -105,17 +105,17 @@ def test_an_altered_update_is_noticed(spark, data, prepared):
 
 def test_fit_retries_failures_and_writes_its_output(spark, data, prepared, monkeypatch):
     settings = replace(ROUND, rounds=2, d_th=1.0, ratio=0.2)
-    path, real, calls = fresh_path(spark, "fit"), rounds.run_round, []
+    path, real, calls = fresh_path(spark, "fit"), runs.play_round, []
 
     def flaky(*args, **named):
-        calls.append(args[5])
+        calls.append(args[6])
         if len(calls) == 2:
             raise RuntimeError("lost")
         return real(*args, **named)
 
-    monkeypatch.setattr(rounds, "run_round", flaky)
-    rounds.federated_fit(*data, settings, path=path, prepared=prepared)
-    report = rounds.federated_fit(*data, settings, path=path, prepared=prepared, retry_failed=True, output=f"{path}-out").collect()
+    monkeypatch.setattr(runs, "play_round", flaky)
+    runs.federated_fit(*data, settings, path=path, prepared=prepared)
+    report = runs.federated_fit(*data, settings, path=path, prepared=prepared, retry_failed=True, output=f"{path}-out").collect()
     assert calls == [1, 2, 2] and {r["outcome"] for r in report} == {"ok"}
     log = spark.read.option("header", True).csv(f"{path}-out/log_atk{settings.attack}_ratio0.2.csv").collect()
     assert [r["Round"] for r in log] == ["1", "2"]

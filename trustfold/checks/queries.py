@@ -14,7 +14,7 @@ from trustfold.checks.tables import rounded
 from trustfold.functions.hashing import uniform
 from trustfold.functions.storage import durable, fresh_path
 from trustfold.operators import aggregation, corruption, credibility, dealing, exchange, features, pairing, reports, training
-from trustfold.plans import rounds, threshold
+from trustfold.plans import rounds, runs, threshold
 from trustfold.sources import histories, labeled, logs, models
 from trustfold.streaming import credibility_batches, credibility_stream
 
@@ -738,13 +738,13 @@ def training_round_constant(spark, sf_dir):
 @query
 def federated_fit(spark, sf_dir):
     settings = rounds.Settings(lr=0.05, sealed=True)
-    return rounds.federated_fit(_train_rows(spark, sf_dir), _test_rows(spark, sf_dir), settings)
+    return runs.federated_fit(_train_rows(spark, sf_dir), _test_rows(spark, sf_dir), settings)
 
 
 @query
 def experiment_grid(spark, sf_dir):
     settings = rounds.Settings(lr=0.05)
-    return rounds.experiment_grid(_train_rows(spark, sf_dir), _test_rows(spark, sf_dir), settings)
+    return runs.experiment_grid(_train_rows(spark, sf_dir), _test_rows(spark, sf_dir), settings)
 
 
 @query

@@ -1,19 +1,15 @@
-"""One federated round, the multi-round fit and the experiment grid."""
+"""One federated round, cell by cell; ``plans/runs.py`` chains rounds of many runs."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, replace
-from functools import reduce
-from itertools import product
+from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustfold import constants as C
-from trustfold.functions.storage import durable, fresh_path
+from trustfold.functions.storage import durable
 from trustfold.operators.aggregation import (
     match_updates, next_global, pair_distance, robust_aggregate,
 )
@@ -22,14 +18,10 @@ from trustfold.operators.credibility import status, update_credibility
 from trustfold.operators.dealing import client_subset, deal
 from trustfold.operators.exchange import attest, deliver, open_, seal, verify
 from trustfold.operators.pairing import pair, retain
-from trustfold.operators.reports import carried_score
 from trustfold.operators.training import (
     accuracy, argmax_class, predict, train_auth, train_fullbatch, train_minibatch, training_steps, zero_model,
 )
 from trustfold.plans.threshold import estimate_threshold, half_sample_distances, reshuffled_distances
-from trustfold.sources.histories import write_history
-from trustfold.sources.logs import accuracy_log, write_log
-from trustfold.sources.models import save_best
 
 
 @dataclass(frozen=True)
@@ -186,138 +178,3 @@ def flagship_round(train: DataFrame, test: DataFrame, settings: Settings, keys:
         (F.col("score") > C.EXCLUSION_LIMIT).alias("is_trusted"),
         F.lit(float(d_th)).alias("d_th"), reached.alias("accuracy"),
     )
-
-
-def federated_fit(
-    train: DataFrame, test: DataFrame, settings: Settings, path: str | None = None, model: DataFrame | None = None,
-    prepared: tuple[DataFrame, DataFrame] | None = None, keys: DataFrame | None = None, output: str | None = None,
-    retry_failed: bool = False,
-) -> DataFrame:
-    """All rounds; returns the report (round, outcome, accuracy, best, is_best, client_id, score, ...).
-
-    ``keys`` (client_id, secret) are the clients' secrets; without them
-    stand-ins are derived, which protect nothing. With ``output`` the wide
-    history and the accuracy log of the run are written there as CSV.
-
-    The loop on the driver only sequences rounds. Each round's model, scores
-    and history are written under ``path``, which cuts the lineage and lets
-    a killed run resume behind its last whole round. A failed round is
-    recorded with its outcome and leaves model, scores and history untouched;
-    a resumed run goes on behind them with the threshold of the stored rounds,
-    or, with ``retry_failed``, tries those behind its last good round again.
-    A model that strictly beats all before is also kept under ``path/best``.
-    """
-    spark = train.sparkSession
-    path = path or fresh_path(spark, "fit")
-    dealt, subsets = prepared or prepare_clients(train, settings)
-    state = initial_state(spark, settings, model)
-    stored = {n: done for n in range(1, settings.rounds + 1) if (done := _finished_round(spark, path, n)) is not None}
-    last_good = max((n for n, done in stored.items() if done["outcome"] == "ok"), default=0)
-    d_th = settings.d_th
-    if d_th is None:
-        d_th = next(iter(stored.values()))["d_th"] if stored else estimate(dealt, state.model, settings)
-    best = 0.0
-    for round_no in range(1, settings.rounds + 1):
-        done = None if retry_failed and round_no > last_good else stored.get(round_no)
-        if done is None:
-            done = _one_round(spark, dealt, subsets, test, state, d_th, settings, round_no, best, path, keys)
-        best = max(best, done["best"])
-        state = _stored_state(spark, path, done["state_round"], state)
-    report = round_report(spark, path)
-    if output is not None:
-        _write_run(report, settings, output)
-    return report
-
-
-def _write_run(report: DataFrame, settings: Settings, output: str) -> None:
-    """Wide credibility history and accuracy log of a run, from its report."""
-    run_id = F.lit(f"atk{settings.attack}_ratio{settings.ratio}")
-    seen = report.filter(F.col("client_id").isNotNull()).select(run_id.alias("run_id"), "round", "client_id", "score")
-    write_history(seen, f"{output}/history", range(settings.clients))
-    per_round = report.filter(F.col("accuracy").isNotNull()).select("round", "accuracy").distinct()
-    write_log(accuracy_log(per_round, seen), output, settings.attack, settings.ratio)
-
-
-def _part(path: str, round_no: int, name: str) -> str:
-    return f"{path}/round={round_no:05d}/{name}"
-
-
-def _finished_round(spark: SparkSession, path: str, round_no: int):
-    """The outcome row of a round that was stored whole, else None."""
-    try:
-        return spark.read.parquet(_part(path, round_no, "outcome")).first()
-    except AnalysisException:
-        return None
-
-
-def _stored_state(spark: SparkSession, path: str, round_no: int, unchanged: State) -> State:
-    if round_no == 0:
-        return unchanged
-    read = spark.read.parquet
-    return State(*[read(_part(path, round_no, name)) for name in ("model", "credibility", "history")])
-
-
-def _one_round(spark, dealt, subsets, test, state, d_th, settings, round_no, best, path, keys=None):
-    """Run and store one round; the small ``outcome`` row is written last and marks it whole."""
-    last_good = round_no
-    reached, outcome = None, "ok"
-    try:
-        following, table = run_round(dealt, subsets, state, d_th, settings, round_no, keys)
-        following.model.write.mode("overwrite").parquet(_part(path, round_no, "model"))
-        following.credibility.write.mode("overwrite").parquet(_part(path, round_no, "credibility"))
-        following.history.write.mode("overwrite").parquet(_part(path, round_no, "history"))
-        table.write.mode("overwrite").parquet(_part(path, round_no, "table"))
-        stored = spark.read.parquet(_part(path, round_no, "model"))
-        reached = evaluate(test, stored, settings.classes).first()["accuracy"]
-        save_best(stored, reached, best, f"{path}/best")
-    except Exception as error:  # a failed round is skipped, whatever broke it
-        outcome = f"failed: {type(error).__name__}: {str(error)[:200]}"
-        last_good = 0
-    row = (round_no, outcome, reached, max(best, reached or 0.0), reached is not None and reached > best, last_good, d_th)
-    columns = "round int, outcome string, accuracy double, best double, is_best boolean, state_round int, d_th double"
-    spark.createDataFrame([row], columns).write.mode("overwrite").parquet(_part(path, round_no, "outcome"))
-    return _finished_round(spark, path, round_no)
-
-
-def round_report(spark: SparkSession, path: str) -> DataFrame:
-    """One row per round and client: outcome, accuracy, best so far, first client's score, label.
-
-    A failed round shows as one row without clients.
-    """
-    outcomes = spark.read.option("basePath", path).parquet(f"{path}/round=*/outcome")
-    if outcomes.filter(F.col("outcome") == "ok").isEmpty():
-        raise RuntimeError(f"no round succeeded: {outcomes.select('round', 'outcome').take(3)}")
-    tables = spark.read.option("basePath", path).parquet(f"{path}/round=*/table")
-    clients = status(tables.withColumn("round", F.col("round").cast("int")))
-    first = carried_score(outcomes, clients, [], "score_c0")
-    return outcomes.join(clients, "round", "left").join(first, "round").select(
-        "round", "outcome", "d_th", "accuracy", "best", "is_best", "score_c0",
-        "client_id", "verifier", "dist", "secure", "score_before", "score", "status",
-    )
-
-
-def experiment_grid(
-    train: DataFrame, test: DataFrame, settings: Settings,
-    attacks: tuple[int, ...] = (C.ADDITIVE_NOISE, C.REPLACEMENT_NOISE, C.CONSTANT_VALUE),
-    ratios: tuple[float, ...] = (0.2, 0.4, 0.6), at_once: int = 3, keys: DataFrame | None = None,
-) -> DataFrame:
-    """Every attack at every ratio, one fit each, keyed by ``run_id``.
-
-    The runs share the dealt rows, the samples and the threshold, which do
-    not depend on the attack; ``at_once`` of them are in flight together so
-    that the cluster is not idle between the small jobs of one run.
-    """
-    spark = train.sparkSession
-    prepared = prepare_clients(train, settings)
-    if settings.d_th is None:
-        start = initial_state(spark, settings).model
-        settings = replace(settings, d_th=estimate(prepared[0], start, settings))
-
-    def fit(run: tuple[int, float]) -> DataFrame:
-        attack, ratio = run
-        report = federated_fit(train, test, replace(settings, attack=attack, ratio=ratio), prepared=prepared, keys=keys)
-        return report.select(F.lit(f"atk{attack}_ratio{ratio}").alias("run_id"), "*")
-
-    with ThreadPoolExecutor(at_once) as pool:
-        reports = list(pool.map(fit, product(attacks, ratios)))
-    return reduce(DataFrame.unionByName, reports)
