@@ -106,3 +106,17 @@ def test_a_resumed_fit_takes_the_rows_it_stored(spark, data, monkeypatch):
     monkeypatch.setattr(runs, "prepare_clients", None)  # dealing again would fail
     again = runs.federated_fit(*data, replace(settings, rounds=2), path=path)
     assert again.filter("round = 2").count() == 10 and again.filter("round = 1").count() == len(first)
+
+
+@pytest.mark.parametrize("orientation", ["reversed", "emitted"])
+def test_pairs_by_task_equal_pairs_by_plan(spark, monkeypatch, orientation):
+    import random
+
+    draw = random.Random(1)
+    scores = spark.createDataFrame([(r, c, draw.choice([0.1, 0.5, 0.6])) for r in "ab" for c in range(7)], "run_id string, client_id long, score double")
+    history = spark.createDataFrame([("a", k, draw.randrange(7), draw.randrange(7)) for k in range(1, 28)], "run_id string, seq long, verifier long, prover long")
+    pairing = spark.createDataFrame([("a", k, k, (k + 2) % 7) for k in range(7)], "run_id string, rank long, verifier long, prover long")
+    found = [tuple(r) for r in runs._handed_out(history, pairing, scores, 7, orientation).select("kind", "run_id", "seq", "rank", "verifier", "prover").collect()]
+    monkeypatch.setattr(runs, "SLICE_ROWS", 0)
+    plan = [tuple(r) for r in runs._handed_out(history, pairing, scores, 7, orientation).select("kind", "run_id", "seq", "rank", "verifier", "prover").collect()]
+    assert sorted(map(str, found)) == sorted(map(str, plan)) and len(found) == 30 + 14

@@ -17,12 +17,14 @@ from functools import cache, reduce
 from itertools import product
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trustfold import constants as C
+from trustfold.functions.positions import SLICE_ROWS
 from trustfold.functions.sizing import BROADCAST_BYTES, broadcast_if_small
 from trustfold.functions.storage import fresh_path
 from trustfold.operators import training
@@ -280,6 +282,41 @@ def _retained(history: DataFrame, pairing: DataFrame, keep: int = C.HISTORY_KEPT
     return whole.filter(F.col("_place") <= keep).drop("_place")
 
 
+def _handed_out(history: DataFrame, pairing: DataFrame, scores: DataFrame, clients: int, orientation: str) -> DataFrame:
+    """(kind, run_id, seq, rank, verifier, prover): each run's retained history and next pairs, as ``_retained`` and ``pair_runs`` find them.
+
+    Up to SLICE_ROWS clients, as many as one window ranks, a run's few numbers
+    meet in one task, by a single shuffle of narrow rows; beyond that the
+    plans of windows and joins take over.
+    """
+    kinds = lambda df, kind: df.withColumn("kind", F.lit(kind))
+    if clients > SLICE_ROWS:
+        kept = _retained(history, pairing)
+        return kinds(kept, "history").unionByName(kinds(pair_runs(scores, kept, clients, orientation), "pairing"), allowMissingColumns=True)
+    if orientation not in ("reversed", "emitted"):
+        raise ValueError(f"orientation must be 'reversed' or 'emitted', got {orientation!r}")
+    sign = 1 if orientation == "reversed" else -1
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        old, last = rows[rows["kind"] == "history"], rows[rows["kind"] == "pairing"]
+        new = last.assign(seq=(0 if old.empty else old["seq"].max()) + last["rank"] + 1)
+        kept = pd.concat([part for part in (old, new) if len(part)] or [old]).nlargest(C.HISTORY_KEPT, "seq").assign(kind="history", rank=None)
+        ranked = rows[rows["kind"] == "score"].sort_values(["score", "verifier"], ascending=[False, True])["verifier"].to_numpy()
+        rank = {client: at for at, client in enumerate(ranked)}
+        used = {sign * (rank[v] - rank[p]) % clients for v, p in zip(kept["verifier"], kept["prover"]) if v in rank and p in rank}
+        offset = min((o for o in {1, *(u + 1 for u in used)} if o <= max(1, clients - 1) and o not in used), default=1)
+        at = (np.arange(len(ranked)) + offset) % clients
+        ok = at < len(ranked)
+        pairs = pd.DataFrame({"kind": "pairing", "seq": None, "rank": np.flatnonzero(ok), "verifier": ranked[ok], "prover": ranked[at[ok]]})
+        numbers = ["seq", "rank", "verifier", "prover"]
+        whole = pd.concat([part[["kind", *numbers]].astype({c: "Int64" for c in numbers}) for part in (kept, pairs)])
+        return whole.assign(run_id=rows[RUN].iloc[0])[["kind", RUN, *numbers]]
+
+    parts = [kinds(history, "history"), kinds(pairing, "pairing"), kinds(scores.withColumnRenamed("client_id", "verifier"), "score")]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return rows.groupBy(RUN).applyInPandas(run, "kind string, run_id string, seq bigint, rank bigint, verifier bigint, prover bigint")
+
+
 def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -308,7 +345,7 @@ def play_round(
 
     assigned = state.pairing.join(broadcast_if_small(packed.steps.withColumnRenamed("client_id", "verifier"), clients), "verifier")
     tasks = assigned.groupBy(F.col("prover").alias("client_id")).agg(F.array_sort(F.collect_list(F.struct(RUN, "verifier", "prover", "steps"))).alias("tasks"))
-    delivered = packed.samples.join(broadcast_if_small(tasks, row_bytes=64 + 100 * n_runs), "client_id")
+    delivered = packed.samples.join(broadcast_if_small(tasks, clients, 64 + 100 * n_runs), "client_id")
     if settings.sealed:
         delivered = _sealed(delivered, keys, round_no, clients, path)
     checked = vector_blocks(authenticate_runs(delivered, vectors, settings), settings.classes)
@@ -348,13 +385,9 @@ def play_round(
         .otherwise(F.transform("sums", lambda x: x / (F.col("weight") + C.WEIGHT_EPSILON))).alias("values"),
     )
     scores = table.select(RUN, "client_id", "score")
-    history = _retained(state.history, state.pairing)
-    pairing = pair_runs(scores, history, clients, settings.orientation)
-    parts = [
-        model.withColumn("kind", F.lit("model")), history.withColumn("kind", F.lit("history")), pairing.withColumn("kind", F.lit("pairing")),
-    ]
-    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    whole.write.mode("overwrite").parquet(f"{path}/state")
+    model = model.withColumn("kind", F.lit("model"))
+    pairs = _handed_out(state.history, state.pairing, scores, clients, settings.orientation)
+    model.unionByName(pairs, allowMissingColumns=True).write.mode("overwrite").parquet(f"{path}/state")
 
 
 STATE = "kind string, run_id string, layer string, block_id bigint, values array<double>, seq bigint, rank bigint, verifier bigint, prover bigint"
