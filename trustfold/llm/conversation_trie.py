@@ -5,8 +5,9 @@ start with it. Peeling descends from the largest depth: at each depth the
 conversations that end there join the nodes that survive from below, rows of
 equal prefix become one node, and all sums over members, children and subtrees
 are made while the node is found. Then every node strips its last turn and is
-a row of the next depth. Each conversation travels alone only as far as it is
-alone, so the work is that of the distinct prefixes, not of the members.
+a row of the next depth. What a single conversation has for itself below some
+depth is a chain without sums; it is stripped at once, so the rounds are those
+of the deepest prefix that two conversations share.
 
 Prefixes are told apart by 128 bits: two running XORs over hashes of (place,
 role, text). A conversation of any length is cut into blocks for that, and the
@@ -111,7 +112,18 @@ def prefixes(turns: DataFrame, roster: DataFrame) -> DataFrame:
         whole = whole.withColumn(f"k{i}", F.col(f"y{i}").bitwiseXOR(F.coalesce(f"c{i}", zero)))
         whole = whole.withColumn(f"p{i}", F.col(f"k{i}").bitwiseXOR(F.col(f"x{i}")))
     whole = whole.join(roster, "conv_id").select("conv_id", "depth", "k1", "k2", "p1", "p2", "bytes", "turns")
-    return durable(whole.repartitionByRange("depth", "conv_id").sortWithinPartitions("depth", "conv_id"), "prefixes")
+    return durable(whole, "prefixes")
+
+
+def _alone(known: DataFrame) -> DataFrame:
+    """Nodes of one member, each with all its sums: a chain that ends in one leaf and saves nothing."""
+    whole = known.groupBy(*NODE).agg(
+        F.count(F.lit(1)).alias("n"), *(F.min(c).alias(c) for c in ("conv_id", "p1", "p2")), F.max("turns").alias("turns")
+    )
+    return whole.filter("n = 1").select(
+        *NODE, "conv_id", "p1", "p2", "n", (F.col("depth") < F.col("turns")).cast("long").alias("children"),
+        F.lit(1).cast("long").alias("leaves"), F.lit(0).cast("long").alias("saved"),
+    )
 
 
 def _peeled(rows: DataFrame, *keys: str) -> DataFrame:
@@ -127,11 +139,18 @@ def _peeled(rows: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def _counted(rows: DataFrame, below: bool) -> DataFrame:
-    """Rows as they enter a depth: conversations that end there, or nodes that have stripped a turn."""
-    sums = ["n", F.lit(1).cast("long").alias("children"), "leaves", "saved"]
-    alone = [F.lit(v).cast("long").alias(c) for c, v in (("n", 1), ("children", 0), ("leaves", 0), ("saved", 0))]
-    return rows.select("conv_id", "k1", "k2", "p1", "p2", "bytes", *(sums if below else alone))
+def _entering(rows: DataFrame) -> DataFrame:
+    """Conversations as they join a depth: those that end there, and, as children, those that go on alone (``tail``)."""
+    tail = F.col("tail").cast("long")
+    return rows.select(
+        "conv_id", "k1", "k2", "p1", "p2", "bytes", F.lit(1).cast("long").alias("n"), tail.alias("children"), tail.alias("leaves"),
+        F.lit(0).cast("long").alias("saved"),
+    )
+
+
+def _stripped(rows: DataFrame) -> DataFrame:
+    """Nodes of the depth below that have stripped a turn."""
+    return rows.select("conv_id", "k1", "k2", "p1", "p2", "bytes", "n", F.lit(1).cast("long").alias("children"), "leaves", "saved")
 
 
 def member_digests(ends: DataFrame) -> DataFrame:
@@ -190,11 +209,17 @@ def prefix_trie(turns: DataFrame, roster: DataFrame) -> DataFrame:
     has depth 0 and no parent. ``saved`` sums, over the node's subtree, the
     bytes of a last text times its members but one. ``digest`` covers the
     members that end at the node. An empty roster gives no rows. There are as
-    many small jobs as turns in the longest conversation.
+    many small rounds as turns in the deepest prefix of two conversations.
     """
     spark = turns.sparkSession
     known = prefixes(turns, roster)
-    deepest = known.agg(F.max("depth")).first()[0] or 0
+    alone = durable(_alone(known), "alone")
+    tops = alone.groupBy("conv_id").agg(F.min("depth").alias("top"))
+    shared = known.join(tops, "conv_id", "left").filter("top is null or depth < top").select(
+        *known.columns, F.coalesce(F.col("top") - 1, "turns").alias("joins"), F.col("top").isNotNull().alias("tail")
+    )
+    shared = durable(shared.repartitionByRange("depth", "conv_id").sortWithinPartitions("depth", "conv_id"), "shared")
+    deepest = shared.agg(F.max("depth")).first()[0] or 0
     path = fresh_path(spark, "trie")
     columns = ["k1", "k2", "conv_id", "p1", "p2", "n", "children", "leaves", "saved"]
     schema = ", ".join(f"{c} long" for c in columns)
@@ -205,21 +230,21 @@ def prefix_trie(turns: DataFrame, roster: DataFrame) -> DataFrame:
 
     below = None
     for depth in range(deepest, 0, -1):
-        here = known.filter(F.col("depth") == depth)
-        rows = _counted(here.filter("turns = depth"), False)
+        here = shared.filter(F.col("depth") == depth)
+        rows = _entering(here.filter("joins = depth"))
         if below is not None:
-            stripped = here.join(below.select("conv_id", "n", "leaves", "saved"), "conv_id")
-            rows = rows.union(_counted(stripped, True))
+            rows = rows.union(_stripped(here.join(below.select("conv_id", "n", "leaves", "saved"), "conv_id")))
         below = written(_peeled(rows, "k1", "k2"), depth)
     zero = F.lit(0).cast("long")
-    silent = roster.filter("turns = 0")
     at_root = [zero.alias(c) for c in ("k1", "k2", "p1", "p2", "bytes")]
-    rows = _counted(silent.select("conv_id", *at_root), False)
+    strangers = roster.join(tops, "conv_id", "left").filter("turns = 0 or top = 1")
+    rows = _entering(strangers.select("conv_id", *at_root, (F.col("turns") > 0).alias("tail")))
     if below is not None:
-        rows = rows.union(_counted(below.select("conv_id", *at_root, "n", "leaves", "saved"), True))
+        rows = rows.union(_stripped(below.select("conv_id", *at_root, "n", "leaves", "saved")))
     written(_peeled(rows, "k1", "k2"), 0)
 
-    nodes = spark.read.schema(f"{schema}, depth long").parquet(path)
+    silent = roster.filter("turns = 0")
+    nodes = spark.read.schema(f"{schema}, depth long").parquet(path).unionByName(alone)
     ends = known.filter("turns = depth").select(*NODE, "conv_id").union(silent.select(zero, zero, zero, "conv_id"))
     parents = nodes.select((F.col("depth") + 1).alias("depth"), F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("conv_id").alias("parent_conv_id"))
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
