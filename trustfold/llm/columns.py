@@ -70,3 +70,54 @@ def run_hashes(hashed: Column, size: int) -> Column:
 def text_key(text: Column) -> Column:
     """Hash of a whole text, which with its id names a row; rows that share both are repeats."""
     return F.xxhash64(text.cast("string"))
+
+
+#: Elements of an array that one running fold copies at each step, and code points of a piece of text.
+RUN_ELEMENTS, PIECE_CHARS = 128, 1024
+
+
+def running(values: Column, fold: Callable[[Column, Column], Column], kind: str = "bigint") -> Column:
+    """Fold of each prefix of an array by an associative ``fold``; runs of elements first, then the runs' results.
+
+    A plain fold that appends copies its list at every step; here a step copies
+    RUN_ELEMENTS at most, or one element for each run.
+    """
+    none = F.expr(f"cast(array() as array<{kind}>)")
+
+    def prefixes(items: Column) -> Column:
+        def step(out: Column, item: Column) -> Column:
+            return F.array_append(out, F.when(F.size(out) == 0, item).otherwise(fold(F.get(out, F.size(out) - 1), item)).cast(kind))
+        return F.aggregate(items, none, step)
+
+    def joined(runs: Column) -> Column:
+        totals = prefixes(F.transform(runs, lambda r: F.element_at(r, -1)))
+        return bound(totals, lambda t: F.flatten(F.transform(runs, lambda r, k: F.when(k == 0, r).otherwise(
+            F.transform(r, lambda x: fold(F.get(t, k - 1), x).cast(kind))))))
+
+    def cut(items: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.size(items), F.lit(RUN_ELEMENTS))
+        return bound(F.transform(firsts, lambda at: prefixes(F.slice(items, at, RUN_ELEMENTS))), joined)
+
+    return bound(values, lambda v: F.when(F.size(v) > 0, cut(v)).otherwise(none))
+
+
+def count_below(borders: Column, value: Column) -> Column:
+    """How many of the ascending ``borders`` lie below ``value``, by halving; ``borders`` should be a bound variable."""
+    def halve(at: Column, step: Column) -> Column:
+        to = at + step
+        return F.when((to <= F.size(borders)) & (F.get(borders, F.least(to, F.size(borders)) - 1) < value), to).otherwise(at)
+
+    return F.aggregate(F.array(*(F.lit(1 << b) for b in range(29, -1, -1))), F.lit(0), halve)
+
+
+def pieces_of(text: Column) -> Column:
+    """The text in pieces of PIECE_CHARS code points, from which ``between`` cuts without walking the whole text."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE_CHARS}}}"), F.lit(0))
+
+
+def between(pieces: Column, begin: Column, end: Column) -> Column:
+    """Code points ``begin`` (from 0) to ``end`` (exclusive) of a text in pieces; '' where there are none."""
+    first = F.floor(begin / PIECE_CHARS).cast("int")
+    count = F.floor((end - 1) / PIECE_CHARS).cast("int") - first + 1
+    held = F.array_join(F.slice(pieces, first + 1, F.greatest(count, F.lit(0))), "")
+    return F.when(end > begin, F.substr(held, (begin % PIECE_CHARS + 1).cast("int"), (end - begin).cast("int"))).otherwise(F.lit(""))

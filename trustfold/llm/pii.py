@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustfold.functions.storage import durable
-from trustfold.llm.columns import bound, text_key, whole
+from trustfold.llm.columns import between, bound, count_below, pieces_of, running, text_key, whole
 
 #: Possessive forms of the base patterns; a match may only begin where no earlier one in the same run could.
 PATTERNS = {
@@ -73,19 +73,18 @@ def _matches(text: Column, kind: str) -> Column:
     up to the places.
     """
     pattern = PATTERNS[kind]
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), gaps, lambda v, g: F.struct(v.alias("v"), g.alias("g")))
-    start = F.struct(F.lit(0).alias("at"), _none(SPAN).alias("out"))
 
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + pair["g"]
-        end = begin + F.length(pair["v"])
-        span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), pair["v"].alias("value"))
-        return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
+    def placed(found: Column) -> Column:
+        gaps = F.split(text, pattern, -1)
+        steps = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda v, g: F.length(g) + F.length(v))
+        ends = running(steps, lambda a, b: a + b, "int")
+        return F.zip_with(found, ends, lambda v, end: F.struct(
+            F.lit(kind).alias("kind"), (end - F.length(v)).alias("start"), end.alias("end"), v.alias("value")
+        ))
 
-    walked = F.aggregate(F.filter(pairs, lambda p: p["v"].isNotNull()), start, step, lambda acc: acc["out"])
     needed = NEEDS.get(kind, lambda t: t.rlike(pattern))(text)
-    return F.when(needed, walked).otherwise(_none(SPAN))
+    found = bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda v: F.when(F.size(v) > 0, placed(v)).otherwise(_none(SPAN)))
+    return F.when(needed, found).otherwise(_none(SPAN))
 
 
 def _luhn(digits: Column) -> Column:
@@ -119,17 +118,17 @@ def _filtered(text: Column, kind: str) -> Column:
     return F.filter(_matches(text, kind), lambda s: _valid(kind, s["value"]))
 
 
-def _votes(text: Column, span: Column) -> Column:
-    """Votes of the labelers as a string of 1 (yes), 0 (no) and 2 (abstains)."""
+def _votes(pieces: Column, span: Column) -> Column:
+    """Votes of the labelers as a string of 1 (yes), 0 (no) and 2 (abstains), on a span of a text in pieces."""
     by_kind = lambda of: reduce(lambda c, k: c.when(span["kind"] == k, of(k)), KINDS[1:], F.when(span["kind"] == KINDS[0], of(KINDS[0])))
     said = lambda yes, no: F.when(yes, "1").when(no, "0").otherwise("2")
-    left = F.substr(text, F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(span["start"], F.lit(CONTEXT_CHARS)))
+    left = between(pieces, F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0)), span["start"])
     before = F.split(F.lower(left), r"[^a-z0-9_-]+")
     usual = by_kind(lambda k: span["value"].rlike(USUAL[k]))
     cue = by_kind(lambda k: F.arrays_overlap(before, F.array(*map(F.lit, CUES[k]))))
     against = F.arrays_overlap(before, F.array(*map(F.lit, AGAINST)))
-    edge = F.concat(F.substr(text, span["start"], F.lit(1)), F.substr(text, span["end"] + 1, F.lit(1)))
-    glued = F.when(span["start"] == 0, F.substr(text, span["end"] + 1, F.lit(1))).otherwise(edge).rlike(r"[\p{L}\p{N}_/\\]")
+    edge = F.concat(between(pieces, F.greatest(span["start"] - 1, F.lit(0)), span["start"]), between(pieces, span["end"], span["end"] + 1))
+    glued = edge.rlike(r"[\p{L}\p{N}_/\\]")
     signs = F.size(F.array_distinct(F.split(F.regexp_replace(F.lower(span["value"]), "[^a-z0-9]", ""), "")))
     varied = signs >= 5
     return F.concat(
@@ -142,21 +141,34 @@ def _votes(text: Column, span: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """All candidate spans of a whole text, with their votes."""
-    def voted(whole_text: Column, span: Column, base: bool) -> Column:
+    def voted(pieces: Column, span: Column, base: bool) -> Column:
         return F.struct(
             span["kind"].alias("kind"), span["start"].alias("start"), span["end"].alias("end"), F.lit(base).alias("base"),
-            _votes(whole_text, span).alias("votes"), (F.length(span["value"]) >= 24).alias("longer"),
+            _votes(pieces, span).alias("votes"), (F.length(span["value"]) >= 24).alias("longer"),
         )
 
+    def apart(base: Column, added: Column) -> Column:
+        """Added spans that overlap no base span: the base spans that begin before a span's end must end by its start."""
+        def kept(ordered: Column) -> Column:
+            reach = running(F.transform(ordered, lambda b: b["end"]), lambda x, y: F.greatest(x, y), "int")
+            return bound(F.transform(ordered, lambda b: b["start"]), lambda starts: bound(reach, lambda ends: F.filter(
+                added, lambda s: bound(count_below(starts, s["end"]), lambda n: (n == 0) | (F.get(ends, F.greatest(n, F.lit(1)) - 1) <= s["start"])),
+            )))
+
+        ordered = F.array_sort(F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))))
+        return F.when((F.size(base) == 0) | (F.size(added) == 0), added).otherwise(bound(ordered, kept))
+
     def all_of(t: Column) -> Column:
         base, added = _spans(t)
-        return bound(base, lambda b: F.concat(
-            F.transform(b, lambda s: voted(t, s, True)),
-            F.transform(
-                F.filter(added, lambda s: ~F.exists(b, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]))),
-                lambda s: voted(t, s, False),
-            ),
-        ))
+
+        def both(b: Column, other: Column) -> Column:
+            some = F.size(b) + F.size(other) > 0
+            pieces = F.when(some, pieces_of(t)).otherwise(_none("string"))
+            return bound(pieces, lambda p: F.concat(
+                F.transform(b, lambda s: voted(p, s, True)), F.transform(other, lambda s: voted(p, s, False)),
+            ))
+
+        return bound(base, lambda b: bound(added, lambda a: bound(apart(b, a), lambda other: both(b, other))))
 
     return bound(whole(text), all_of)
 
@@ -291,32 +303,37 @@ def find_spans(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "text_key", accepted(F.col("candidates"), weights).alias("spans"))
 
 
+def _redacted(text: Column, spans: Column) -> Column:
+    """The text with each span, or run of overlapping ones, replaced by the name of its first in brackets."""
+    by_place = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+    def cut(pieces: Column, placed: Column, reach: Column) -> Column:
+        before = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(reach, F.greatest(k, F.lit(1)) - 1))
+        parts = F.transform(placed, lambda s, k: F.when(
+            s["start"] >= before(k), F.concat(between(pieces, before(k), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        ).otherwise(""))
+        return F.concat(F.array_join(parts, ""), between(pieces, F.element_at(reach, -1), F.length(text)))
+
+    return bound(pieces_of(text), lambda pieces: bound(by_place, lambda placed: bound(
+        running(F.transform(placed, lambda s: s["end"]), lambda x, y: F.greatest(x, y), "int"), lambda reach: cut(pieces, placed, reach)
+    )))
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; ``n_chars``, where there is one, follows the new text.
 
     Overlapping spans become one replacement, named by the first. Rows without
-    spans stay as they are. The candidates are found twice, once to fit the
-    classifier and once in place, so that no text is shuffled.
+    spans, null and empty texts stay as they are; repeated rows and all columns
+    are kept; no rows give none. The rows are written once beside their
+    candidates, which the classifier is fitted to, so no text is shuffled.
     """
-    seen = docs.select(candidates(F.col("text")).alias("candidates"))
+    seen = durable(docs.select(F.struct(*docs.columns).alias("row"), candidates(F.col("text")).alias("candidates")), "candidates")
     weights, _ = fit(seen)
-    text = whole(F.col("text"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, span: Column) -> Column:
-        new = span["start"] >= acc["at"]
-        gap = F.substr(text, acc["at"] + 1, F.greatest(span["start"] - acc["at"], F.lit(0)))
-        mark = F.concat(F.lit("["), F.upper(span["kind"]), F.lit("]"))
-        return F.struct(
-            F.greatest(span["end"], acc["at"]).alias("at"),
-            F.when(new, F.concat(acc["out"], gap, mark)).otherwise(acc["out"]).alias("out"),
-        )
-
-    tail = lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text)))
-    by_place = lambda spans: F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    marked = docs.withColumn("_pii_spans", accepted(candidates(F.col("text")), weights))
-    clean = F.when(F.size("_pii_spans") == 0, F.col("text")).otherwise(F.aggregate(by_place(F.col("_pii_spans")), start, step, tail))
-    changed = marked.withColumn("text", clean)
+    marked = seen.select("row", accepted(F.col("candidates"), weights).alias("spans"))
+    some = F.size("spans") > 0
+    clean = F.when(some, _redacted(F.col("row.text"), F.col("spans"))).otherwise(F.col("row.text"))
+    changed = marked.select("row", "spans", clean.alias("clean"))
+    follows = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.size("_pii_spans") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return changed.select(*docs.columns)
+        follows["n_chars"] = F.when(some, F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return changed.select(*(follows.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
