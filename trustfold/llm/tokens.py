@@ -20,8 +20,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Cached words of one worker (about 80 MB); beyond it the cache starts anew.
-CACHE_WORDS = 400_000
+#: Cached words of one worker (about 30 MB); beyond it the cache starts anew.
+CACHE_WORDS = 150_000
 #: Longer words are encoded each time they occur.
 CACHE_CHARS = 40
 #: Bytes of text taken from a batch at once.
