@@ -61,5 +61,5 @@ TEMPLATES = (
     ("cc0-text", "CC0-1.0", _whole("CC0-1.0")),
 )
 
-#: Notices of fewer than five words, which ``scan`` finds inside longer texts; the SQL of op5 can't, so the query leaves them out.
+#: Notices of fewer than five words, found inside longer texts as runs of their own length.
 SHORT_NOTICES = (("all-rights-notice", "All rights reserved", "All rights reserved."),)

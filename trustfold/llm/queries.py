@@ -14,10 +14,10 @@ from trustfold.llm.decontamination import contamination
 from trustfold.llm.divergence import source_audit
 from trustfold.llm.fingerprints import fingerprint_report
 from trustfold.llm.html_extraction import main_text
-from trustfold.llm.license_texts import TEMPLATES
+from trustfold.llm.license_texts import SHORT_NOTICES, TEMPLATES
 from trustfold.llm.licenses import scan
 from trustfold.llm.packing import pack_documents
-from trustfold.llm.pii import BASE, find_spans
+from trustfold.llm.pii import BASE, KINDS, find_spans
 from trustfold.llm.quality import quality
 from trustfold.llm.sharding import hilbert_shards
 from trustfold.llm.simhash import near_duplicates
@@ -63,11 +63,15 @@ def op3_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_spans(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
     counts = [_count(kind) for kind in BASE]
-    return found.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+    added = [_count(kind, base=False) for kind in KINDS if kind not in BASE]
+    return found.select(
+        "doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), *added,
+        F.size("spans").cast("long").alias("n_spans"),
+    )
 
 
-def _count(kind: str) -> Column:
-    return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+def _count(kind: str, base: bool = True) -> Column:
+    return F.size(F.filter("spans", lambda s: (s["base"] == base) & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
 
 
 def op4_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +81,7 @@ def op4_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License templates that every document contains."""
-    templates = spark.createDataFrame(TEMPLATES, "template_id string, license string, text string")
+    templates = spark.createDataFrame(TEMPLATES + SHORT_NOTICES, "template_id string, license string, text string")
     found = scan(table(spark, sf_dir, "documents"), templates)
     return found.select(
         "doc_id", F.size("matches").cast("long").alias("n_matches"),
@@ -164,7 +168,7 @@ _WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQR
 _CRC32 = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
             lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), CAST(range(8) AS BIGINT[])),
                 lambda bits, step: CASE WHEN bits % 2 = 1 THEN xor(bits // 2, 3988292384) ELSE bits // 2 END)), 4294967295)"""
-_QUOTED = ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" for v in row) + ")" for row in TEMPLATES)
+_QUOTED = ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" for v in row) + ")" for row in TEMPLATES + SHORT_NOTICES)
 
 ORACLES: dict[str, str] = {
     "op5_license_windows": f"""
@@ -173,11 +177,12 @@ ORACLES: dict[str, str] = {
         ), t AS (
             SELECT template_id, license, {_WORDS} AS w FROM (VALUES {_QUOTED}) AS v(template_id, license, text)
         ), s AS (
-            SELECT DISTINCT r, array_to_string(list_slice(w, i, i + 4), ' ') AS g
-            FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+            SELECT DISTINCT r, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g
+            FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i
+                  FROM d, (SELECT DISTINCT least(len(w), 5) AS n FROM t WHERE len(w) > 0) WHERE len(w) >= n)
         ), u AS (
-            SELECT DISTINCT template_id, license, array_to_string(list_slice(w, i, i + 4), ' ') AS g
-            FROM (SELECT template_id, license, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM t WHERE len(w) > 0)
+            SELECT DISTINCT template_id, license, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g
+            FROM (SELECT template_id, license, w, least(len(w), 5) AS n, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM t WHERE len(w) > 0)
         ), n AS (
             SELECT template_id, count(*) AS n FROM u GROUP BY template_id
         ), m AS (
