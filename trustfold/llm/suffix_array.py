@@ -42,7 +42,9 @@ from trustfold.functions.storage import durable
 #: Different contexts of an anchor that one task compares; beyond it its windows are spread over the cluster.
 HOT_CONTEXTS = 1_000
 #: Bytes of a text whose hashes are held at once, and bytes of contexts that a bucket sorts at once.
-CHUNK_BYTES, SORT_BYTES = 1 << 19, 1 << 22
+CHUNK_BYTES, SORT_BYTES = 1 << 18, 1 << 20
+#: Contexts taken from a batch at once when their bytes are cut or their windows spread.
+CONTEXTS_AT_ONCE = 512
 #: Odd factor of the rolling hash and its inverse modulo 2^64, and the factor that spreads its bits.
 FACTOR = 0x9E3779B97F4A7C15
 INVERSE = pow(FACTOR, -1, 1 << 64)
@@ -342,7 +344,7 @@ def _one_by_one(contexts: DataFrame, how: Repeats, partitions: int) -> DataFrame
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
-        for batch in batches:
+        for batch in (b.slice(at, CONTEXTS_AT_ONCE) for b in batches for at in range(0, b.num_rows, CONTEXTS_AT_ONCE)):
             table = pa.Table.from_batches([batch])
             place, far, near = _unpacked(table["at"].to_numpy())
             rows = zip(table["bytes"].to_pylist(), table["before"].to_pylist(), far.tolist(), near.tolist())
@@ -407,15 +409,19 @@ def _cut_contexts(docs: DataFrame, wanted: DataFrame, how: Repeats) -> DataFrame
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64()] * 4 + [pa.bool_()] * 2 + [pa.binary(), pa.int64()]
         for batch in batches:
             rows = []
-            for doc, key, text, items in zip(*(c.to_pylist() for c in batch.columns)):
-                text = text.encode()
-                for item in items:
-                    cut, before = _context(text, item["at"] >> 16, how)
-                    rows.append((doc, key, item["at"], item["gram"], item["single"], item["hot"], cut, before))
+            for doc, key, text, items in zip(*batch.columns):
+                if not len(items):
+                    continue
+                doc, key, text = doc.as_py(), key.as_py(), text.as_py().encode()
+                for at, gram, single, hot in zip(*(f.to_pylist() for f in items.values.flatten())):
+                    rows.append((doc, key, at, gram, single, hot, *_context(text, at >> 16, how)))
+                if len(rows) >= CONTEXTS_AT_ONCE:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=CONTEXT_NAMES)
+                    rows = []
             if rows:
-                types = [pa.int64()] * 4 + [pa.bool_()] * 2 + [pa.binary(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=CONTEXT_NAMES)
 
     texts = _keyed(docs).dropDuplicates(KEY) if _repeats_rows(docs, per_doc) else _keyed(docs)
@@ -485,20 +491,20 @@ def repeated_spans(docs: DataFrame, how: Repeats = Repeats(), hot_contexts: int
 
 def _merged(length: int):
     """Runs of window starts -> the bytes they cover, touching runs as one."""
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for starts in batch.column(2).to_pylist():
-                spans = []
-                for first, last in sorted((s["first"], s["last"]) for s in starts):
-                    if spans and first <= spans[-1]["end"]:
-                        spans[-1]["end"] = max(spans[-1]["end"], last + length)
-                    else:
-                        spans.append({"start": first, "end": last + length})
-                out.append(spans)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], names=[*KEY, "spans"])
+            begins, ends, counts = [], [], [0]
+            for starts in batch.column(2):
+                first, last = (f.to_numpy() for f in starts.values.flatten())
+                order = np.argsort(first, kind="stable")
+                first, reach = first[order], np.maximum.accumulate(last[order] + length)
+                fresh = np.append(True, first[1:] > reach[:-1])
+                begins.append(first[fresh])
+                ends.append(reach[np.append(fresh[1:], True)])
+                counts.append(counts[-1] + int(fresh.sum()))
+            both = pa.StructArray.from_arrays([pa.array(np.concatenate(x or [np.zeros(0, np.int64)])) for x in (begins, ends)], ["start", "end"])
+            out = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), both)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), out], names=[*KEY, "spans"])
 
     return run
 
