@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from trustfold.functions.sizing import BROADCAST_BYTES
 from trustfold.functions.storage import durable
 
-#: Different contexts of an anchor that one task compares; beyond it its windows are spread over the cluster.
-HOT_CONTEXTS = 1_000
+#: Different contexts of an anchor that one task compares (6 MB of them); beyond it its windows are spread over the cluster.
+HOT_CONTEXTS = 20_000
 #: Bytes of a text whose hashes are held at once, and bytes of contexts that a bucket sorts at once.
 CHUNK_BYTES, SORT_BYTES = 1 << 18, 1 << 20
 #: Contexts taken from a batch at once when their bytes are cut or their windows spread.
