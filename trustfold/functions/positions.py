@@ -43,10 +43,14 @@ def cut_of(value: Column, cuts: list[int]) -> Column:
     borders = F.array(*map(F.lit, cuts))
     steps = [1 << b for b in range(len(cuts).bit_length() - 1, -1, -1)]
 
-    def halve(at: Column, step: Column) -> Column:
-        return F.when(F.get(borders, at + step) <= value, at + step).otherwise(at)
+    def place(bound: Column) -> Column:
+        def halve(at: Column, step: Column) -> Column:
+            return F.when(F.get(borders, at + step) <= bound, at + step).otherwise(at)
 
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), halve)
+        return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), halve)
+
+    # the variable of a transform, so that a computed value is computed once and not at every step
+    return F.element_at(F.transform(F.array(value), place), 1)
 
 
 def sliced_position(df: DataFrame, group: list[str], order: list[Column], cut: Column, out: str) -> DataFrame:
