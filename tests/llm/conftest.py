@@ -6,7 +6,10 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 #: Names that operators use inside; a table may have columns of these names too.
-EXTRA = "fp root component_id words size row at hash score shard slot ids key own slice length doc_tokens candidates spans label n x".split()
+EXTRA = (
+    "fp root component_id words size row at hash score shard slot ids key own slice length doc_tokens candidates spans label n x "
+    "id other dropped copies text_key text_hash _hit_doc _hit_key _hit_words _simhash_id _simhash_key _simhash_drop _pii_spans _id _key _d0"
+).split()
 
 
 @pytest.fixture(scope="session")

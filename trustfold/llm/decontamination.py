@@ -143,6 +143,6 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, set_g
     # pieces alternate: what lies before the first word, then words, each with what follows it
     lead = F.regexp_extract(text, f"^{BETWEEN_RAW}", 0)
     parts = F.regexp_extract_all(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"), F.lit(0))
-    kept = F.filter(parts, lambda _, at: ~F.array_contains("_hit_words", at))
-    cut = F.when(F.col("_hit_words").isNull(), text).otherwise(F.concat(lead, F.array_join(kept, "")))
+    kept = F.filter(parts, lambda _, at: ~F.array_contains(keys["_hit_words"], at))
+    cut = F.when(keys["_hit_words"].isNull(), text).otherwise(F.concat(lead, F.array_join(kept, "")))
     return joined.select(*[cut.alias(c) if c == "text" else docs[c] for c in docs.columns])

@@ -202,20 +202,15 @@ def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, most: int
     rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
     keys = found.groupBy("doc_id", "text_hash", "root").agg(F.count(F.lit(1)).alias("copies"))
     best = keys.groupBy("root").agg(F.min(rank).alias("best"))
-    verdicts = durable(
-        keys.join(best, "root")
-        .select(
-            F.col("doc_id").alias("_simhash_id"), F.col("text_hash").alias("_simhash_hash"),
-            (~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash")))).alias("_simhash_drop"),
-            "copies",
-        ).filter("_simhash_drop or copies > 1").drop("copies"),
-        "verdicts",
+    loses = ~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash")))
+    verdicts = keys.join(best, "root").select(F.col("doc_id").alias("other"), F.col("text_hash").alias("hash"), loses.alias("dropped"), "copies")
+    verdicts = durable(verdicts.filter("dropped or copies > 1").drop("copies"), "verdicts")
+    # the row travels as one struct, so that no name of it can meet a name of these
+    mine = docs.select(
+        F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].cast("long").alias("id"), F.xxhash64(docs["text"].cast("string")).alias("key")
     )
-    mine = docs.withColumn("_simhash_key", F.xxhash64(F.col("text").cast("string")))
-    match = mine["doc_id"].cast("long").eqNullSafe(F.col("_simhash_id")) & (F.col("_simhash_key") == F.col("_simhash_hash"))
-    judged = mine.join(broadcast_if_small(verdicts), match, "left")
-    kept = judged.filter("_simhash_drop is null").select(*[mine[c] for c in docs.columns])
-    if verdicts.filter("not _simhash_drop").isEmpty():
+    judged = mine.join(broadcast_if_small(verdicts), F.col("id").eqNullSafe(F.col("other")) & (F.col("key") == F.col("hash")), "left")
+    kept = judged.filter("dropped is null").select("row.*")
+    if verdicts.filter("not dropped").isEmpty():
         return kept
-    once = judged.filter("not _simhash_drop").dropDuplicates(["_simhash_id", "_simhash_key"]).select(*[mine[c] for c in docs.columns])
-    return kept.union(once)
+    return kept.union(judged.filter("not dropped").dropDuplicates(["id", "key"]).select("row.*"))
