@@ -51,13 +51,15 @@ def runs_of(found: Column, length: int) -> Column:
     return F.when(F.size(found) >= length, shingles(found, length)).otherwise(F.expr("cast(array() as array<string>)"))
 
 
+def shingles_of(hashed: Column, width: int = SHINGLE_WORDS) -> Column:
+    """Hashes of the shingles of a bound list of word hashes, in their order and with repeats."""
+    few = F.when(F.size(hashed) > 0, F.array(F.xxhash64(hashed))).otherwise(F.expr("cast(array() as array<bigint>)"))
+    return F.when(F.size(hashed) >= width, window_hashes(hashed, width)).otherwise(few)
+
+
 def shingle_hashes(found: Column, width: int = SHINGLE_WORDS) -> Column:
     """Hashes of the shingles of a list of words in any case, in their order and with repeats."""
-    def runs(hashed: Column) -> Column:
-        few = F.when(F.size(hashed) > 0, F.array(F.xxhash64(hashed))).otherwise(F.expr("cast(array() as array<bigint>)"))
-        return F.when(F.size(hashed) >= width, window_hashes(hashed, width)).otherwise(few)
-
-    return bound(loose_hashes(found), runs)
+    return bound(loose_hashes(found), lambda hashed: shingles_of(hashed, width))
 
 
 def bands(hashed: Column, window: int, bin_bits: int, step: int) -> Column:
@@ -84,17 +86,16 @@ def short_lengths(templates: DataFrame) -> list[int]:
     return sorted(r["n"] for r in templates.select(size).filter(F.col("n").between(1, SHINGLE_WORDS - 1)).distinct().collect())
 
 
-def run_bands(found: Column, lengths: list[int]) -> Column:
-    """Band keys of all runs of these lengths in a list of words in any case."""
-    keys = lambda hashed, n: F.transform(window_hashes(hashed, n), lambda h: F.xxhash64(F.lit(-n), h))
-    return bound(loose_hashes(found), lambda hashed: F.concat(*(keys(hashed, n) for n in lengths)))
+def run_bands(hashed: Column, lengths: list[int]) -> list[Column]:
+    """Band keys of all runs of each of these lengths in a bound list of word hashes."""
+    return [F.transform(window_hashes(hashed, n), lambda h: F.xxhash64(F.lit(-n), h)) for n in lengths]
 
 
 def template_bands(templates: DataFrame) -> DataFrame:
     """(band, template_id) of every window of every template, by its class. Templates without words have none."""
     found = templates.select("template_id", words(F.col("text")).alias("w"))
     rows = found.filter(F.size("w") >= SHINGLE_WORDS).select("template_id", shingle_hashes(F.col("w")).alias("h"))
-    parts = [found.filter(F.size("w") == n).select(F.explode(run_bands(F.col("w"), [n])).alias("band"), "template_id") for n in range(1, SHINGLE_WORDS)]
+    parts = [found.filter(F.size("w") == n).select(F.explode(bound(loose_hashes(F.col("w")), lambda hashed: run_bands(hashed, [n])[0])).alias("band"), "template_id") for n in range(1, SHINGLE_WORDS)]
     for number, (least, window, bits) in enumerate(CLASSES):
         size = F.size("h") >= least
         if number + 1 < len(CLASSES):
@@ -107,12 +108,12 @@ def candidates(docs: DataFrame, templates: DataFrame, short: list[int]) -> DataF
     """(doc_id, text_key, template_id) of texts and templates that share a band; ``short`` has the lengths of short templates."""
     known = durable(template_bands(templates), "template-bands")
     every = lambda h: F.concat(*(bands(h, window, bits, max(1, window // 2)) for _, window, bits in CLASSES))
-    key = (F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"))
-    rows = docs.select(*key, shingle_hashes(raw_words(F.col("text"))).alias("h"))
-    keyed = rows.select("doc_id", "text_key", F.explode(bound(F.col("h"), every)).alias("band"))
-    if short:
-        runs = bound(raw_words(F.col("text")), lambda w: run_bands(w, short))
-        keyed = keyed.union(docs.select(*key, F.explode(runs).alias("band")))
+    both = lambda hashed: F.concat(bound(shingles_of(hashed), every), *run_bands(hashed, short))
+    # words are split and hashed once, for shingles and for short runs
+    keyed = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"),
+        F.explode(bound(loose_hashes(raw_words(F.col("text"))), both)).alias("band"),
+    )
     return keyed.join(broadcast_if_small(known), "band").select("doc_id", "text_key", "template_id").distinct()
 
 
