@@ -4,16 +4,17 @@ Texts and templates become five-word shingles. A template of fewer words is
 looked for as a run of its own length. Any other is put into one of three
 classes by its length; a class has a window length, and windows that
 overlap by half run over every text, and at every offset over the templates.
-A window's shingle hashes fall into bins by their upper bits, and the least
-hash of each bin (one-permutation MinHash) is a band of its own.
+The k least
+shingle hashes of a window (its bottom-k MinHash) are a band each.
 
 A copy that keeps 0.8 of a template of t shingles holds, for windows of w
 shingles with t >= 1.5 w, a whole window inside it, and the best of these
 shares at least 0.8 of its shingles with the template window at its place:
-likeness 2/3. Each filled bin then agrees with that probability: one bin of a
-one-shingle window always does, the five or so of an eight-shingle window
-miss all at once in 1 of 250 cases a window, and the fourteen of a
-32-shingle window in 1 of 10^6. Exact copies are never missed.
+likeness 2/3. The least shared hash stands in both bottoms unless k unshared
+ones lie below it, so two windows that differ in fewer than k shingles always
+meet: 4 of 8 may differ, 13 of 32. Beyond that the k least of both together
+are all unshared with a probability of at most (1/3)^k, 1 of 243 for the five
+of eight shingles. Exact copies are never missed.
 """
 
 from __future__ import annotations
@@ -25,15 +26,15 @@ from pyspark.sql import functions as F
 
 from trustfold.functions.sizing import broadcast_if_small
 from trustfold.functions.storage import durable
-from trustfold.llm.columns import bound, loose_hashes, text_key, window_hashes
-from trustfold.llm.decontamination import raw_words, words
+from trustfold.llm.columns import bound, loose_hashes, text_key, whole, window_hashes
+from trustfold.llm.decontamination import BETWEEN_RAW, words
 
 SHINGLE_WORDS = 5
 LEAST_CONTAINMENT = 0.8
 #: Bytes of a row that lists the templates of a text.
 MATCH_BYTES = 500
-#: (least shingles of a template, shingles of a window, bits that name a bin) of each class.
-CLASSES = ((1, 1, 0), (12, 8, 3), (48, 32, 4))
+#: (least shingles of a template, shingles of a window, bands of a window) of each class.
+CLASSES = ((1, 1, 1), (12, 8, 5), (48, 32, 14))
 
 
 def shingles(found: Column, width: int = SHINGLE_WORDS) -> Column:
@@ -62,22 +63,24 @@ def shingle_hashes(found: Column, width: int = SHINGLE_WORDS) -> Column:
     return bound(loose_hashes(found), lambda hashed: shingles_of(hashed, width))
 
 
-def bands(hashed: Column, window: int, bin_bits: int, step: int) -> Column:
-    """Band keys of the windows that start at every ``step``-th shingle, and of the last window."""
+def least_hashes(hashed: Column, window: int, count: int, step: int) -> Column:
+    """The ``count`` least hashes of each window that starts at every ``step``-th shingle, and of the last window."""
     if window == 1:
-        return F.transform(hashed, lambda h: F.xxhash64(F.lit(1), h))
+        return hashed
     last = F.size(hashed) - window
     starts = F.when(last >= 0, F.array_union(F.sequence(F.lit(0), last, F.lit(step)), F.array(last))).otherwise(F.expr("cast(array() as array<int>)"))
-    bin_of = lambda h: F.shiftright(h, 64 - bin_bits)
+    return F.flatten(F.transform(starts, lambda at: F.slice(F.sort_array(F.slice(hashed, at + 1, window)), 1, count)))
 
-    def of_window(at: Column) -> Column:
-        def least(ordered: Column) -> Column:
-            first = F.filter(ordered, lambda h, i: (i == 0) | (bin_of(h) != bin_of(F.get(ordered, i - 1))))
-            return F.transform(first, lambda h: F.xxhash64(F.lit(window), h))  # a hash names its bin
 
-        return bound(F.sort_array(F.slice(hashed, at + 1, window)), least)
+def bands(rows: DataFrame, kinds: list[int], hashed: Column, *kept: str) -> DataFrame:
+    """(kept columns, band) of ``hashed``, a list of hashes for each of ``kinds``; equal hashes of two kinds are two bands.
 
-    return F.flatten(F.transform(starts, of_window))
+    Lists are unfolded in two steps, so that bands are hashed in generated code.
+    """
+    parted = rows.select(*kept, F.posexplode(hashed).alias("_at", "_hashes"))
+    kind = F.get(F.array(*map(F.lit, kinds)), F.col("_at"))
+    single = parted.select(*kept, kind.alias("_kind"), F.explode("_hashes").alias("_hash"))
+    return single.select(*kept, F.xxhash64("_kind", "_hash").alias("band"))
 
 
 def short_lengths(templates: DataFrame) -> list[int]:
@@ -86,35 +89,38 @@ def short_lengths(templates: DataFrame) -> list[int]:
     return sorted(r["n"] for r in templates.select(size).filter(F.col("n").between(1, SHINGLE_WORDS - 1)).distinct().collect())
 
 
-def run_bands(hashed: Column, lengths: list[int]) -> list[Column]:
-    """Band keys of all runs of each of these lengths in a bound list of word hashes."""
-    return [F.transform(window_hashes(hashed, n), lambda h: F.xxhash64(F.lit(-n), h)) for n in lengths]
-
-
 def template_bands(templates: DataFrame) -> DataFrame:
     """(band, template_id) of every window of every template, by its class. Templates without words have none."""
     found = templates.select("template_id", words(F.col("text")).alias("w"))
     rows = found.filter(F.size("w") >= SHINGLE_WORDS).select("template_id", shingle_hashes(F.col("w")).alias("h"))
-    parts = [found.filter(F.size("w") == n).select(F.explode(bound(loose_hashes(F.col("w")), lambda hashed: run_bands(hashed, [n])[0])).alias("band"), "template_id") for n in range(1, SHINGLE_WORDS)]
-    for number, (least, window, bits) in enumerate(CLASSES):
+    parts = []
+    for n in range(1, SHINGLE_WORDS):
+        few = found.filter(F.size("w") == n).select("template_id", loose_hashes(F.col("w")).alias("h"))
+        parts.append(bands(few, [-n], F.array(window_hashes(F.col("h"), n)), "template_id"))
+    for number, (least, window, count) in enumerate(CLASSES):
         size = F.size("h") >= least
         if number + 1 < len(CLASSES):
             size &= F.size("h") < CLASSES[number + 1][0]
-        parts.append(rows.filter(size).select(F.explode(bands(F.col("h"), window, bits, 1)).alias("band"), "template_id"))
-    return reduce(DataFrame.union, parts).distinct()
+        parts.append(bands(rows.filter(size), [window], F.array(least_hashes(F.col("h"), window, count, 1)), "template_id"))
+    return reduce(DataFrame.union, parts).select("band", "template_id").distinct()
 
 
 def candidates(docs: DataFrame, templates: DataFrame, short: list[int]) -> DataFrame:
     """(doc_id, text_key, template_id) of texts and templates that share a band; ``short`` has the lengths of short templates."""
     known = durable(template_bands(templates), "template-bands")
-    every = lambda h: F.concat(*(bands(h, window, bits, max(1, window // 2)) for _, window, bits in CLASSES))
-    both = lambda hashed: F.concat(bound(shingles_of(hashed), every), *run_bands(hashed, short))
-    # words are split and hashed once, for shingles and for short runs
+    windows = lambda h: F.array(*(least_hashes(h, window, count, max(1, window // 2)) for _, window, count in CLASSES))
+
+    def every(hashed: Column) -> Column:  # words are split and hashed once, for shingles and for short runs
+        long = bound(shingles_of(hashed), windows)
+        return F.concat(long, F.array(*(window_hashes(hashed, n) for n in short))) if short else long
+
     keyed = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"),
-        F.explode(bound(loose_hashes(raw_words(F.col("text"))), both)).alias("band"),
+        bound(loose_hashes(F.array_remove(F.split(whole(F.col("text")), BETWEEN_RAW), "")), every).alias("hashed"),
     )
-    return keyed.join(broadcast_if_small(known), "band").select("doc_id", "text_key", "template_id").distinct()
+    kinds = [window for _, window, _ in CLASSES] + [-n for n in short]
+    found = bands(keyed, kinds, F.col("hashed"), "doc_id", "text_key")
+    return found.join(broadcast_if_small(known), "band").select("doc_id", "text_key", "template_id").distinct()
 
 
 def license_matches(docs: DataFrame, templates: DataFrame, least: float = LEAST_CONTAINMENT) -> DataFrame:
