@@ -75,6 +75,28 @@ def test_subset_is_top_k_by_hash_for_hot_and_small_clients(spark):
     assert [r["row_id"] for r in sorted(got, key=lambda r: r["pos"]) if r["client_id"] == 0] == want
 
 
+@pytest.mark.parametrize("rows", [0, 1, 1000, 3000, 100_000])
+def test_subsets_of_any_size(spark, rows):
+    from hashlib import md5
+
+    df = spark.range(20_000).select(
+        F.col("id").alias("row_id"), F.when(F.col("id") < 15_000, 0).when(F.col("id") < 19_000, 1).cast("long").alias("client_id")
+    )
+    owner = lambda i: 0 if i < 15_000 else 1 if i < 19_000 else None
+    want = {}
+    for client in (0, 1, None):
+        mine = sorted((i for i in range(20_000) if owner(i) == client), key=lambda i: md5(f"5|subset|{i}".encode()).hexdigest())
+        want.update({i: (client, at) for at, i in enumerate(mine[:rows])})
+    got = dealing.client_subset(df, rows, seed=5)
+    assert got.columns == ["row_id", "client_id", "pos"]
+    assert {r["row_id"]: (r["client_id"], r["pos"]) for r in got.collect()} == want
+
+
+def test_subset_repeats_rows_that_repeat(spark):
+    df = spark.range(10).select((F.col("id") % 2).alias("row_id"), F.lit(0).alias("client_id"))
+    assert sorted(r["pos"] for r in dealing.client_subset(df, 7).collect()) == list(range(7))
+
+
 @pytest.mark.parametrize("ids", [
     [*range(1, 2000), 10**15], [-(2**63) + i * (2**64 // 2000) for i in range(2000)], list(range(2000)),
 ])

@@ -1,8 +1,12 @@
 """Physical plans: no nested loops, map-only projections, early limits, narrow scans."""
 
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
 from trustfold.checks.queries import QUERIES
+from trustfold.operators import dealing
 
 
 @pytest.fixture()
@@ -38,6 +42,15 @@ def test_sampling_limits_before_it_shuffles(plan_of):
     assert plan.count("WindowGroupLimit") >= 4
 
 
+@pytest.mark.parametrize("rows", [1_001, 100_000])
+def test_large_samples_sort_slices_of_a_client_only(spark, rows):
+    dealt = spark.range(200_000).select(F.col("id").alias("row_id"), (F.col("id") % 3).alias("client_id"))
+    plan = dealing.client_subset(dealt, rows)._jdf.queryExecution().executedPlan().toString()
+    exchanges = re.findall(r"Exchange hashpartitioning\(([^,]+), ([^,]+),", plan)
+    assert [e[1].startswith("_slice") for e in exchanges] == [True]
+    assert plan.index("Exchange hashpartitioning") < plan.index("BroadcastHashJoin")  # a plan lists its last step first
+
+
 def test_scans_read_only_what_is_asked(plan_of):
     assert "ReadSchema: struct<event_id:bigint,event_type:string,value:double>" in plan_of("credibility_step")
     assert "ReadSchema: struct<c_custkey:bigint,c_acctbal:double>" in plan_of("client_ranking")

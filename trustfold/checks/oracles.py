@@ -157,6 +157,7 @@ _deals("lines", "line_shards", "line_deal")
 _shards("embedded", "embedded_shards")
 _subset("dealt", "subset", 20)
 _subset("line_deal", "line_subset", 512)
+_subset("line_deal", "line_subset_large", 2000)
 _cte("roster", "SELECT i AS client_id FROM range(10) t(i)")
 # equal scores and no history: rank is the id, offset 1
 _cte("pairs", "SELECT client_id AS verifier, (client_id + 1) % 10 AS prover FROM roster", "roster")
@@ -533,6 +534,7 @@ ORACLES: dict[str, str] = {
     "client_order": _with("SELECT row_id, client_id, ord FROM line_deal", "line_deal"),
     "client_layout": _with("SELECT client_id, ord // 1000 AS block, count(*) AS n FROM line_deal GROUP BY 1, 2", "line_deal"),
     "client_subset": _with("SELECT client_id, row_id, pos FROM line_subset", "line_subset"),
+    "client_subset_large": _with("SELECT client_id, row_id, pos FROM line_subset_large", "line_subset_large"),
     "label_skew": _with(
         "SELECT client_id, label, n, CAST(sum(n) OVER (PARTITION BY client_id) AS BIGINT) AS client_rows, "
         "count(*) OVER (PARTITION BY client_id) AS labels_held, "

@@ -24,6 +24,8 @@ QUERIES: dict[str, Query] = {}
 TEST_FRACTION = 0.2
 LEARNING_RATE = 0.5
 SUBSET = 20
+#: Rows of a sample beyond what a window limits early.
+LARGE_SUBSET = 2_000
 ROUND = rounds.Settings(trainer="fullbatch", lr=LEARNING_RATE, subset_rows=SUBSET, attack=C.REPLACEMENT_NOISE, ratio=0.6)
 
 
@@ -281,6 +283,14 @@ def client_subset(spark, sf_dir):
     return subset.select("client_id", "row_id", "pos")
 
 
+@query
+def client_subset_large(spark, sf_dir):
+    """Samples too large for a window's early limit."""
+    sharded = dealing.label_shards(t.lineitem_rows(spark, sf_dir))
+    dealt = durable(dealing.assign_clients(sharded).select("client_id", "row_id"), "dealt")
+    return dealing.client_subset(dealt, LARGE_SUBSET).select("client_id", "row_id", "pos")
+
+
 @query
 def label_skew(spark, sf_dir):
     skew = dealing.label_skew(dealing.assign_clients(dealing.label_shards(t.lineitem_rows(spark, sf_dir))))

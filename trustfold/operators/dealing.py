@@ -9,10 +9,15 @@ from trustfold.constants import CLIENTS, DEAL_SEED, DEFAULT_SUBSET_ROWS, SHARDS_
 from trustfold.functions.hashing import order_key
 from trustfold.functions.positions import MOST_CUTS, SLICE_ROWS, cut_of, hex_digits_for, quantile_cuts, sliced_position
 from trustfold.functions.sizing import broadcast_if_small
+from trustfold.functions.storage import durable
 
 #: Rows per id slice of a label, and slices over all labels, aimed at when sharding.
 SHARD_SLICE_ROWS = 100_000
 SHARD_SLICES = 200_000
+#: Rows up to which Spark limits a window's groups before it shuffles them.
+GROUP_LIMIT_ROWS = 1_000
+#: Leading hex digits of a hash by which a client's rows are counted when sampling: 4,096 slices.
+SUBSET_DIGITS = 3
 
 
 def check_capacity(df: DataFrame, clients: int = CLIENTS, shards_per_client: int = SHARDS_PER_CLIENT) -> DataFrame:
@@ -176,16 +181,24 @@ def client_subset(
 ) -> DataFrame:
     """At most ``rows`` rows per client without replacement; all of them when there are fewer.
 
-    Top-k by hash, first inside salted slices of a client and then over the
-    survivors, so no task ever sorts a whole client. Adds ``pos``.
+    The rows of least hash, in the order of their hashes. Small samples are
+    limited inside salted slices of a client, before rows move, and once more
+    over the survivors. Beyond GROUP_LIMIT_ROWS, where a window no longer limits
+    early, a client's rows are counted by the leading digits of their hashes:
+    the counts say which digits can hold a chosen row and how many rows come
+    before them, so only chosen rows move, by (client, digits), and no task
+    sorts a client or its sample. ``dealt`` is read twice then, so pass a
+    materialised table. Adds ``pos``.
     """
-    keyed = dealt.withColumn("_key", order_key(seed, "subset", F.col(id_col))).withColumn(
-        "_salt", F.substring("_key", 31, 2)
-    )
-    by_key = [F.col("_key"), F.col(id_col)]
-    place = F.row_number().over(Window.partitionBy(key, "_salt").orderBy(*by_key))
-    survivors = keyed.withColumn("_place", place).filter(F.col("_place") <= rows)
-    final = F.row_number().over(Window.partitionBy(key).orderBy(*by_key))
+    keyed = dealt.withColumn("_key", order_key(seed, "subset", F.col(id_col)))
+    return _least_of_salts(keyed, rows, id_col, key) if rows <= GROUP_LIMIT_ROWS else _least_of_slices(keyed, rows, id_col, key)
+
+
+def _least_of_salts(keyed: DataFrame, rows: int, id_col: str, key: str) -> DataFrame:
+    salted = keyed.withColumn("_salt", F.substring("_key", 31, 2))
+    place = F.row_number().over(Window.partitionBy(key, "_salt").orderBy("_key", id_col))
+    survivors = salted.withColumn("_place", place).filter(F.col("_place") <= rows)
+    final = F.row_number().over(Window.partitionBy(key).orderBy("_key", id_col))
     return (
         survivors.withColumn("pos", final).filter(F.col("pos") <= rows)
         .withColumn("pos", (F.col("pos") - 1).cast("bigint"))
@@ -193,6 +206,23 @@ def client_subset(
     )
 
 
+def _least_of_slices(keyed: DataFrame, rows: int, id_col: str, key: str) -> DataFrame:
+    keyed = keyed.withColumn("_slice", F.substring("_key", 1, SUBSET_DIGITS))
+    earlier = Window.partitionBy("_client").orderBy("_digits").rowsBetween(Window.unboundedPreceding, -1)
+    slices = durable(
+        keyed.groupBy(F.col(key).alias("_client"), F.col("_slice").alias("_digits")).agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        .filter(F.col("_before") < rows).drop("_n"),
+        "subset-slices",
+    )
+    chosen = keyed.join(broadcast_if_small(slices), F.col(key).eqNullSafe(F.col("_client")) & (F.col("_slice") == F.col("_digits")))
+    place = F.row_number().over(Window.partitionBy(key, "_slice").orderBy("_key", id_col)) - 1
+    return (
+        chosen.withColumn("pos", (F.col("_before") + place).cast("bigint")).filter(F.col("pos") < rows)
+        .drop("_key", "_slice", "_client", "_digits", "_before")
+    )
+
+
 def label_skew(dealt: DataFrame) -> DataFrame:
     """Per client and label: rows and share; per client: labels held."""
     cells = dealt.groupBy("client_id", "label").agg(F.count(F.lit(1)).alias("n"))
