@@ -110,3 +110,34 @@ def test_shards_on_far_signed_and_dense_ids(spark, ids):
     cuts = quantile_cuts(df, "row_id", len(ids), 50)
     sizes = df.groupBy(cut_of(F.col("row_id"), cuts)).count().collect()
     assert len(sizes) >= 30 and max(r["count"] for r in sizes) <= 110
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shards_of_distinct_ids_move_no_rows(spark):
+    sharded = dealing.label_shards(_rows(spark, 4000).coalesce(2), slice_rows=64)
+    assert _plan(sharded).count("Exchange") == 1  # the one of the rows themselves
+
+
+def test_equal_ids_across_borders(spark):
+    ids = [7] * 90 + list(range(100, 160)) + [10**17] * 50 + [2**63 - 1] * 30
+    df = spark.createDataFrame([(i, abs(i) % 3) for i in ids], "row_id bigint, label int")
+    got = sorted((r["label"], r["row_id"], r["shard"]) for r in dealing.label_shards(df, slice_rows=9).collect())
+    base, extra = divmod(len(ids), 40)
+    shards = [s for s in range(40) for _ in range(base + (s < extra))]
+    assert got == [(*row, s) for row, s in zip(sorted((abs(i) % 3, i) for i in ids), shards)]
+
+
+def test_many_shards_by_lookup(spark):
+    df = _rows(spark, 900)
+    got = {r["row_id"]: r["shard"] for r in dealing.label_shards(df, clients=100, slice_rows=20).collect()}
+    assert got == _expected(df.collect(), 400)
+
+
+def test_order_keys_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(dealing, "SLICE_ROWS", 50)
+    dealt = spark.range(1000).select(F.col("id").alias("row_id"), (F.col("id") % 3).alias("client_id"))
+    plan = _plan(dealing.client_order(dealt, rows=1000))
+    assert plan.index("unhex") < plan.index("Exchange hashpartitioning")  # a plan lists its last step first

@@ -58,19 +58,21 @@ def sliced_position(df: DataFrame, group: list[str], order: list[Column], cut: C
 
     ``cut`` must not decrease along ``order`` and should give slices small
     enough for one task. The first pass counts per slice, with partial
-    aggregation; only the second pass moves rows, by (group, slice).
+    aggregation, and writes the counts; only the second pass moves rows, by
+    (group, slice), and computes what ``order`` asks for behind the shuffle.
     """
     keyed = df.withColumn("_cut", cut)
     keys = [*group, "_cut"]
     before = Window.partitionBy(*group).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
+    offsets = durable(
         keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
+        .drop("_n"),
+        "offsets",
     )
     local = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
     return (
-        keyed.withColumn("_local", local).join(offsets, keys)
+        keyed.repartition(*keys).withColumn("_local", local).join(broadcast_if_small(offsets), keys)
         .withColumn(out, (F.col("_before") + F.col("_local")).cast("bigint"))
         .drop("_cut", "_local", "_before")
     )

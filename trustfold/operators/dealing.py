@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from trustfold.constants import CLIENTS, DEAL_SEED, DEFAULT_SUBSET_ROWS, SHARDS_PER_CLIENT
 from trustfold.functions.hashing import order_key
@@ -14,6 +15,10 @@ from trustfold.functions.storage import durable
 #: Rows per id slice of a label, and slices over all labels, aimed at when sharding.
 SHARD_SLICE_ROWS = 100_000
 SHARD_SLICES = 200_000
+#: Shards whose first rows may stand in an expression; more are looked up in a table.
+MOST_STARTS = 256
+#: Bits of an id that one more count of a slice tells apart.
+REFINE_BITS = 12
 #: Rows up to which Spark limits a window's groups before it shuffles them.
 GROUP_LIMIT_ROWS = 1_000
 #: Leading hex digits of a hash by which a client's rows are counted when sampling: 4,096 slices.
@@ -69,17 +74,118 @@ def label_shards(
 ) -> DataFrame:
     """Add ``shard``: rows sorted by (label, id), cut into equal contiguous shards.
 
-    Narrow aggregates find quantiles of the ids and count rows per (label, id range).
-    The prefix sums of these counts tell the shard of every id range that
-    lies inside one shard, so the bulk of the rows takes its shard from a
-    lookup without being sorted or moved. Only ranges that a border
-    crosses, at most one per shard, are ranked row by row.
+    Narrow aggregates find the ids at which a shard begins, so that the rows
+    take their shard from comparisons alone, without being sorted, joined or
+    moved. Only equal rows that a border parts are ranked row by row. More
+    than MOST_STARTS shards, or ids that are no integers, go by slices of ids.
     """
     shards = clients * shards_per_client
     stats = id_stats(df, id_col, label_col) if stats is None else stats
     rows = stats["n"]
     _require_capacity(rows, clients, shards_per_client)
-    cuts = quantile_cuts(df, id_col, rows, slice_rows, max(1, min(MOST_CUTS, SHARD_SLICES // stats["labels"])))
+    if shards > MOST_STARTS or not isinstance(df.schema[id_col].dataType, IntegralType):
+        return _shards_by_slices(df, rows, stats["labels"], shards, id_col, label_col, slice_rows)
+    starts = _shard_starts(df, stats, shards, id_col, label_col, slice_rows)
+    return _shards_by_starts(df, starts, rows, shards, id_col, label_col)
+
+
+def _shard_starts(df: DataFrame, stats: Row, shards: int, id_col: str, label_col: str, slice_rows: int) -> list[Row]:
+    """(_label, _at, _start, _first, _last) of every id that begins a shard or lies across a border, in order.
+
+    Rows are counted per (label, leading bits of the id). The prefix sums tell
+    which of these slices hold a border; only their rows are counted again, by
+    more bits, until a slice is one id. Slices of at most ``slice_rows`` rows
+    go to single ids at once, so evenly spread ids take two counts. At most
+    ``shards`` rows come to the driver.
+    """
+    rows, lo, hi = stats["n"], stats["lo"], stats["hi"]
+    most = max(1, min(-(-rows // slice_rows), SHARD_SLICES // stats["labels"]))
+    shift = 0
+    while shift < 63 and (hi >> shift) - (lo >> shift) >= most:
+        shift += 1
+    ids = df.select(F.col(label_col).alias("_label"), F.col(id_col).cast("bigint").alias("_id"))
+    part = ids.withColumn("_base", F.lit(0).cast("bigint"))
+    # the first window runs over the slice counts, at most max(SHARD_SLICES, labels) rows
+    order = Window.orderBy("_label", "_at")
+    while True:
+        before = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        counted = (
+            part.groupBy("_label", "_base", F.shiftright("_id", shift).alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+            .withColumn("_start", F.col("_base") + F.coalesce(before, F.lit(0)))
+            .withColumn("_first", _shard_of("_start", rows, shards))
+            .withColumn("_last", _shard_of("(_start + _n - 1)", rows, shards))
+        )
+        begins = _shard_of("(_start - 1)", rows, shards) != F.col("_last")
+        found = durable(counted.filter(begins).drop("_base"), "shard-starts")
+        if shift == 0:
+            return found.orderBy("_start").collect()
+        widest = found.agg(F.max("_n").alias("n")).first()["n"] or 0
+        spans = found.select(F.col("_label").alias("_of"), "_at", F.col("_start").alias("_base"))
+        part = ids.join(
+            F.broadcast(spans), (F.col("_label") == F.col("_of")) & (F.shiftright("_id", shift) == F.col("_at"))
+        ).select("_label", "_id", "_base")
+        order = Window.partitionBy("_label", "_base").orderBy("_at")
+        shift = 0 if widest <= slice_rows else max(0, shift - REFINE_BITS)
+
+
+def _halved(value: Column, borders: list, at_least: list[Column], before: Column) -> Column:
+    """What ``value`` maps to: ``at_least[i]`` from ``borders[i]`` on, ``before`` below the first, by halving comparisons."""
+    if not borders:
+        return before
+    mid = len(borders) // 2
+    return F.when(
+        value >= F.lit(borders[mid]), _halved(value, borders[mid + 1:], at_least[mid + 1:], at_least[mid])
+    ).otherwise(_halved(value, borders[:mid], at_least[:mid], before))
+
+
+def _shard_at(starts: list[Row], label: Column, row_id: Column) -> Column:
+    """Shard of a row; NULL for rows equal to one that lies across a border."""
+    def number(shard: int | None) -> Column:
+        return F.lit(shard).cast("bigint")
+
+    borders, reached, before = [], [], 0
+    for start in starts:
+        if not borders or borders[-1] != start["_label"]:
+            borders.append(start["_label"])
+            reached.append((before, {}))
+        parted = start["_first"] != start["_last"]
+        reached[-1][1][start["_at"]] = None if parted else start["_last"]
+        if parted and start["_at"] < 2**63 - 1:
+            reached[-1][1][start["_at"] + 1] = start["_last"]
+        before = start["_last"]
+    ends = [first for first, _ in reached[1:]] + [before]
+    at_least = [
+        F.when(label == F.lit(border), _halved(row_id, list(ids), list(map(number, ids.values())), number(first)))
+        .otherwise(number(end))
+        for border, (first, ids), end in zip(borders, reached, ends)
+    ]
+    return _halved(label, borders, at_least, number(0))
+
+
+def _shards_by_starts(
+    df: DataFrame, starts: list[Row], rows: int, shards: int, id_col: str, label_col: str
+) -> DataFrame:
+    placed = df.withColumn("shard", _shard_at(starts, F.col(label_col), F.col(id_col)))
+    parted = [s for s in starts if s["_first"] != s["_last"]]
+    if not parted:
+        return placed
+    rank = F.coalesce(*[
+        F.when((F.col(label_col) == F.lit(s["_label"])) & (F.col(id_col) == F.lit(s["_at"])), F.lit(s["_start"]))
+        for s in parted
+    ])
+    equal = F.row_number().over(Window.partitionBy(label_col, id_col).orderBy(id_col)) - 1
+    ranked = (
+        placed.filter(F.col("shard").isNull()).withColumn("_rank", rank + equal)
+        .withColumn("shard", _shard_of("_rank", rows, shards)).drop("_rank")
+    )
+    return placed.filter(F.col("shard").isNotNull()).unionByName(ranked)
+
+
+def _shards_by_slices(
+    df: DataFrame, rows: int, labels: int, shards: int, id_col: str, label_col: str, slice_rows: int
+) -> DataFrame:
+    """Shards by a lookup of id slices; only slices that a border crosses, at most one per shard, are ranked row by row."""
+    cuts = quantile_cuts(df, id_col, rows, slice_rows, max(1, min(MOST_CUTS, SHARD_SLICES // labels)))
     slices = len(cuts)
     sliced = df.withColumn("_slice", cut_of(F.col(id_col), cuts) if slices > 1 else F.lit(0))
     keys = [label_col, "_slice"]
@@ -95,7 +201,7 @@ def label_shards(
             _shard_of("(_start + _n - 1)", rows, shards).alias("_last"),
         )
     )
-    located = sliced.join(broadcast_if_small(lookup, slices * stats["labels"]), keys)
+    located = sliced.join(broadcast_if_small(lookup, slices * labels), keys)
     rank = F.col("_start") + F.row_number().over(Window.partitionBy(*keys).orderBy(id_col)) - 1
 
     def ranked(part: DataFrame) -> DataFrame:
@@ -156,9 +262,9 @@ def client_order(
     if rows <= SLICE_ROWS:
         whole = Window.partitionBy("client_id").orderBy(order_key(seed, "order", F.col(id_col)), id_col)
         return dealt.withColumn("ord", (F.row_number().over(whole) - 1).cast("bigint"))
-    keyed = dealt.withColumn("_key", order_key(seed, "order", F.col(id_col)))
-    cut = F.substring("_key", 1, hex_digits_for(rows))
-    return sliced_position(keyed, ["client_id"], [F.col("_key"), F.col(id_col)], cut, "ord").drop("_key")
+    shuffled = order_key(seed, "order", F.col(id_col))
+    cut = F.substring(shuffled, 1, hex_digits_for(rows))
+    return sliced_position(dealt, ["client_id"], [F.unhex(shuffled), F.col(id_col)], cut, "ord")
 
 
 def deal(
