@@ -121,3 +121,16 @@ def test_predict_and_accuracy(spark):
 def test_argmax_takes_the_first_of_equals(spark):
     df = spark.createDataFrame([([1.0, 3.0, 3.0],), ([2.0, 2.0, 2.0],)], "logits array<double>")
     assert [r[0] for r in df.select(training.argmax_class()).collect()] == [1, 0]
+
+
+def test_an_epoch_is_written_without_a_shuffle(spark, monkeypatch):
+    plans = {}
+
+    def recorded(df, name="table", partition_by=None, write=training.durable):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name, partition_by)
+
+    monkeypatch.setattr(training, "durable", recorded)
+    df = training.durable(_table(spark, _rows()), "rows")
+    training.train_minibatch(df, training.zero_model(spark, 3, 5), 3, epochs=2, batch=16, rows_per_task=48)
+    assert len(plans["epoch"]) == 2 and not any("Exchange" in plan for plan in plans["epoch"])

@@ -7,6 +7,7 @@ vector in (layer, idx) order: all biases, then all weights.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,13 +20,14 @@ from trustfold.constants import (
     AUTH_BATCH_ROWS, BATCH_ROWS, EPOCHS, LEARNING_RATE, MOMENTUM, WEIGHT_DECAY,
 )
 from trustfold.functions.hashing import normal
-from trustfold.functions.positions import hex_digits_for, sliced_position
 from trustfold.functions.sizing import broadcast_if_small
 from trustfold.functions.storage import durable
 
 ROWS_PER_BLOCK = 1024
 #: Feature values (64 MB of doubles) of one client that one task may hold for mini-batch training.
 CELLS_PER_TASK = 8_000_000
+#: Standard deviations by which a hashed slice of a client is planned below the rows a task may hold.
+SLICE_SLACK = 6
 
 
 # --- model tables ---
@@ -193,10 +195,11 @@ def train_minibatch(
 
     When every client fits ``rows_per_task`` (by default as many rows as hold
     CELLS_PER_TASK values), one grouped pass trains all.
-    Otherwise each epoch is cut into chunks of that many rows and the
+    Otherwise each epoch is cut by hash into chunks of fewer rows and the
     clients' (vector, velocity) go from chunk to chunk through a written
     table: the same batches in the same order, hence the same result, with
-    no task ever holding more than one chunk. Returns (key, layer, idx, value).
+    no task ever holding more than one chunk, unless millions of rows of a
+    client share one id. Returns (key, layer, idx, value).
     """
     largest = df.groupBy(key).count().agg(F.max("count").alias("n")).first()["n"] or 0
     start = model_vector(model)
@@ -225,8 +228,9 @@ def _train_whole(df, start, classes, epochs, batch, lr, momentum, decay, seed, r
             _sgd(x, y, (order[b] for b in _batches(len(y), batch)), vector, velocity, classes, lr, momentum, decay)
         return pd.DataFrame({key: rows[key].iloc[0], "pos": np.arange(len(vector)), "value": vector})
 
+    moved = df.select(key, "row_id", "features", "label").repartition(key)
     return (
-        df.select(key, "row_id", "features", "label", *keys)
+        moved.select("*", *keys)
         .groupBy(key).applyInPandas(train, f"{key} bigint, pos bigint, value double")
     )
 
@@ -234,35 +238,54 @@ def _train_whole(df, start, classes, epochs, batch, lr, momentum, decay, seed, r
 def _train_in_chunks(
     df, start, classes, epochs, batch, lr, momentum, decay, seed, round_no, key, chunk, largest
 ) -> DataFrame:
-    state_schema = f"{key} bigint, vector array<double>, velocity array<double>"
-    zeros = np.zeros_like(start)
+    """Chunks are slices of the epoch's hash order, at most about ``chunk`` rows of a client each.
+
+    Every epoch writes the rows once by slice, straight from their scan. A
+    slice's rows then move once, to their client; rows behind its last whole
+    batch wait in the state for the next slice, so batches are those of the
+    whole order.
+    """
+    state_schema = f"{key} bigint, vector array<double>, velocity array<double>, x array<double>, y array<int>"
+    width = len(start) // classes - 1
+    nothing = F.array().cast("array<double>"), F.array().cast("array<int>")
     state = durable(
         df.select(key).distinct().select(
-            key, F.lit(start.tolist()).alias("vector"), F.lit(zeros.tolist()).alias("velocity")
+            key, F.lit(start.tolist()).alias("vector"), F.lit(np.zeros_like(start).tolist()).alias("velocity"),
+            nothing[0].alias("x"), nothing[1].alias("y"),
         ),
         "sgd-state",
     )
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = -(-largest // max(batch, chunk - SLICE_SLACK * math.isqrt(chunk)))
+
+    def advance(final: bool):
+        def run(state_rows: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+            found = state_rows.iloc[0]
+            vector, velocity = np.array(found["vector"], dtype=np.float64), np.array(found["velocity"], dtype=np.float64)
+            x, y = np.array(found["x"], dtype=np.float64).reshape(-1, width), np.array(found["y"], dtype=np.int64)
+            if len(rows):
+                order = np.lexsort((rows["row_id"].to_numpy(), rows["_key"].to_numpy()))
+                x = np.concatenate([x, _matrix(rows["features"])[order]])
+                y = np.concatenate([y, rows["label"].to_numpy()[order]])
+            done = len(y) if final else len(y) // batch * batch
+            _sgd(x, y, _batches(done, batch), vector, velocity, classes, lr, momentum, decay)
+            return pd.DataFrame({
+                key: [found[key]], "vector": [vector], "velocity": [velocity], "x": [x[done:].ravel()], "y": [y[done:]],
+            })
+        return run
 
-    def advance(state_rows: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        vector = np.array(state_rows["vector"].iloc[0], dtype=np.float64)
-        velocity = np.array(state_rows["velocity"].iloc[0], dtype=np.float64)
-        if len(rows):
-            rows = rows.sort_values("_place")
-            x, y = _matrix(rows["features"]), rows["label"].to_numpy()
-            _sgd(x, y, _batches(len(y), batch), vector, velocity, classes, lr, momentum, decay)
-        return pd.DataFrame({key: [state_rows[key].iloc[0]], "vector": [vector], "velocity": [velocity]})
-
-    total = df.count()
     for epoch in range(epochs):
-        keyed = df.select(key, "row_id", "features", "label", _epoch_key(seed, round_no, epoch, key).alias("_key"))
-        cut = F.shiftright("_key", 64 - 4 * max(1, hex_digits_for(total)))
-        placed = sliced_position(keyed, [key], [F.col("_key"), F.col("row_id")], cut, "_place").drop("_key")
-        placed = placed.withColumn("_chunk", F.expr(f"_place div {chunk}L"))
-        placed = durable(placed.repartition("_chunk", key), "epoch", partition_by="_chunk")
-        for c in range(-(-largest // chunk)):
-            rows = placed.filter(F.col("_chunk") == c).drop("_chunk")
+        shuffled = _epoch_key(seed, round_no, epoch, key)
+        # the top 32 bits, from 0 up, cut evenly
+        at = F.shiftright((F.shiftright(shuffled, 32) + F.lit(1 << 31)) * F.lit(slices), 32).cast("int")
+        rows = df.select(key, "row_id", "features", "label", at.alias("_slice"))
+        sliced = durable(rows, "epoch", partition_by="_slice")
+        for c in range(slices):
+            moved = sliced.filter(F.col("_slice") == c).drop("_slice").repartition(parts, key)
             state = durable(
-                state.groupBy(key).cogroup(rows.groupBy(key)).applyInPandas(advance, state_schema), "sgd-state"
+                state.repartition(parts, key).groupBy(key).cogroup(moved.withColumn("_key", shuffled).groupBy(key))
+                .applyInPandas(advance(c + 1 == slices), state_schema),
+                "sgd-state",
             )
     return state.select(key, F.posexplode("vector").alias("pos", "value"))
 
