@@ -120,3 +120,52 @@ def test_pairs_by_task_equal_pairs_by_plan(spark, monkeypatch, orientation):
     monkeypatch.setattr(runs, "SLICE_ROWS", 0)
     plan = [tuple(r) for r in runs._handed_out(history, pairing, scores, 7, orientation).select("kind", "run_id", "seq", "rank", "verifier", "prover").collect()]
     assert sorted(map(str, found)) == sorted(map(str, plan)) and len(found) == 30 + 14
+
+
+def test_every_client_has_files_of_its_own(spark, prepared, tmp_path):
+    """Clients that share a file train one after the other, however many cores there are."""
+    packed = runs.pack_clients(spark, lambda: prepared, ROUND, str(tmp_path))
+    for part in (packed.blocks, packed.samples):
+        assert len(part.inputFiles()) == part.count() == 10
+
+
+def test_models_go_to_blocks_of_test_rows(spark, monkeypatch):
+    """The models of all rounds are sent once a block of rows, not beside every row."""
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(50, 4)), rng.integers(0, 3, 50)
+    test = spark.createDataFrame([(a.tolist(), int(b)) for a, b in zip(x, y)], "features array<double>, label int").repartition(2)
+    vectors = {(r, n): rng.normal(size=15) for r in "ab" for n in (1, 2)}
+    models = spark.createDataFrame([(*k, v.tolist()) for k, v in vectors.items()], "run_id string, round int, vector array<double>")
+    assert runs._test_blocks(test).count() == 2
+    monkeypatch.setattr(runs, "CELLS_AT_ONCE", 4 * 7)
+    blocks = runs._test_blocks(test).collect()
+    assert max(len(r["y"]) for r in blocks) == 7 and sum(len(r["y"]) for r in blocks) == 50
+    found = runs.evaluate_models(test, models, 3)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2
+    for r in found.collect():
+        assert r["accuracy"] == 100.0 * (training._logits(x, vectors[r["run_id"], r["round"]], 3).argmax(axis=1) == y).sum() / 50
+
+
+def test_runs_trained_together_equal_runs_trained_alone(spark):
+    """Every run of a sample takes its own number of steps; the vectors are those of one run at a time, bit for bit."""
+    rng = np.random.default_rng(7)
+    x, y = rng.normal(size=(70, 4)), rng.integers(0, 3, 70)
+    starts, steps = {r: rng.normal(size=15) for r in "abc"}, {"a": 5, "b": 9, "c": 5}
+    tasks = [{"run_id": r, "verifier": k, "prover": 1, "steps": steps[r]} for k, r in enumerate("abc")]
+    samples = spark.createDataFrame(
+        [(x.ravel().tolist(), y.tolist(), tasks)], "x array<double>, y array<int>, tasks array<struct<run_id string, verifier long, prover long, steps long>>"
+    )
+    vectors = spark.createDataFrame([(r, v.tolist()) for r, v in starts.items()], "run_id string, vector array<double>")
+    found = runs.authenticate_runs(samples, vectors, rounds.Settings(classes=3, features=4)).collect()
+    assert sorted((r["run_id"], r["verifier"], r["prover"]) for r in found) == [("a", 0, 1), ("b", 1, 1), ("c", 2, 1)]
+    cycle = list(training._batches(70, 32))
+    for r in found:
+        want = starts[r["run_id"]].copy()
+        batches = (cycle[k % len(cycle)] for k in range(steps[r["run_id"]]))
+        training._sgd(x, y, batches, want, np.zeros_like(want), 3, 0.01, 0.9, 5e-4)
+        assert r["vector"] == want.tolist()
+    alone, together = np.array(list(starts.values())), np.array(list(starts.values()))
+    training._sgd_together(x, y, training._batches(70, 32), together, np.zeros_like(together), 3, 0.1, 0.9, 5e-4)
+    for vector in alone:
+        training._sgd(x, y, training._batches(70, 32), vector, np.zeros_like(vector), 3, 0.1, 0.9, 5e-4)
+    assert np.array_equal(alone, together)

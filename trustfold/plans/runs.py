@@ -39,6 +39,10 @@ from trustfold.sources.logs import accuracy_log, write_log
 from trustfold.sources.models import save_best
 
 RUN = "run_id"
+#: Files of samples aimed at; up to as many clients have one each.
+CLIENT_FILES = 1_000
+#: Values (32 MB of doubles) of test rows that one task evaluates at a time.
+CELLS_AT_ONCE = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -75,12 +79,15 @@ class State:
 
 # --- rows as blocks ---
 
-def _stored(spark: SparkSession, make: Callable[[], DataFrame], path: str) -> DataFrame:
-    """What a former run wrote whole under ``path``, else ``make()``, written there."""
+def _stored(spark: SparkSession, make: Callable[[], DataFrame], path: str, rows_per_file: int) -> DataFrame:
+    """What a former run wrote whole under ``path``, else ``make()``, written there in files of a few rows.
+
+    A file is the least a task reads: clients that share one would train one after the other in every round.
+    """
     try:
         spark.read.parquet(f"{path}.whole")
     except AnalysisException:
-        _written(make(), path)
+        make().write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path)
         spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{path}.whole")
     return spark.read.parquet(path)
 
@@ -99,8 +106,9 @@ def pack_clients(
 ) -> Packed:
     """Clients' rows and samples as matrices under ``path``, each written once; ``prepared()`` deals them if they aren't there."""
     rows = rows_per_block or max(settings.batch, training.CELLS_PER_TASK // settings.features)
-    blocks = _stored(spark, lambda: _matrix_rows(prepared()[0], "ord", rows), f"{path}/blocks")
-    samples = _stored(spark, lambda: _matrix_rows(prepared()[1], "pos", max(1, settings.subset_rows)), f"{path}/samples")
+    per_file = -(-settings.clients // CLIENT_FILES)
+    blocks = _stored(spark, lambda: _matrix_rows(prepared()[0], "ord", rows), f"{path}/blocks", per_file)
+    samples = _stored(spark, lambda: _matrix_rows(prepared()[1], "pos", max(1, settings.subset_rows)), f"{path}/samples", per_file)
     sizes = blocks.groupBy("client_id").agg(F.sum("n").alias("rows"), F.max("block").alias("last"))
     steps = sizes.select("client_id", (F.ceil(F.col("rows") / settings.batch) * settings.epochs).cast("long").alias("steps"))
     wrong = blocks.filter((F.size("x") != F.col("n") * settings.features) | (F.array_min("y") < 0) | (F.array_max("y") >= settings.classes))
@@ -117,15 +125,20 @@ def _emitted(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> p
 
 
 def _one_row_at_a_time(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Rows as dicts; arrays of numbers as numpy views, lists of structs as Python lists."""
+    """Rows as dicts; arrays of numbers as numpy views, also those in a list, lists of structs as Python lists."""
+    def numbers(kind: pa.DataType) -> bool:
+        return pa.types.is_list(kind) and not pa.types.is_nested(kind.value_type)
+
+    def plain(cell: pa.Scalar):
+        if numbers(cell.type):
+            return cell.values.to_numpy(zero_copy_only=False)
+        if pa.types.is_list(cell.type) and numbers(cell.type.value_type) and cell.is_valid:
+            return [plain(part) for part in cell]
+        return cell.as_py()
+
     for batch in batches:
         for at in range(batch.num_rows):
-            row = {}
-            for name, column in zip(batch.schema.names, batch.columns):
-                cell = column[at]
-                numbers = pa.types.is_list(column.type) and not pa.types.is_nested(column.type.value_type)
-                row[name] = cell.values.to_numpy(zero_copy_only=False) if numbers else cell.as_py()
-            yield row
+            yield {name: plain(column[at]) for name, column in zip(batch.schema.names, batch.columns)}
 
 
 def local_models(blocks: DataFrame, settings: Settings, passes: range) -> DataFrame:
@@ -144,19 +157,18 @@ def local_models(blocks: DataFrame, settings: Settings, passes: range) -> DataFr
         for row in _one_row_at_a_time(batches):
             y = row["y"]
             x = row["x"].reshape(len(y), -1)
-            out = []
-            for start in row["starts"]:
-                vector = np.array(start["vector"])
-                velocity = np.zeros_like(vector)
-                for p in range(passed):
-                    if how.trainer == "fullbatch":
+            vectors = np.array([start["vector"] for start in row["starts"]])
+            if how.trainer == "fullbatch":
+                for vector in vectors:  # a whole block's logits of one run at a time
+                    for _ in range(passed):
                         vector -= how.lr / len(y) * training._gradient_sum(x, y, vector, how.classes)
-                    else:
-                        order = np.lexsort((row["ids"], np.array(row["orders"][p])))
-                        batched = (order[b] for b in training._batches(len(y), how.batch))
-                        training._sgd(x, y, batched, vector, velocity, how.classes, how.lr, C.MOMENTUM, C.WEIGHT_DECAY)
-                out.append((row["client_id"], start[RUN], len(y), vector.tolist()))
-            yield _emitted(out, names, types)
+            else:
+                velocities = np.zeros_like(vectors)
+                for keys in row["orders"]:
+                    order = np.lexsort((row["ids"], keys))
+                    batched = (order[b] for b in training._batches(len(y), how.batch))
+                    training._sgd_together(x, y, batched, vectors, velocities, how.classes, how.lr, C.MOMENTUM, C.WEIGHT_DECAY)
+            yield _emitted([(row["client_id"], start[RUN], len(y), v.tolist()) for start, v in zip(row["starts"], vectors)], names, types)
 
     if how.trainer == "fullbatch":
         orders = F.lit(None).cast("array<array<bigint>>")
@@ -205,18 +217,20 @@ def authenticate_runs(samples: DataFrame, vectors: DataFrame, settings: Settings
             y = row["y"]
             x = row["x"].reshape(len(y), -1)
             starts = {s[RUN]: s["vector"] for s in row["starts"]}
-            out = []
-            for task in row["tasks"]:
-                vector = np.array(starts[task[RUN]])
-                if how.trainer == "fullbatch":
+            tasks = sorted(row["tasks"], key=lambda task: -task["steps"])
+            vectors = np.array([starts[task[RUN]] for task in tasks])
+            if how.trainer == "fullbatch":
+                for vector in vectors:
                     for _ in range(how.steps):
                         vector -= how.lr / len(y) * training._gradient_sum(x, y, vector, how.classes)
-                else:
-                    cycle = list(training._batches(len(y), C.AUTH_BATCH_ROWS))
-                    batches_of = (cycle[k % len(cycle)] for k in range(task["steps"]))
-                    training._sgd(x, y, batches_of, vector, np.zeros_like(vector), how.classes, how.lr, C.MOMENTUM, C.WEIGHT_DECAY)
-                out.append((task[RUN], task["verifier"], task["prover"], vector.tolist()))
-            yield _emitted(out, names, types)
+            else:
+                cycle, velocities, done = list(training._batches(len(y), C.AUTH_BATCH_ROWS)), np.zeros_like(vectors), 0
+                for steps in sorted({task["steps"] for task in tasks}):  # those with fewer steps stand still from there on
+                    going = sum(task["steps"] >= steps for task in tasks)
+                    batches_of = (cycle[k % len(cycle)] for k in range(done, steps))
+                    training._sgd_together(x, y, batches_of, vectors[:going], velocities[:going], how.classes, how.lr, C.MOMENTUM, C.WEIGHT_DECAY)
+                    done = steps
+            yield _emitted([(task[RUN], task["verifier"], task["prover"], v.tolist()) for task, v in zip(tasks, vectors)], names, types)
 
     rows = samples.withColumn("starts", _starts(vectors).scalar()).select("x", "y", "tasks", "starts")
     return rows.mapInArrow(run, "run_id string, verifier long, prover long, vector array<double>")
@@ -478,25 +492,45 @@ def fit_runs(
     return runs_report(spark, test, settings, path)
 
 
+def _test_blocks(test: DataFrame) -> DataFrame:
+    """(x, y): the test rows of a task as flat matrices, packed where they are read."""
+    rows = test.select("features", "label")
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at_once = max(1, CELLS_AT_ONCE * batch.num_rows // max(1, len(batch.column(0).flatten())))
+            for at in range(0, batch.num_rows, at_once):
+                part = batch.slice(at, at_once)
+                whole = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in (part.column(0).flatten(), part.column(1))]
+                yield pa.RecordBatch.from_arrays(whole, names=["x", "y"])
+
+    return rows.mapInArrow(run, f"x {kinds['features']}, y array<{kinds['label']}>")
+
+
 def evaluate_models(test: DataFrame, models: DataFrame, classes: int) -> DataFrame:
-    """(run_id, round, accuracy) of all model vectors (run_id, round, vector), in one pass over the test rows."""
+    """(run_id, round, accuracy) of all model vectors (run_id, round, vector), in one pass over the test rows.
+
+    The models go with blocks of rows, once a block, not with every row.
+    """
     names, types = [RUN, "round", "hits", "n"], [pa.string(), pa.int32(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, held = {}, None
         for batch in batches:
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            y = batch.column(1).to_numpy(zero_copy_only=False)
-            if held is None and batch.num_rows:
-                held = [(m[RUN], m["round"], np.array(m["vector"])) for m in batch.column(2)[0].as_py()]
-            for run_id, round_no, vector in held or []:
-                hits, n = sums.get((run_id, round_no), (0, 0))
-                sums[run_id, round_no] = (hits + int((training._logits(x, vector, classes).argmax(axis=1) == y).sum()), n + len(y))
+            for *block, listed in zip(*batch.columns):
+                x, y = (part.values.to_numpy(zero_copy_only=False) for part in block)
+                x = x.reshape(len(y), -1)
+                if held is None:
+                    held = [(m[RUN], m["round"], np.array(m["vector"])) for m in listed.as_py()]
+                for run_id, round_no, vector in held:
+                    hits, n = sums.get((run_id, round_no), (0, 0))
+                    sums[run_id, round_no] = (hits + int((training._logits(x, vector, classes).argmax(axis=1) == y).sum()), n + len(y))
         if sums:
             yield _emitted([(*k, *v) for k, v in sums.items()], names, types)
 
     listed = models.agg(F.array_sort(F.collect_list(F.struct(RUN, "round", "vector")))).scalar()
-    counts = test.select("features", "label", listed.alias("models")).mapInArrow(run, "run_id string, round int, hits long, n long")
+    counts = _test_blocks(test).withColumn("models", listed).mapInArrow(run, "run_id string, round int, hits long, n long")
     return counts.groupBy(RUN, "round").agg((F.lit(100.0) * F.sum("hits") / F.sum("n")).alias("accuracy"))
 
 
