@@ -11,6 +11,7 @@ its outcome, which makes it whole; a killed fit goes on behind it.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from functools import cache, reduce
@@ -548,7 +549,8 @@ def runs_report(spark: SparkSession, test: DataFrame, settings: Settings, path:
     reached = [
         evaluate_models(test, models.filter(F.col("round").isin(good[k : k + at_once])), settings.classes) for k in range(0, len(good), at_once)
     ]
-    reached = _written(reduce(DataFrame.unionByName, reached), f"{path}/accuracy")
+    # a folder of its own: reports of a fit that is resumed later stay readable
+    reached = _written(reduce(DataFrame.unionByName, reached), f"{path}/accuracies/report={time.time_ns()}")
     best = best_so_far(reached, [RUN]).withColumnRenamed("is_new_best", "is_best")
     tables = status(read("table").withColumn("round", F.col("round").cast("int")).drop("reported"))
     every = outcomes.select("round", "outcome", "d_th", F.explode(F.array(*map(F.lit, names))).alias(RUN))
@@ -565,8 +567,9 @@ def runs_report(spark: SparkSession, test: DataFrame, settings: Settings, path:
 
 
 def best_of(spark: SparkSession, path: str, run_id: str, into: str) -> str:
-    """Folder of a new version of the run's model of highest accuracy, the first one on ties."""
-    top = spark.read.parquet(f"{path}/accuracy").filter(F.col(RUN) == run_id).orderBy(F.col("accuracy").desc(), "round").first()
+    """Folder of a new version of the run's model of highest accuracy in the last report, the first one on ties."""
+    found = spark.read.parquet(f"{path}/accuracies").filter(F.col(RUN) == run_id)
+    top = found.orderBy(F.col("report").desc(), F.col("accuracy").desc(), "round").first()
     blocks = _part(spark.read.schema(STATE).parquet(f"{_round_path(path, top['round'])}/state"), "model").filter(F.col(RUN) == run_id)
     cells = blocks.select("layer", "block_id", F.posexplode("values").alias("pos", "value"))
     model = cells.select("layer", (F.col("block_id") * CELLS_PER_BLOCK + F.col("pos")).cast("bigint").alias("idx"), "value")
