@@ -70,6 +70,43 @@ def test_clients_of_many_blocks(spark, prepared, tmp_path):
     assert len(moved) == 10 and all(not np.allclose(r["vector"], want[r["client_id"]]) for r in moved)
 
 
+@pytest.mark.parametrize("rows_per_block", [7, 40])
+def test_mini_batches_do_not_depend_on_the_size_of_a_block(spark, tmp_path, rows_per_block):
+    """Clients of many blocks take the steps of those of one, bit for bit; rows that share an id or come twice are among them."""
+    rng = np.random.default_rng(3)
+    rows = [
+        (c, at, c * 1000 + at // 2, rng.normal(size=4).tolist(), int(rng.integers(0, 3)))
+        for c, n in enumerate((150, 33, 40, 41, 1)) for at in range(n)
+    ]
+    dealt = spark.createDataFrame(rows, "client_id long, ord long, row_id long, features array<double>, label int")
+    samples = dealt.withColumnRenamed("ord", "pos")
+    vectors = spark.createDataFrame([(r, rng.normal(size=15).tolist()) for r in "cab"], "run_id string, vector array<double>")
+    settings = rounds.Settings(classes=3, features=4, clients=5, epochs=3, batch=16, lr=0.1, seed=5)
+
+    def trained(name, rows_per_block=None):
+        packed = runs.pack_clients(spark, lambda: (dealt, samples), settings, str(tmp_path / name), rows_per_block)
+        found = runs.train_runs(packed, vectors, settings, 2, str(tmp_path / name)).collect()
+        return packed, {(r["run_id"], r["client_id"]): r["vector"] for r in found}, len(found)
+
+    whole, want, n = trained("whole")
+    parted, found, m = trained("parted", rows_per_block)
+    assert whole.single and not parted.single and n == m == 15
+    assert found == want
+
+
+def test_large_clients_equal_the_cell_by_cell_trainer(spark, prepared, tmp_path):
+    settings = replace(ROUND, trainer="minibatch", epochs=2, batch=4, lr=0.1)
+    start = training.init_model(spark, 10, 64, 3)
+    vectors = spark.createDataFrame([("a", training.model_vector(start).tolist())], "run_id string, vector array<double>")
+    exact = training.train_minibatch(prepared[0], start, 10, epochs=2, batch=4, lr=0.1, round_no=3)
+    want = {r["client_id"]: r["w"] for r in exact.groupBy("client_id").agg(training._vector_of_group().alias("w")).collect()}
+    packed = runs.pack_clients(spark, lambda: prepared, settings, str(tmp_path), rows_per_block=7)
+    found = runs.train_runs(packed, vectors, settings, 3, str(tmp_path)).collect()
+    assert not packed.single and len(found) == 10
+    for r in found:
+        assert np.allclose(r["vector"], want[r["client_id"]], rtol=0, atol=1e-12)
+
+
 def test_no_exchange_moves_features(spark, prepared, tmp_path):
     settings = replace(ROUND)
     packed = runs.pack_clients(spark, lambda: prepared, settings, str(tmp_path))

@@ -3,16 +3,18 @@
 Every table carries ``run_id``: pairing, training, corruption, signatures,
 distances, scores and averages of all runs are rows of the same plans, so a
 grid of runs costs as many jobs as one run. The clients' rows are packed into
-blocks once and never move again: a round brings the runs' models to the
-blocks, a task trains all runs on the rows it holds, and only vectors are
-shuffled. A round writes its updates, its scores and its next state, and last
-its outcome, which makes it whole; a killed fit goes on behind it.
+blocks once: a round brings the runs' models to the blocks, a task trains all
+runs on the rows it holds, and only vectors are shuffled. Rows of clients that
+have several blocks move once a pass of mini-batches, to be taken in its order.
+A round writes its updates, its scores and its next state, and last its
+outcome, which makes it whole; a killed fit goes on behind it.
 """
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 from functools import cache, reduce
 from itertools import product
@@ -21,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trustfold import constants as C
@@ -59,13 +61,21 @@ class Run:
 class Packed:
     """Rows as flat matrices: clients' ``blocks`` (client_id, block, n, ids, x, y), their ``samples``, and ``steps``.
 
-    ``single`` tells whether every client is one block.
+    ``large`` (client_id, place) numbers the clients of several blocks from 0 up;
+    ``n_large`` counts them, ``n_small`` the others.
     """
 
     blocks: DataFrame
     samples: DataFrame
     steps: DataFrame
-    single: bool
+    large: DataFrame
+    n_large: int
+    n_small: int
+
+    @property
+    def single(self) -> bool:
+        """Whether every client is one block."""
+        return self.n_large == 0
 
 
 @dataclass(frozen=True)
@@ -115,7 +125,10 @@ def pack_clients(
     wrong = blocks.filter((F.size("x") != F.col("n") * settings.features) | (F.array_min("y") < 0) | (F.array_max("y") >= settings.classes))
     if not wrong.isEmpty():
         raise ValueError(f"rows need {settings.features} features and labels below {settings.classes}")
-    return Packed(blocks, samples, steps, sizes.filter("last > 0").isEmpty())
+    place = (F.row_number().over(Window.orderBy("client_id")) - 1).cast("int")
+    large = _written(sizes.filter("last > 0").select("client_id", place.alias("place")), f"{path}/large")
+    n_large = large.count()
+    return Packed(blocks, samples, steps, large, n_large, sizes.count() - n_large)
 
 
 # --- training in the tasks that hold the rows ---
@@ -142,6 +155,11 @@ def _one_row_at_a_time(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {name: plain(column[at]) for name, column in zip(batch.schema.names, batch.columns)}
 
 
+def _pass_key(seed: int, p: int, row_id: Column) -> Column:
+    """Hash by which a pass shuffles a client's rows, as ``train_minibatch`` does."""
+    return F.xxhash64(F.lit(seed), "round_no", F.lit(p), "client_id", row_id)
+
+
 def local_models(blocks: DataFrame, settings: Settings, passes: range) -> DataFrame:
     """(client_id, run_id, n, vector): the models of every run after ``passes`` over one block.
 
@@ -174,7 +192,7 @@ def local_models(blocks: DataFrame, settings: Settings, passes: range) -> DataFr
     if how.trainer == "fullbatch":
         orders = F.lit(None).cast("array<array<bigint>>")
     else:
-        key = lambda p: F.transform("ids", lambda i: F.xxhash64(F.lit(how.seed), "round_no", F.lit(p), "client_id", i))
+        key = lambda p: F.transform("ids", lambda i: _pass_key(how.seed, p, i))
         orders = F.array(*map(key, passes))
     rows = blocks.select("client_id", "ids", "x", "y", "starts", orders.alias("orders"))
     return rows.mapInArrow(run, "client_id long, run_id string, n long, vector array<double>")
@@ -184,19 +202,16 @@ def _starts(vectors: DataFrame) -> DataFrame:
     return vectors.agg(F.array_sort(F.collect_list(F.struct(RUN, "vector"))))
 
 
-def train_runs(packed: Packed, vectors: DataFrame, settings: Settings, round_no: int, path: str) -> DataFrame:
-    """(run_id, client_id, vector): every client's update of every run's model ``vectors`` (run_id, vector).
-
-    Clients of one block take all passes in one task. If any has more, its
-    blocks train in parallel and their vectors are averaged by rows after each
-    pass: exact for full batches, local SGD for mini-batches.
-    """
+def _whole_clients(blocks: DataFrame, vectors: DataFrame, settings: Settings) -> DataFrame:
+    """(run_id, client_id, vector): all passes over clients of one block each."""
     passes = settings.steps if settings.trainer == "fullbatch" else settings.epochs
-    blocks = packed.blocks.withColumn("round_no", F.lit(round_no))
+    return local_models(blocks.withColumn("starts", _starts(vectors).scalar()), settings, range(passes)).select(RUN, "client_id", "vector")
+
+
+def _averaged_passes(blocks: DataFrame, packed: Packed, vectors: DataFrame, settings: Settings, path: str) -> DataFrame:
+    """(run_id, client_id, vector): full-batch steps on blocks in parallel, averaged by rows after each."""
     first = blocks.withColumn("starts", _starts(vectors).scalar())
-    if packed.single:
-        return local_models(first, settings, range(passes)).select(RUN, "client_id", "vector")
-    for p in range(passes):
+    for p in range(settings.steps):
         summed = vector_sums(local_models(first, settings, range(p, p + 1)), [RUN, "client_id"], "vector", "n")
         mean = summed.select(RUN, "client_id", F.transform("values", lambda x: x / F.col("weight")).alias("vector"))
         mean = _written(mean, f"{path}/pass={p}")
@@ -205,6 +220,95 @@ def train_runs(packed: Packed, vectors: DataFrame, settings: Settings, round_no:
     return mean
 
 
+def _sequential_pass(blocks: DataFrame, states: DataFrame, places: int, settings: Settings, p: int) -> DataFrame:
+    """(place, client_id, run_id, vector, velocity): ``states`` of the same columns after mini-batches of pass ``p`` over all rows of ``blocks``.
+
+    A task has the client of one ``place``: the states of its runs, then its
+    rows in the pass's order as the sort hands them on, so that it holds an
+    Arrow batch and the rows behind its last whole mini-batch, however many
+    blocks there are.
+    """
+    how = settings
+    names, types = ["place", "client_id", RUN, "vector", "velocity"], [pa.int32(), pa.int64(), pa.string(), *[pa.list_(pa.float64())] * 2]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, vectors = [], None
+        x, y = np.empty((0, how.features)), np.empty(0, np.int64)
+        step = lambda rows: training._sgd_together(
+            x, y, training._batches(rows, how.batch), vectors, velocities, how.classes, how.lr, C.MOMENTUM, C.WEIGHT_DECAY)
+        for batch in batches:
+            states = batch.num_rows - batch.column(RUN).null_count
+            for at in range(states):
+                *of, state = (batch.column(name)[at] for name in ("place", "client_id", RUN, "values"))
+                found.append((*(key.as_py() for key in of), state.values.to_numpy()))
+            if states == batch.num_rows:
+                continue
+            if vectors is None:
+                vectors, velocities = (np.array(part) for part in zip(*(np.split(state, 2) for *_, state in found)))
+            rows = batch.slice(states)
+            x = np.concatenate([x, rows.column("values").flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)])
+            y = np.concatenate([y, rows.column("label").to_numpy(zero_copy_only=False)])
+            done = len(y) // how.batch * how.batch
+            step(done)
+            x, y = x[done:], y[done:]
+        if found:
+            step(len(y))
+            yield _emitted([(*of, v.tolist(), u.tolist()) for (*of, _), v, u in zip(found, vectors, velocities)], names, types)
+
+    no = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    each = blocks.select("place", "client_id", "round_no", "block", "x", "y", F.posexplode("ids").alias("pos", "row_id"))
+    rows = each.select(
+        "place", "client_id", no("string", RUN), _pass_key(how.seed, p, F.col("row_id")).alias("key"), "row_id", "block", "pos",
+        F.slice("x", F.col("pos") * how.features + 1, how.features).alias("values"), F.get("y", "pos").alias("label"),
+    )
+    first = states.select("place", "client_id", RUN, F.concat("vector", "velocity").alias("values"))
+    stream = rows.unionByName(first, allowMissingColumns=True).repartitionById(places, "place")
+    # states have no key; rows of one id keep their places, as they do in one block
+    stream = stream.sortWithinPartitions(F.col("key").asc_nulls_first(), F.col("row_id").asc_nulls_last(), "block", "pos")
+    schema = "place int, client_id long, run_id string, vector array<double>, velocity array<double>"
+    return stream.select("place", "client_id", RUN, "values", "label").mapInArrow(run, schema)
+
+
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written meanwhile go with its end; otherwise every pass's rows stay until the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _sequential_passes(blocks: DataFrame, packed: Packed, vectors: DataFrame, settings: Settings, path: str) -> DataFrame:
+    """(run_id, client_id, vector): mini-batch SGD through all rows of each client, one pass after the other."""
+    states = packed.large.crossJoin(vectors).withColumn("velocity", F.transform("vector", lambda _: F.lit(0.0)))
+    with _shuffles_dropped(blocks.sparkSession):
+        for p in range(settings.epochs):
+            states = _written(_sequential_pass(blocks, states, packed.n_large, settings, p), f"{path}/pass={p}")
+    return states.select(RUN, "client_id", "vector")
+
+
+def train_runs(packed: Packed, vectors: DataFrame, settings: Settings, round_no: int, path: str) -> DataFrame:
+    """(run_id, client_id, vector): every client's update of every run's model ``vectors`` (run_id, vector).
+
+    Clients of one block take all passes in one task. Larger ones take the same
+    steps: full batches as the mean of their blocks by rows, mini-batches in
+    the order of all their rows, with the velocity carried along. So what a
+    client reports depends neither on the size of a block nor on the others.
+    """
+    blocks = packed.blocks.withColumn("round_no", F.lit(round_no))
+    if packed.single:
+        return _whole_clients(blocks, vectors, settings)
+    known = broadcast_if_small(packed.large, packed.n_large)
+    passes = _averaged_passes if settings.trainer == "fullbatch" else _sequential_passes
+    trained = passes(blocks.join(known, "client_id"), packed, vectors, settings, path)
+    if packed.n_small:  # else their plan would read all blocks for nothing
+        trained = trained.unionByName(_whole_clients(blocks.join(known, "client_id", "left_anti"), vectors, settings))
+    return trained
+
+
 def authenticate_runs(samples: DataFrame, vectors: DataFrame, settings: Settings) -> DataFrame:
     """(run_id, verifier, prover, vector): models that verifiers train on the samples they were sent.
 
